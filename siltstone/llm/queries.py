@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .lines import dedup_lines
+from .packing import pack_documents
+from .pii import KINDS, find_private, span_list
 from .quality import quality
 from .simhash import near_duplicates
 
@@ -20,10 +22,24 @@ def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
 
 
+def _count_kind(number: int) -> Column:
+    return F.size(F.filter("base", lambda s: s["kind_no"] == number)).cast("long")
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = find_private(table(spark, sf_dir, "documents"))
+    counts = [_count_kind(k).alias(f"n_{KINDS[k]}") for k in range(4)]
+    return out.select("doc_id", *counts, F.sha2(span_list(F.col("base")), 256).alias("base_sha256"), span_list(F.col("spans")).alias("spans"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), trusted_ids(spark, sf_dir))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -35,7 +51,9 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_quality": op2_quality,
+    "op6_packing": op6_packing,
     "op7_line_dedup": op7_line_dedup,
     "op9_simhash": op9_simhash,
 }
