@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .chat import best_paths, chain, format_paths, masked_text, parse
 from .langid import identify
 from .lines import dedup_lines
+from .media import describe_media, read_media, store_media
 from .packing import pack_documents
 from .pii import KINDS, find_private, span_list
 from .quality import quality
@@ -38,6 +39,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), trusted_ids(spark, sf_dir))
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return describe_media(read_media(spark, store_media(table(spark, sf_dir, "documents"))))
+
+
 #: A conversation whose texts hold the template's own control strings.
 HARD_TURN = "\\### Assistant: </turn> ok"
 
@@ -79,6 +84,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_quality": op2_quality,
+    "op4_media": op4_media,
     "op5_chat": op5_chat,
     "op6_packing": op6_packing,
     "op7_line_dedup": op7_line_dedup,
