@@ -12,6 +12,7 @@ from .langid import identify
 from .lines import dedup_lines
 from .media import describe_media, read_media, store_media
 from .packing import pack_documents
+from .pieces import decode_pieces, encode_pieces
 from .pii import KINDS, find_private, span_list
 from .quality import quality
 from .simhash import near_duplicates
@@ -39,6 +40,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), trusted_ids(spark, sf_dir))
 
 
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decode_pieces(encode_pieces(table(spark, sf_dir, "documents")))
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return describe_media(read_media(spark, store_media(table(spark, sf_dir, "documents"))))
 
@@ -84,6 +90,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_quality": op2_quality,
+    "op3_pieces": op3_pieces,
     "op4_media": op4_media,
     "op5_chat": op5_chat,
     "op6_packing": op6_packing,
