@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,9 +42,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only ``doc_id`` (long) and ``text`` (string): other columns, whatever their names, stay outside."""
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+def texts_of(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """``doc_id`` (long) and ``text`` (string) only; with ``carry``, also those columns as the struct ``carried``.
+
+    Other columns, whatever their names, stay outside, so they cannot clash with an operator's own.
+    """
+    columns = [docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")]
+    return docs.select(*columns, *([F.struct(*(docs[c] for c in carry)).alias("carried")] if carry else []))
 
 
 def id_key(column: Column | str = "doc_id") -> Column:

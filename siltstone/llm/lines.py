@@ -18,6 +18,8 @@ shorter than ``min_chars`` always stay; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,9 +36,9 @@ def line_key(line: Column) -> Column:
     return F.when(ascii_only, F.lower(bare)).otherwise(F.translate(bare, _UPPER, _UPPER.lower()))
 
 
-def _prepared(docs: DataFrame) -> DataFrame:
+def _prepared(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    return texts_of(docs).select("doc_id", id_key().alias("doc_key"), F.xxhash64(text, F.lit(7)).alias("text_key"), text.alias("text"))
+    return texts_of(docs, carry).select("doc_id", id_key().alias("doc_key"), F.xxhash64(text, F.lit(7)).alias("text_key"), text.alias("text"), *(["carried"] if carry else []))
 
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -64,9 +66,9 @@ def _keep_runs(dropped: Column, n_lines: Column) -> Column:
     return F.filter(runs, lambda r: r["length"] > 0)
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, n_lines, n_dropped, keep_runs, kept_text``."""
-    whole = _prepared(docs)
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, carry: Sequence[str] = ()) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, n_lines, n_dropped, keep_runs, kept_text`` (and ``carried``)."""
+    whole = _prepared(docs, carry)
     bitmaps = _bitmaps(whole, min_chars).hint("shuffle_hash")
     joined = whole.join(bitmaps, ["doc_key", "text_key"], "left")
     lines = F.split("text", "\n", -1)
@@ -78,4 +80,5 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         F.when(F.col("dropped").isNull(), 0).otherwise(F.size("dropped")).cast("long").alias("n_dropped"),
         "keep_runs",
         F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
+        *(["carried"] if carry else []),
     )

@@ -17,12 +17,13 @@ table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import RollingHash, blocks, mix, texts_of, word_bounds
 
@@ -36,7 +37,7 @@ BUCKETS = 1 << 15
 #: Weight of the raw multinomial in the trusted one, as a share of the trusted n-grams.
 SMOOTHING = 0.05
 #: In nats per n-gram; between the scores of trusted documents (-0.3 and up) and of junk (-0.5 and down).
-THRESHOLD = -0.4
+THRESHOLD = -0.35
 _SCALE = 1 << 20
 _SYMBOLS = np.zeros(256, dtype=bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
@@ -166,15 +167,20 @@ def _measure(ratios: np.ndarray):
                     _repeated_lines(block, rolling, starts),
                     _repeated_words(hashes, doc, block.n),
                 ]
-                ids = batch.column(0).slice(block.rows.start, block.n)
-                yield pa.RecordBatch.from_arrays([ids, *(pa.array(v.astype(np.int64)) for v in values), pa.array(score)], names=[c.split()[0] for c in FEATURES.split(", ")])
+                ids, *carried = (batch.column(k).slice(block.rows.start, block.n) for k in range(batch.num_columns) if k != 1)
+                names = [*(c.split()[0] for c in FEATURES.split(", ")), *batch.schema.names[2:]]
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(v.astype(np.int64)) for v in values), pa.array(score), *carried], names=names)
 
     return run
 
 
-def quality(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, max_trusted: int = MAX_TRUSTED) -> DataFrame:
-    """One row per document: the base features, ``base_failed``, ``score`` and ``kept``."""
+def quality(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, max_trusted: int = MAX_TRUSTED, carry: Sequence[str] = ()) -> DataFrame:
+    """One row per document: the base features, ``base_failed``, ``score`` and ``kept`` (and ``carried``)."""
     ratios = log_ratios(docs, trusted, max_trusted)
-    out = texts_of(docs).mapInArrow(_measure(ratios), FEATURES)
+    rows = texts_of(docs, carry)
+    schema = StructType.fromDDL(FEATURES)
+    for field in rows.schema.fields[2:]:
+        schema = schema.add(field)
+    out = rows.mapInArrow(_measure(ratios), schema)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= threshold))
