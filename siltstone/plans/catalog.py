@@ -1,11 +1,10 @@
-"""Registry of the library's queries and of the SQL that they are compared with."""
+"""All queries of the library and the SQL that they are compared with."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from . import graph_queries, text_queries, vector_queries, work_queries
 
 FLAGSHIP = "exact_top10"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+_PARTS = (vector_queries.R, text_queries.R, graph_queries.R, work_queries.R)
+QUERIES = {name: f for part in _PARTS for name, f in part.queries.items()}
+ORACLE = {name: sql for part in _PARTS for name, sql in part.oracle.items()}
