@@ -20,7 +20,7 @@ _PARSED = "headers array<struct<name:string,value:string>>, to string, cc string
 
 
 def files(spark: SparkSession, path: str, *suffixes: str) -> DataFrame:
-    """``path, content`` of files with one of the suffixes, in any case, below ``path``."""
+    """``path, length, content`` of files with one of the suffixes, in any case, below ``path``; Spark lists no empty files."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return found.where(F.lower("path").rlike(r"\.(" + "|".join(suffixes) + ")$")).select("path", "length", "content")
 
