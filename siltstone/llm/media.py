@@ -42,6 +42,8 @@ BATCH_BYTES = 4_000_000
 RETRIES = 3
 _SCHEMA = "name string, offset long, payload binary, error string"
 _LISTING = "_archives"
+#: Bytes of an archive without members.
+_EMPTY_ARCHIVE = 22
 _PNG = b"\x89PNG\r\n\x1a\n"
 
 
@@ -130,7 +132,7 @@ class ArchiveReader(DataSourceReader):
             infos = fs.get_file_info([f"{root}/{n}" for n in names if n])
         else:  # a directory that this data source did not write
             infos = [i for i in fs.get_file_info(pafs.FileSelector(root)) if i.path.endswith(".zip")]
-        found = [Range(i.path, i.size, a, min(a + self.range_bytes, i.size)) for i in infos for a in range(0, i.size, self.range_bytes)]
+        found = [Range(i.path, i.size, a, min(a + self.range_bytes, i.size)) for i in infos if i.size > _EMPTY_ARCHIVE for a in range(0, i.size, self.range_bytes)]
         return found or [Range("", 0, 0, 0)]
 
     def _member(self, fs: pafs.FileSystem, part: Range, info: zipfile.ZipInfo) -> tuple[bytes | None, str | None]:
