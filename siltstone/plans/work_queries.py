@@ -163,12 +163,11 @@ def baseline_delta(spark: SparkSession, t) -> DataFrame:
 
 
 def _events(spark: SparkSession, t) -> DataFrame:
+    """The events table as a stream of its files; the table is one file or a folder of files."""
     table = t("events")
-    name = table.inputFiles()[0]
-    folder = name[: name.rindex("/")]
-    whole = folder if folder.endswith(".parquet") else name
-    path, glob = whole[: whole.rindex("/")], whole[whole.rindex("/") + 1 :]
-    return streams.event_time(streams.file_stream(spark, path if not folder.endswith(".parquet") else folder, table.schema, glob=None if folder.endswith(".parquet") else glob), "ts")
+    folder, _, name = table.inputFiles()[0].rpartition("/")
+    one_file = not folder.endswith(".parquet")
+    return streams.event_time(streams.file_stream(spark, folder, table.schema, glob=name if one_file else None), "ts")
 
 
 @R.query("SELECT user_id, event_type, count(*) AS first_events FROM (SELECT DISTINCT user_id, event_type, event_id FROM events) GROUP BY user_id, event_type")
