@@ -72,6 +72,7 @@ def best_paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
     ranked = leaves.withColumn("branch", F.row_number().over(rank))
     marks = (ranked if branches is None else ranked.where(F.col("branch") <= branches)).select("conv", "branch", "node")
     for pointers in reversed(tables):
+        marks = staged(marks, "reply-marks")  # used twice: a plan that is not cut would double with each step
         marks = marks.unionByName(marks.join(pointers, ["conv", "node"]).select("conv", "branch", F.col("up").alias("node")))
     marks = marks.distinct().join(rooted, ["conv", "node"]).join(nodes, ["conv", "node"])
     return marks.select("conv_id", "branch", "depth", "role", "text")
