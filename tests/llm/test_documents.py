@@ -222,6 +222,32 @@ def test_trie_join_finds_all_links_however_it_is_split(frontier):
     assert simhash.trie_links(np.zeros(len(p)), p, frontier=frontier).tolist() == brute_components(p.tolist())
 
 
+def test_a_partition_is_joined_by_whole_groups(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    key = np.sort(rng.integers(0, 40, 600))
+    fp = rng.integers(0, 2**62, 3)[key % 3] ^ (1 << rng.integers(0, 60, 600)) ^ key
+    table = pa.table({"key": key, "fp": fp, "node": np.arange(600)})
+
+    def joined():
+        forest = list(range(600))
+
+        def find(x):
+            while forest[x] != x:
+                x = forest[x]
+            return x
+
+        for batch in simhash._join_partition(iter(table.to_batches(max_chunksize=13))):
+            for a, b in zip(*(c.to_pylist() for c in batch.columns)):
+                forest[max(find(a), find(b))] = min(find(a), find(b))
+        return [find(x) for x in range(600)]
+
+    whole = joined()
+    monkeypatch.setattr(simhash, "ROWS_AT_ONCE", 20)
+    assert joined() == whole and len(set(whole)) < 600
+
+
 def test_long_chains_of_links_are_one_component(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 500), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in simhash.components(links).collect()}
