@@ -42,9 +42,11 @@ from .gsaca import suffix_array
 MATCH = 400
 GRAM = 8
 #: Windows per anchor at most: in the first pass, and for the edges.
-COARSE, FINE = 256, 16
+COARSE, FINE = 256, 32
 #: Different pieces of one core that a suffix array takes.
 HOT = 512
+#: Bytes of coarse pieces that are anchored at once.
+FINE_BYTES = 2_000_000
 #: Symbols of one suffix array.
 ARRAY_SYMBOLS = 200_000
 
@@ -98,23 +100,42 @@ def _coarse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _FINE_ROWS = "doc_key long, text_key int, weight int, lo int, size int, h long, p long, left binary, right binary"
 
 
+def _fine_batch(work: list[tuple]) -> pa.RecordBatch:
+    """Fine pieces of coarse pieces (doc_key, text_key, weight, lo, bytes), anchored in one go."""
+    core = MATCH - FINE + 1
+    raw = b"".join(w[4] for w in work)
+    ends = np.cumsum([len(w[4]) for w in work])
+    begins = ends - [len(w[4]) for w in work]
+    first, last, anchor = _anchors(np.frombuffer(raw, np.uint8), begins, ends - MATCH + 1, FINE)
+    owner = np.searchsorted(ends, first, side="right")
+    h, p, left, right = [], [], [], []
+    for a, b, c in zip(first.tolist(), last.tolist(), anchor.tolist()):
+        h.append(xxhash.xxh3_64_intdigest(raw[c : c + core]))
+        p.append(xxhash.xxh64_intdigest(raw[a : b + MATCH], c - a))
+        left.append(raw[a:c])
+        right.append(raw[c + core : b + MATCH])
+    column = lambda k, kind: pa.array([w[k] for w in work], kind).take(pa.array(owner))
+    lo = np.array([w[3] for w in work], dtype=np.int64)[owner] + first - begins[owner]
+    hashes = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (h, p)]
+    values = [column(0, pa.int64()), column(1, pa.int32()), column(2, pa.int32()), pa.array(lo.astype(np.int32)), pa.array((last - first + 1).astype(np.int32)), *hashes, pa.array(left, pa.binary()), pa.array(right, pa.binary())]
+    return pa.RecordBatch.from_arrays(values, [c.split()[0] for c in _FINE_ROWS.split(", ")])
+
+
 def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Fine pieces of each document's unresolved coarse pieces (``reps``: array of lo, hi, weight)."""
-    core = MATCH - FINE + 1
+    work: list[tuple] = []
+    held = 0
     for batch in batches:
-        out: list[tuple] = []
         for doc_key, text_key, text, reps in zip(*(c.to_pylist() for c in batch.columns)):
             data = text.encode()
             for rep in reps:
-                raw = data[rep["lo"] : rep["hi"] + MATCH]
-                first, last, anchor = _anchors(np.frombuffer(raw, np.uint8), np.zeros(1, np.int64), np.array([rep["hi"] - rep["lo"] + 1]), FINE)
-                for a, b, c in zip(first.tolist(), last.tolist(), anchor.tolist()):
-                    h = xxhash.xxh3_64_intdigest(raw[c : c + core])
-                    p = xxhash.xxh64_intdigest(raw[a : b + MATCH], c - a)
-                    out.append((doc_key, text_key, rep["weight"], rep["lo"] + a, b - a + 1, h - (h >> 63 << 64), p - (p >> 63 << 64), raw[a:c], raw[c + core : b + MATCH]))
-        if out:
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], [c.split()[0] for c in _FINE_ROWS.split(", ")])
+                work.append((doc_key, text_key, rep["weight"], rep["lo"], data[rep["lo"] : rep["hi"] + MATCH]))
+                held += len(work[-1][4])
+                if held > FINE_BYTES:
+                    yield _fine_batch(work)
+                    work, held = [], 0
+    if work:
+        yield _fine_batch(work)
 
 
 def repeated_windows(groups: list[int], lefts: list[bytes], rights: list[bytes]) -> list[list[int]]:
@@ -182,17 +203,21 @@ def _hot_windows(hot: DataFrame) -> DataFrame:
 
 
 def _edge_windows(fine: DataFrame) -> DataFrame:
-    """``doc_key, text_key, lo, hi``: the repeated windows inside fine pieces."""
-    pieces = fine.groupBy("h", "p").agg(F.sum("weight").alias("n"), F.first("size").alias("size"), F.first("left").alias("left"), F.first("right").alias("right"))
-    pieces = staged(pieces, "repeats-fine")
-    groups = staged(pieces.groupBy("h").agg(F.count("*").alias("pieces")).where("pieces > 1"), "repeats-groups")
-    whole = pieces.where("n > 1").select("h", "p", F.lit(0).alias("first"), (F.col("size") - 1).alias("last"))
-    small = pieces.join(groups.where(F.col("pieces") <= HOT).select("h"), "h").select("h", "p", "left", "right").repartition("h").sortWithinPartitions("h")
-    hot = pieces.join(groups.where(F.col("pieces") > HOT).select("h"), "h")
-    ranges = whole.unionByName(small.mapInArrow(_suffix_groups, _RANGES)).unionByName(_hot_windows(hot))
+    """``doc_key, text_key, lo, hi``: the repeated windows inside fine pieces.
+
+    Counting shuffles hashes only; bytes beside the core travel for the cores that different pieces share.
+    """
+    counted = staged(fine.groupBy("h", "p").agg(F.sum("weight").alias("n")), "repeats-fine")
+    groups = staged(counted.groupBy("h").agg(F.count("*").alias("pieces")).where("pieces > 1"), "repeats-groups")
+    contested = fine.select("h", "p", "weight", "size", "left", "right").join(groups, "h").groupBy("h", "p")
+    contested = staged(contested.agg(F.sum("weight").alias("n"), F.first("pieces").alias("pieces"), F.first("size").alias("size"), F.first("left").alias("left"), F.first("right").alias("right")), "repeats-contested")
+    whole = counted.where("n > 1").select("h", "p", F.lit(0).alias("first"), F.lit(FINE - 1).alias("last"))
+    small = contested.where(F.col("pieces") <= HOT).select("h", "p", "left", "right").repartition("h").sortWithinPartitions("h")
+    ranges = whole.unionByName(small.mapInArrow(_suffix_groups, _RANGES)).unionByName(_hot_windows(contested.where(F.col("pieces") > HOT)))
     ranges = staged(ranges, "repeats-ranges")
-    found = fine.join(ranges, ["h", "p"])
-    return found.select("doc_key", "text_key", (F.col("lo") + F.col("first")).alias("lo"), (F.col("lo") + F.col("last")).alias("hi"))
+    found = fine.select("h", "p", "doc_key", "text_key", "lo", "size").join(ranges, ["h", "p"])
+    last = F.least(F.col("last"), F.col("size") - 1)
+    return found.select("doc_key", "text_key", (F.col("lo") + F.col("first")).alias("lo"), (F.col("lo") + last).alias("hi"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
