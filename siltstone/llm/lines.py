@@ -53,7 +53,8 @@ def _bitmaps(docs: DataFrame, min_chars: int) -> DataFrame:
     ordered = hashed.repartitionByRange("h1", "h2", "doc_key", "pos").sortWithinPartitions("h1", "h2", "doc_key", "pos")
     index = staged(ordered, "line-index")
     first = index.groupBy("h1", "h2").agg(F.min("doc_key").alias("first_doc"), F.max("doc_key").alias("last_doc"))
-    repeated = first.where("first_doc < last_doc").drop("last_doc")
+    # Written, so that both sides of the join are plain exchanges and a line of many documents is split over tasks.
+    repeated = staged(first.where("first_doc < last_doc").drop("last_doc"), "line-repeats")
     lost = index.join(repeated, ["h1", "h2"]).where("doc_key > first_doc")
     return lost.groupBy("doc_key", "text_key").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
 
