@@ -39,6 +39,8 @@ MAX_BITS = 3
 #: Five blocks of 13, 13, 13, 13 and 12 bits; three differing bits leave two of them untouched.
 _CUTS = (0, 13, 26, 39, 52, 64)
 FRONTIER = 1 << 18
+#: Rows of whole groups that a task joins at a time.
+ROWS_AT_ONCE = 500_000
 
 
 def fingerprint(text: bytes, size: int = SHINGLE) -> int:
@@ -158,12 +160,7 @@ def trie_links(group: np.ndarray, prints: np.ndarray, budget: int = MAX_BITS, fr
     return forest.find(np.arange(n))
 
 
-def _join_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, fp, node): the links of a partition's groups, at most one per row."""
-    held = [batch for batch in batches if batch.num_rows]
-    table = pa.Table.from_batches(held) if held else None
-    if table is None:
-        return
+def _links(table: pa.Table) -> pa.RecordBatch:
     key, fp, node = (table.column(k).to_numpy() for k in range(3))
     prints = fp.view(np.uint64)
     order = np.lexsort((prints, key))
@@ -171,7 +168,29 @@ def _join_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     root = trie_links(key, prints)
     links = np.unique(np.sort(np.stack((node, node[root])), axis=0), axis=1)
     links = links[:, links[0] != links[1]]
-    yield pa.RecordBatch.from_arrays([pa.array(links[0]), pa.array(links[1])], ["a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array(links[0]), pa.array(links[1])], ["a", "b"])
+
+
+def _join_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, fp, node) sorted by key: the links of a partition's groups, at most one per row.
+
+    Whole groups are joined ``ROWS_AT_ONCE`` rows at a time, so memory follows the largest group, not the partition.
+    """
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= ROWS_AT_ONCE:
+            table = pa.Table.from_batches(held).combine_chunks()
+            keys = table.column(0).to_numpy()
+            cut = int(np.searchsorted(keys, keys[-1]))  # the last group may go on
+            if cut:
+                yield _links(table.slice(0, cut))
+            held = table.slice(cut).to_batches()
+            rows = table.num_rows - cut
+    if rows:
+        yield _links(pa.Table.from_batches(held))
 
 
 def _group_keys() -> list:
@@ -185,7 +204,7 @@ def _group_keys() -> list:
 
 def near_links(prints: DataFrame) -> DataFrame:
     """``a, b``: links between nodes of ``prints`` (``fp, node``, distinct) that join all within 3 bits."""
-    keyed = prints.select(F.explode(F.array(*_group_keys())).alias("key"), "fp", "node").repartition("key")
+    keyed = prints.select(F.explode(F.array(*_group_keys())).alias("key"), "fp", "node").repartition("key").sortWithinPartitions("key")
     return keyed.mapInArrow(_join_partition, "a long, b long").distinct()
 
 
