@@ -52,9 +52,10 @@ def _pointers(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
             return tables, step.select(*same, "depth", "total")
         tables.append(going)
         above = step.select("conv", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("total").alias("t2"))
-        step = step.join(above, ["conv", "up"], "left").select(
-            *same, F.col("up2").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("t2", F.lit(0.0))).alias("total")
-        )
+        # Only messages that still point somewhere go on; the rest are known.
+        ahead = step.where("up IS NOT NULL").join(above, ["conv", "up"])
+        ahead = ahead.select(*same, F.col("up2").alias("up"), (F.col("depth") + F.col("d2")).alias("depth"), (F.col("total") + F.col("t2")).alias("total"))
+        step = step.where("up IS NULL").unionByName(ahead)
     return tables, step.where("up IS NULL").select(*same, "depth", "total")  # what still points somewhere lies on a cycle
 
 
