@@ -30,9 +30,9 @@ from .tokens import ragged
 
 UNKNOWN_PENALTY = 10.0
 MARK = "▁"
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 4_000_000
 #: Words whose ids a Python worker keeps from block to block.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 120_000
 _WORD = regex.compile(r"\n| +(?=\n|\Z)| *[^ \n]+")
 
 
