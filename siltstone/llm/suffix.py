@@ -45,6 +45,8 @@ GRAM = 8
 COARSE, FINE = 256, 32
 #: Different pieces of one core that a suffix array takes.
 HOT = 512
+#: Contested pieces per task.
+TASK_PIECES = 5_000
 #: Bytes of coarse pieces that are anchored at once.
 FINE_BYTES = 2_000_000
 #: Symbols of one suffix array.
@@ -212,7 +214,9 @@ def _edge_windows(fine: DataFrame) -> DataFrame:
     contested = fine.select("h", "p", "weight", "size", "left", "right").join(groups, "h").groupBy("h", "p")
     contested = staged(contested.agg(F.sum("weight").alias("n"), F.first("pieces").alias("pieces"), F.first("size").alias("size"), F.first("left").alias("left"), F.first("right").alias("right")), "repeats-contested")
     whole = counted.where("n > 1").select("h", "p", F.lit(0).alias("first"), F.lit(FINE - 1).alias("last"))
-    small = contested.where(F.col("pieces") <= HOT).select("h", "p", "left", "right").repartition("h").sortWithinPartitions("h")
+    # Sorting suffixes costs far more than its bytes suggest, so rows, not bytes, set the number of tasks.
+    tasks = 1 + contested.count() // TASK_PIECES
+    small = contested.where(F.col("pieces") <= HOT).select("h", "p", "left", "right").repartition(tasks, "h").sortWithinPartitions("h")
     ranges = whole.unionByName(small.mapInArrow(_suffix_groups, _RANGES)).unionByName(_hot_windows(contested.where(F.col("pieces") > HOT)))
     ranges = staged(ranges, "repeats-ranges")
     found = fine.select("h", "p", "doc_key", "text_key", "lo", "size").join(ranges, ["h", "p"])
