@@ -1,21 +1,24 @@
 """Personal data: base patterns, then information-theoretic sanitisation. DataFrame functions only.
 
 Base spans (email, ip, card, phone) are the protected entities. The method
-then asks which ordinary terms give such an entity away. Terms (letters only)
-are taken from the line around each entity, ``CONTEXT`` code points to either
-side; corpus counts over whole documents give, for a term t and an entity e,
+then asks which ordinary terms (letters only) give such an entity away. Corpus
+counts over whole documents give, for a term t and an entity e,
 
     disclosure(t, e) = PMI(t; e) / IC(e),   IC(e) = -log2 p(e),
 
-which is 1 when t occurs only with e. A pair seen in ``MIN_CONTEXTS`` different
-contexts (copies of one context count once) with a disclosure of at least
-``THRESHOLD`` becomes a span of kind ``term`` in every context of e.
+which is 1 when t occurs only with e. With ``whole`` (``op1_pii`` and the
+pipeline), every word outside the base spans of a text that holds e is a term,
+a pair has to be seen in ``MIN_CONTEXTS`` different texts (copies count once),
+and one with a disclosure of at least ``THRESHOLD`` becomes a span of kind
+``term`` at every occurrence of t in the texts that hold e. Without it, terms
+are words of 3 to 40 letters in the line around each entity, ``CONTEXT`` code
+points to either side, contexts are counted, and spans stay inside them.
 ``sanitise`` generalises each span to its kind.
 
 Plan: the patterns run as a narrow projection; only documents with an entity
-are written out and shuffled. Counts are aggregated before each shuffle. The
-corpus frequency of candidate terms broadcasts the candidates when they are
-counted to be few, and otherwise joins after aggregation.
+are written out and shuffled, and only those with an entity of enough different
+texts give pairs. Counts are aggregated before each shuffle; the corpus
+frequency of terms is aggregated before it meets the candidates.
 
 Edge cases: null or empty text has no spans; rows that repeat get equal
 results and count as one document for the statistics; null ids are kept; an
@@ -41,17 +44,16 @@ PATTERNS = {
 }
 #: What a text must hold for a pattern to be worth running.
 _NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][ -]?[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
+WORD = r"\p{L}++"
 TERM = r"(?<=[^\p{L}])\p{L}{3,40}(?=[^\p{L}])"
 CONTEXT = 200
 MIN_CONTEXTS = 3
 THRESHOLD = 0.9
-#: Candidate terms (40 letters at most each) that may be broadcast.
-MAX_BROADCAST_TERMS = 50_000
 _SPAN = "array<struct<start:int,kind_no:int,end:int,value:string>>"
 
 
-def _matches(text: Column, pattern: str) -> Column:
-    """``array<struct<start, end, value>>`` of the pattern's leftmost non-overlapping matches."""
+def _matches(text: Column, pattern: str, wanted: Column | None = None) -> Column:
+    """``array<struct<start, end, value>>`` of the pattern's leftmost non-overlapping matches; with ``wanted``, of its values in any case."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     pairs = F.zip_with(hits, F.slice(gaps, F.lit(1), F.size(hits)), lambda hit, gap: F.struct(F.char_length(gap).alias("gap"), hit.alias("hit")))
@@ -61,7 +63,10 @@ def _matches(text: Column, pattern: str) -> Column:
         first = acc["at"] + pair["gap"]
         last = first + F.char_length(pair["hit"])
         found = F.struct(first.alias("start"), last.alias("end"), pair["hit"].alias("value"))
-        return F.struct(last.alias("at"), F.concat(acc["out"], F.array(found)).alias("out"))
+        out = F.concat(acc["out"], F.array(found))
+        if wanted is not None:
+            out = F.when(F.array_contains(wanted, F.lower(pair["hit"])), out).otherwise(acc["out"])
+        return F.struct(last.alias("at"), out.alias("out"))
 
     return F.aggregate(pairs, start, step, lambda acc: acc["out"])
 
@@ -122,36 +127,61 @@ def _context_terms(hit: DataFrame) -> DataFrame:
 
 def _term_documents(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """``term, n_t``: how many different documents hold each of ``terms`` (distinct), over the whole corpus."""
-    words = F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+"))
+    words = F.array_distinct(F.transform(F.split(F.coalesce("text", F.lit("")), r"[^\p{L}]+"), F.lower))
     each = texts_of(docs).select(F.explode(words).alias("term"))
-    if terms.count() <= MAX_BROADCAST_TERMS:
-        return each.join(F.broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("n_t"))
     return each.groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term")
 
 
-def disclosive_pairs(docs: DataFrame, terms: DataFrame, min_contexts: int = MIN_CONTEXTS, threshold: float = THRESHOLD) -> DataFrame:
-    """``entity, term``: the pairs whose term discloses the entity, from ``terms`` of :func:`_context_terms`."""
-    per_doc = terms.groupBy("entity", "term", "doc_key", "text_key").agg(F.min("context").alias("context"))
-    contexts = terms.groupBy("entity", "term", "context").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count("*").alias("n_contexts"))
-    pairs = per_doc.groupBy("entity", "term").agg(F.count("*").alias("n_te")).join(contexts.where(F.col("n_contexts") >= min_contexts), ["entity", "term"])
-    candidates = staged(pairs.select("entity", "term", "n_te"), "pii-candidates")
-    entities = terms.groupBy("entity", "doc_key", "text_key").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    counted = candidates.join(entities, "entity").join(_term_documents(docs, candidates.select("term").distinct()), "term")
+def _disclosive(docs: DataFrame, candidates: DataFrame, threshold: float) -> DataFrame:
+    """``entity, term`` of the ``candidates`` (``entity, term, n_te, n_e``, written) with enough disclosure."""
+    counted = candidates.join(_term_documents(docs, candidates.select("term").distinct()), "term")
     total = docs.count()
     pmi = F.log2(F.col("n_te") * F.lit(float(total)) / (F.greatest("n_t", "n_te") * F.col("n_e")))
     information = F.log2(F.lit(float(total)) / F.col("n_e"))
     return counted.where((F.col("n_e") < total) & (pmi >= threshold * information)).select("entity", "term")
 
 
-def find_private(docs: DataFrame, min_contexts: int = MIN_CONTEXTS, threshold: float = THRESHOLD, carry: Sequence[str] = ()) -> DataFrame:
+def disclosive_pairs(docs: DataFrame, terms: DataFrame, min_contexts: int = MIN_CONTEXTS, threshold: float = THRESHOLD) -> DataFrame:
+    """``entity, term``: the pairs whose term discloses the entity, from ``terms`` of :func:`_context_terms`."""
+    per_doc = terms.groupBy("entity", "term", "doc_key", "text_key").agg(F.min("context").alias("context"))
+    contexts = terms.groupBy("entity", "term", "context").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count("*").alias("n_contexts"))
+    pairs = per_doc.groupBy("entity", "term").agg(F.count("*").alias("n_te")).join(contexts.where(F.col("n_contexts") >= min_contexts), ["entity", "term"])
+    entities = terms.groupBy("entity", "doc_key", "text_key").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("*").alias("n_e"))
+    return _disclosive(docs, staged(pairs.select("entity", "term", "n_te").join(entities, "entity"), "pii-candidates"), threshold)
+
+
+def _whole_terms(docs: DataFrame, hit: DataFrame, min_texts: int, threshold: float) -> DataFrame:
+    """``doc_key, text_key, terms``: the terms that disclose an entity of the document, from all its words."""
+    names = F.array_distinct(F.transform("base", lambda s: F.concat(s["kind_no"], F.lit(":"), F.lower(s["value"]))))
+    holds = hit.select("doc_key", "text_key", F.explode(names).alias("entity")).distinct()
+    per_text = holds.groupBy("entity", "text_key").agg(F.count("*").alias("copies"))
+    entities = per_text.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count("*").alias("n_texts")).where(F.col("n_texts") >= min_texts)
+    held = staged(holds.join(entities.select("entity", "n_e"), "entity"), "pii-held")
+    texts = held.groupBy("text_key", "doc_key").agg(F.collect_set(F.struct("entity", "n_e")).alias("entities"))
+    words = F.array_distinct(F.transform(F.regexp_extract_all(_replaced(F.col("text"), F.col("base"), [" "] * 5), F.lit(WORD), F.lit(0)), F.lower))
+    first = texts.groupBy("text_key").agg(F.min("doc_key").alias("doc_key"), F.count("*").alias("copies"))
+    one = hit.join(first, ["text_key", "doc_key"]).dropDuplicates(["text_key"]).select("text_key", "doc_key", "copies", words.alias("words"))
+    flat = one.join(texts, ["text_key", "doc_key"]).select("copies", "words", F.explode("entities").alias("e")).select("copies", "e", F.explode("words").alias("term"))
+    pairs = flat.groupBy(F.col("e.entity").alias("entity"), F.col("e.n_e").alias("n_e"), "term").agg(F.sum("copies").alias("n_te"), F.count("*").alias("n_texts"))
+    candidates = staged(pairs.where(F.col("n_texts") >= min_texts).select("entity", "term", "n_te", "n_e"), "pii-candidates")
+    chosen = staged(_disclosive(docs, candidates, threshold), "pii-chosen")
+    return held.join(chosen, "entity").groupBy("doc_key", "text_key").agg(F.collect_set("term").alias("terms"))
+
+
+def find_private(docs: DataFrame, min_contexts: int = MIN_CONTEXTS, threshold: float = THRESHOLD, carry: Sequence[str] = (), whole: bool = False) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, text, base, spans`` (``base`` and the term spans; and ``carried``)."""
     more = ["carried"] if carry else []
     hit = staged(_scanned(docs, carry).where(F.size("base") > 0), "pii-documents")
-    terms = staged(_context_terms(hit), "pii-terms")
-    chosen = disclosive_pairs(docs, terms, min_contexts, threshold)
-    extra = terms.join(chosen, ["entity", "term"]).select("doc_key", "text_key", "start", "end", "term")
-    extra = extra.groupBy("doc_key", "text_key").agg(F.collect_set(F.struct("start", F.lit(4).alias("kind_no"), "end", F.col("term").alias("value"))).alias("extra"))
-    joined = hit.join(extra, ["doc_key", "text_key"], "left")
+    if whole:
+        joined = hit.join(_whole_terms(docs, hit, min_contexts, threshold), ["doc_key", "text_key"], "left")
+        places = F.transform(_matches(F.col("text"), WORD, F.col("terms")), lambda m: F.struct(m["start"], F.lit(4).alias("kind_no"), m["end"], F.lower(m["value"]).alias("value")))
+        joined = joined.withColumn("extra", F.when(F.col("terms").isNotNull(), places))
+    else:
+        terms = staged(_context_terms(hit), "pii-terms")
+        chosen = disclosive_pairs(docs, terms, min_contexts, threshold)
+        extra = terms.join(chosen, ["entity", "term"]).select("doc_key", "text_key", "start", "end", "term")
+        extra = extra.groupBy("doc_key", "text_key").agg(F.collect_set(F.struct("start", F.lit(4).alias("kind_no"), "end", F.col("term").alias("value"))).alias("extra"))
+        joined = hit.join(extra, ["doc_key", "text_key"], "left")
     clear = F.filter("extra", lambda x: ~F.exists("base", lambda b: (x["start"] < b["end"]) & (b["start"] < x["end"])))
     spans = F.when(F.col("extra").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", clear)))
     found = joined.select("doc_id", "text", "base", spans.alias("spans"), *more)
@@ -165,14 +195,19 @@ def span_list(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind_no"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def sanitise(text: Column, spans: Column) -> Column:
-    """The text with each span generalised to ``[KIND]``; overlapping spans become one, named by the first."""
-    names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
+def _replaced(text: Column, spans: Column, names: Sequence[str]) -> Column:
+    """The text with each span replaced by its kind's name; overlapping spans become one, named by the first."""
+    listed = F.array(*(F.lit(n) for n in names))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
-        fresh = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.element_at(names, s["kind_no"] + 1))
+        fresh = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.element_at(listed, s["kind_no"] + 1))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
 
     joined = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
     return F.when(F.size(spans) == 0, text).otherwise(joined)
+
+
+def sanitise(text: Column, spans: Column) -> Column:
+    """The text with each span generalised to ``[KIND]``; overlapping spans become one, named by the first."""
+    return _replaced(text, spans, [f"[{k.upper()}]" for k in KINDS])

@@ -32,7 +32,7 @@ def _count_kind(number: int) -> Column:
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = find_private(table(spark, sf_dir, "documents"))
+    out = find_private(table(spark, sf_dir, "documents"), whole=True)
     counts = [_count_kind(k).alias(f"n_{KINDS[k]}") for k in range(4)]
     return out.select("doc_id", *counts, F.sha2(span_list(F.col("base")), 256).alias("base_sha256"), span_list(F.col("spans")).alias("spans"))
 
