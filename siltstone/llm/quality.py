@@ -1,7 +1,8 @@
 """Quality rules: base rules, then a log-likelihood ratio of hashed n-grams.
 
 The verdict of the method compares two multinomials over hashed byte n-grams:
-one of trusted documents, one of the whole raw corpus. A document's score is
+one of trusted documents, one of the whole raw corpus, each distinct text
+counted once in both, however many copies it has. A document's score is
 the mean over its n-grams of ``ln(p_trusted / p_raw)``; it is kept at
 ``threshold`` or above. The trusted multinomial is smoothed towards the raw
 one, so an n-gram (or a whole language) that the trusted sample lacks costs a
@@ -89,15 +90,16 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, max_trusted: int = MAX_TRUSTED) -> np.ndarray:
-    """Fixed-point ``ln(p_trusted / p_raw)`` of each bucket, counted over all documents.
+    """Fixed-point ``ln(p_trusted / p_raw)`` of each bucket, counted over the distinct texts of all documents.
 
     ``trusted`` holds the ``doc_id`` of trusted documents; at most ``max_trusted`` of them (by hash order)
-    are used, which bounds what is broadcast. ``BUCKETS + 2`` rows at most come to the driver.
+    are used, which bounds what is broadcast; a text is trusted if a row of it is. ``BUCKETS + 2`` rows at most come to the driver.
     """
     chosen = trusted.select(trusted["doc_id"].cast("long").alias("doc_id")).dropna().distinct()
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted).withColumn("good", F.lit(True))
     flagged = texts_of(docs).join(F.broadcast(chosen), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
-    counted = flagged.mapInArrow(_count, "bucket long, raw long, trusted long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted"))
+    once = flagged.groupBy(F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("key")).agg(F.first("text").alias("text"), F.max("good").alias("good")).select("text", "good")
+    counted = once.mapInArrow(_count, "bucket long, raw long, trusted long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted"))
     raw, good = np.zeros(BUCKETS + 2), np.zeros(BUCKETS + 2)
     for row in counted.collect():  # at most BUCKETS + 2 rows
         raw[row["bucket"]], good[row["bucket"]] = row["raw"], row["trusted"]
