@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,7 @@ from .trees import Tree
 
 SAMPLE = 100
 TOP = 10
-#: Queries that one exact search may hold in every task.
+#: Queries that one pass of an exact search holds in every task.
 MAX_QUERIES = 10_000
 ROUND_TRIP_BYTES = 65_536
 
@@ -30,14 +31,22 @@ def seeded_sample(entries: DataFrame, id_col: str, seed: int, n: int) -> DataFra
 def exact_top(corpus: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     """``query_id, neighbor_id, score, position``: best cosines, self excluded; ties by neighbor id.
 
-    ``corpus`` and ``queries`` are ``id, embedding``. A bounded query set goes to every task; each batch of the corpus is
-    one matrix product and passes on its best ``k`` per query, so the ranking shuffle carries queries x batches x k rows.
+    ``corpus`` and ``queries`` are ``id, embedding``. Queries go in blocks of about ``MAX_QUERIES``, one pass over the
+    corpus each. A block goes to every task; each batch of the corpus is one matrix product and passes on its best ``k``
+    per query, so the ranking shuffle of a block carries queries x batches x k rows.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    rows = queries.select("id", "embedding").limit(MAX_QUERIES + 1).collect()
-    if len(rows) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries; search in blocks of queries")
+    count = queries.count()
+    if count <= MAX_QUERIES:
+        return _exact_block(corpus, queries, k)
+    number = -(-count // MAX_QUERIES)
+    dealt = kept(queries.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(number)).alias("block")), "queries")
+    return reduce(DataFrame.unionByName, (kept(_exact_block(corpus, dealt.where(F.col("block") == n), k), "exact-block") for n in range(number)))
+
+
+def _exact_block(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    rows = queries.select("id", "embedding").collect()
     names = np.array([r["id"] for r in rows])
     matrix = np.array([r["embedding"] for r in rows], dtype=np.float64).reshape(len(rows), -1)
     matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
