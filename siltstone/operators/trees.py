@@ -81,17 +81,20 @@ def _halve(entries: DataFrame, depth: int) -> DataFrame:
 def build_tree(vectors: DataFrame, dims: int, method: str = "kmeans", clusters: int | None = None, seed: int = 0, block_bytes: int = BLOCK_BYTES) -> Tree:
     """Leaves of at most :func:`fan_out` entries, grouped by ``kmeans`` (cosine) or ``pca`` halving, then packed upward.
 
-    ``vectors`` is ``entry_ix, embedding``. Inside a cluster, entries fill leaves in ascending ``entry_ix``; clusters too
-    large for one task's window are cut by range first, so every window is over a bounded slice.
+    ``vectors`` is ``entry_ix, embedding``, with ids of any kind. Inside a cluster, entries fill leaves in ascending
+    ``entry_ix``: ranks are counted in range partitions, and each partition starts where the ones before it end.
     """
     size = fan_out(dims, block_bytes)
     total = vectors.count()
     wanted = clusters or max(1, -(-total // size))
     placed = _kmeans(vectors, max(2, wanted), seed) if method == "kmeans" else _halve(vectors, max(0, (wanted - 1).bit_length()))
-    placed = kept(placed.withColumn("slice", F.floor(F.col("entry_ix") / (size * 64))), "tree-leaves")
-    order = Window.partitionBy("cluster", "slice").orderBy("entry_ix")
-    leaf = F.floor((F.row_number().over(order) - 1) / size)
-    named = placed.withColumn("leaf", leaf).withColumn("block_id", F.format_string("0-%08d-%08d-%04d", "cluster", "slice", "leaf"))
+    placed = kept(placed.repartitionByRange("cluster", "entry_ix").withColumn("part", F.spark_partition_id()), "tree-leaves")
+    before = Window.partitionBy("cluster").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per cluster and partition
+    offsets = placed.groupBy("cluster", "part").agg(F.count("*").alias("n")).select("cluster", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    order = Window.partitionBy("cluster", "part").orderBy("entry_ix")
+    leaf = F.floor((F.col("offset") + F.col("at")) / size)
+    ranked = placed.withColumn("at", F.row_number().over(order) - 1).join(offsets, ["cluster", "part"]).withColumn("leaf", leaf)
+    named = ranked.withColumn("block_id", F.format_string("0-%08d-%08d-%04d", "cluster", F.floor(F.col("leaf") / 64), F.col("leaf") % 64))
     entries = kept(named.select("block_id", "entry_ix", F.col("embedding").cast("array<double>").alias("embedding")), "tree-entries")
     blocks, edges, parts, below, level = [], [], [entries], entries, 0
     while True:
