@@ -1,28 +1,27 @@
 """Personal data: base patterns, then information-theoretic sanitisation. DataFrame functions only.
 
 Base spans (email, ip, card, phone) are the protected entities. The method
-then asks which ordinary terms (letters only) give such an entity away. Corpus
-counts over whole documents give, for a term t and an entity e,
+then asks which ordinary terms (words of letters and digits outside base spans,
+lower-cased) give such an entity away. Over the N different texts of the whole
+corpus, with n(x) of them holding x,
 
-    disclosure(t, e) = PMI(t; e) / IC(e),   IC(e) = -log2 p(e),
+    disclosure(t, e) = PMI(t; e) / IC(e) = log2(n(t, e) N / (n(t) n(e))) / log2(N / n(e)),
 
-which is 1 when t occurs only with e. With ``whole`` (``op1_pii`` and the
-pipeline), every word outside the base spans of a text that holds e is a term,
-a pair has to be seen in ``MIN_CONTEXTS`` different texts (copies count once),
-and one with a disclosure of at least ``THRESHOLD`` becomes a span of kind
-``term`` at every occurrence of t in the texts that hold e. Without it, terms
-are words of 3 to 40 letters in the line around each entity, ``CONTEXT`` code
-points to either side, contexts are counted, and spans stay inside them.
-``sanitise`` generalises each span to its kind.
+which is 1 when t occurs only with e. A pair seen in ``MIN_TEXTS`` different
+texts (one text is no co-occurrence to estimate from) with a disclosure of
+``THRESHOLD`` or more makes every occurrence of t, in the texts that hold e, a
+span of kind ``term``. ``sanitise`` generalises each span to its kind.
 
 Plan: the patterns run as a narrow projection; only documents with an entity
-are written out and shuffled, and only those with an entity of enough different
-texts give pairs. Counts are aggregated before each shuffle; the corpus
-frequency of terms is aggregated before it meets the candidates.
-
-Edge cases: null or empty text has no spans; rows that repeat get equal
-results and count as one document for the statistics; null ids are kept; an
-empty table gives an empty result. Positions are code points, end exclusive.
+are written out. A pair can only reach the threshold if
+``n(t) <= n(e) (N / n(e)) ** (1 - threshold)``, so words meet the corpus counts
+before they meet entities, and frequent words pair with none. Entities of the
+same set of texts are one class and counted once. What is chosen goes back over
+the occurrences counted, so no join makes more rows than words occur.
+
+Edge cases: null or empty text has no spans; copies and repeated rows get equal
+results and count as one text in all four counts; null ids are kept; an empty
+table gives an empty result. Positions are code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -32,7 +31,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_key, staged, texts_of
+from .common import staged, texts_of
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: The contract's patterns; possessive and with look-behinds, so that a long run is read once.
@@ -44,10 +43,8 @@ PATTERNS = {
 }
 #: What a text must hold for a pattern to be worth running.
 _NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][ -]?[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
-WORD = r"\p{L}++"
-TERM = r"(?<=[^\p{L}])\p{L}{3,40}(?=[^\p{L}])"
-CONTEXT = 200
-MIN_CONTEXTS = 3
+WORD = r"[\p{L}\p{N}]++"
+MIN_TEXTS = 2
 THRESHOLD = 0.9
 _SPAN = "array<struct<start:int,kind_no:int,end:int,value:string>>"
 
@@ -97,93 +94,80 @@ def base_spans(text: Column) -> Column:
 
 
 def _scanned(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """Each row with its base spans and the 128 bits ``k1, k2`` that stand for its text."""
     text = F.coalesce("text", F.lit(""))
-    rows = texts_of(docs, carry).select("doc_id", id_key().alias("doc_key"), F.xxhash64(text, F.lit(7)).alias("text_key"), text.alias("text"), *(["carried"] if carry else []))
-    return rows.withColumn("base", F.when(text.rlike("[0-9@]"), base_spans(F.col("text"))).otherwise(F.array().cast(_SPAN)))
-
-
-def _context_terms(hit: DataFrame) -> DataFrame:
-    """``doc_key, text_key, entity, context, term, start, end``: letters-only words around each entity."""
-    one = hit.select("doc_key", "text_key", "text", F.explode("base").alias("span")).dropDuplicates(["doc_key", "text_key", "span"])
-    entity = F.concat(F.col("span.kind_no"), F.lit(":"), F.lower("span.value"))
-    # One code point more than the context tells whether the line goes on; a blank stands for the line's end.
-    start, end = F.col("span.start"), F.col("span.end")
-    before = F.substring("text", F.greatest(start - CONTEXT, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT)))
-    after = F.substring("text", end + 1, F.lit(CONTEXT))
-    left, right = F.substring_index(before, "\n", -1), F.substring_index(after, "\n", 1)
-    left = F.when((F.char_length(left) < F.char_length(before)) | (start <= CONTEXT), F.concat(F.lit(" "), left)).otherwise(left)
-    right = F.when(F.char_length(right) < CONTEXT, F.concat(right, F.lit(" "))).otherwise(right)
-    window = one.select("doc_key", "text_key", entity.alias("entity"), start.alias("s"), end.alias("e"), left.alias("left"), right.alias("right"))
-    sides = window.select(
-        "doc_key", "text_key", "entity", F.xxhash64("left", "right").alias("context"),
-        F.concat(
-            F.transform(_matches(F.concat("left", F.lit(" ")), TERM), lambda m: F.struct(m["value"], (F.col("s") - F.char_length("left") + m["start"]).alias("start"), (F.col("s") - F.char_length("left") + m["end"]).alias("end"))),
-            F.transform(_matches(F.concat(F.lit(" "), "right"), TERM), lambda m: F.struct(m["value"], (F.col("e") - 1 + m["start"]).alias("start"), (F.col("e") - 1 + m["end"]).alias("end"))),
-        ).alias("terms"),
-    )
-    flat = sides.select("doc_key", "text_key", "entity", "context", F.explode("terms").alias("t"))
-    return flat.select("doc_key", "text_key", "entity", "context", F.lower("t.value").alias("term"), "t.start", "t.end")
-
-
-def _term_documents(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """``term, n_t``: how many different documents hold each of ``terms`` (distinct), over the whole corpus."""
-    words = F.array_distinct(F.transform(F.split(F.coalesce("text", F.lit("")), r"[^\p{L}]+"), F.lower))
-    each = texts_of(docs).select(F.explode(words).alias("term"))
-    return each.groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term")
-
-
-def _disclosive(docs: DataFrame, candidates: DataFrame, threshold: float) -> DataFrame:
-    """``entity, term`` of the ``candidates`` (``entity, term, n_te, n_e``, written) with enough disclosure."""
-    counted = candidates.join(_term_documents(docs, candidates.select("term").distinct()), "term")
-    total = docs.count()
-    pmi = F.log2(F.col("n_te") * F.lit(float(total)) / (F.greatest("n_t", "n_te") * F.col("n_e")))
-    information = F.log2(F.lit(float(total)) / F.col("n_e"))
-    return counted.where((F.col("n_e") < total) & (pmi >= threshold * information)).select("entity", "term")
-
-
-def disclosive_pairs(docs: DataFrame, terms: DataFrame, min_contexts: int = MIN_CONTEXTS, threshold: float = THRESHOLD) -> DataFrame:
-    """``entity, term``: the pairs whose term discloses the entity, from ``terms`` of :func:`_context_terms`."""
-    per_doc = terms.groupBy("entity", "term", "doc_key", "text_key").agg(F.min("context").alias("context"))
-    contexts = terms.groupBy("entity", "term", "context").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count("*").alias("n_contexts"))
-    pairs = per_doc.groupBy("entity", "term").agg(F.count("*").alias("n_te")).join(contexts.where(F.col("n_contexts") >= min_contexts), ["entity", "term"])
-    entities = terms.groupBy("entity", "doc_key", "text_key").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    return _disclosive(docs, staged(pairs.select("entity", "term", "n_te").join(entities, "entity"), "pii-candidates"), threshold)
-
-
-def _whole_terms(docs: DataFrame, hit: DataFrame, min_texts: int, threshold: float) -> DataFrame:
-    """``doc_key, text_key, terms``: the terms that disclose an entity of the document, from all its words."""
+    rows = texts_of(docs, carry).select("doc_id", F.xxhash64(text, F.lit(7)).alias("k1"), F.xxhash64(F.lit(11), text).alias("k2"), text.alias("text"), *(["carried"] if carry else []))
+    return rows.withColumn("base", F.when(F.col("text").rlike("[0-9@]"), base_spans(F.col("text"))).otherwise(F.array().cast(_SPAN)))
+
+
+def _blanked() -> Column:
+    """The text with blanks in the place of base spans; positions stay."""
+    text, start = F.col("text"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        first = F.greatest(acc["at"], s["start"])
+        out = F.concat(acc["out"], F.substring(text, acc["at"] + 1, first - acc["at"]), F.repeat(F.lit(" "), s["end"] - first))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+
+    joined = F.aggregate("base", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
+    return F.when(F.size("base") == 0, text).otherwise(joined)
+
+
+def _words() -> Column:
+    """The different words of a text outside its base spans."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(_blanked(), F.lit(WORD), F.lit(0)), F.lower))
+
+
+def _text_counts(docs: DataFrame, copies: DataFrame, least: int, most: float) -> DataFrame:
+    """``term, n_t``: the different texts that hold each term, for terms of ``least`` to ``most`` texts.
+
+    A text of c rows counts 1 / c for each of them; the sums are whole but for rounding.
+    """
+    shared = copies.where("copies > 1").hint("shuffle_hash")
+    rows = _scanned(docs).select("k1", "k2", "text", "base").join(shared, ["k1", "k2"], "left")
+    each = rows.select((1 / F.coalesce("copies", F.lit(1))).alias("share"), F.explode(_words()).alias("term"))
+    return each.groupBy("term").agg(F.round(F.sum("share")).cast("long").alias("n_t")).where(F.col("n_t").between(least, most))
+
+
+def _study(docs: DataFrame, hit: DataFrame, min_texts: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``members`` (entity, c1, c2, n_e), ``seen`` (k1, k2, c1, c2, term: the occurrences) and ``chosen`` (c1, c2, term, n_te, n_t)."""
     names = F.array_distinct(F.transform("base", lambda s: F.concat(s["kind_no"], F.lit(":"), F.lower(s["value"]))))
-    holds = hit.select("doc_key", "text_key", F.explode(names).alias("entity")).distinct()
-    per_text = holds.groupBy("entity", "text_key").agg(F.count("*").alias("copies"))
-    entities = per_text.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count("*").alias("n_texts")).where(F.col("n_texts") >= min_texts)
-    held = staged(holds.join(entities.select("entity", "n_e"), "entity"), "pii-held")
-    texts = held.groupBy("text_key", "doc_key").agg(F.collect_set(F.struct("entity", "n_e")).alias("entities"))
-    words = F.array_distinct(F.transform(F.regexp_extract_all(_replaced(F.col("text"), F.col("base"), [" "] * 5), F.lit(WORD), F.lit(0)), F.lower))
-    first = texts.groupBy("text_key").agg(F.min("doc_key").alias("doc_key"), F.count("*").alias("copies"))
-    one = hit.join(first, ["text_key", "doc_key"]).dropDuplicates(["text_key"]).select("text_key", "doc_key", "copies", words.alias("words"))
-    flat = one.join(texts, ["text_key", "doc_key"]).select("copies", "words", F.explode("entities").alias("e")).select("copies", "e", F.explode("words").alias("term"))
-    pairs = flat.groupBy(F.col("e.entity").alias("entity"), F.col("e.n_e").alias("n_e"), "term").agg(F.sum("copies").alias("n_te"), F.count("*").alias("n_texts"))
-    candidates = staged(pairs.where(F.col("n_texts") >= min_texts).select("entity", "term", "n_te", "n_e"), "pii-candidates")
-    chosen = staged(_disclosive(docs, candidates, threshold), "pii-chosen")
-    return held.join(chosen, "entity").groupBy("doc_key", "text_key").agg(F.collect_set("term").alias("terms"))
-
-
-def find_private(docs: DataFrame, min_contexts: int = MIN_CONTEXTS, threshold: float = THRESHOLD, carry: Sequence[str] = (), whole: bool = False) -> DataFrame:
+    holds = staged(hit.select("k1", "k2", F.explode(names).alias("entity")).distinct(), "pii-holds")
+    # Entities of the same texts share these 128 bits, and so every count: they are one class.
+    signs = [F.bit_xor(F.xxhash64(F.lit(k), "k1", "k2")).alias(f"c{k}") for k in (1, 2)]
+    members = staged(holds.groupBy("entity").agg(F.count("*").alias("n_e"), *signs).where(F.col("n_e") >= min_texts), "pii-members")
+    classes = staged(holds.join(members, "entity").select("k1", "k2", "c1", "c2", "n_e").distinct(), "pii-classes")
+    copies = staged(_scanned(docs).groupBy("k1", "k2").agg(F.count("*").alias("copies")), "pii-copies")
+    total = float(copies.count())
+    # The most texts a term may be in, with some slack for rounding; exact decisions follow.
+    bound = F.col("n_e") * F.pow(F.lit(total) / F.col("n_e"), F.lit(1 - threshold)) * 1.000001
+    most = members.agg(F.max(bound)).first()[0] or 0.0
+    counts = staged(_text_counts(docs, copies, min_texts, most), "pii-counts")
+    texts = hit.join(classes.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+    words = texts.select("k1", "k2", F.explode(_words()).alias("term")).join(counts, "term")
+    seen = staged(words.join(classes, ["k1", "k2"]).where(F.col("n_t") <= bound), "pii-seen")
+    pairs = seen.groupBy("c1", "c2", "term").agg(F.count("*").alias("n_te"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t"))
+    pmi = F.log2(F.col("n_te") * F.lit(total) / (F.col("n_t") * F.col("n_e")))
+    information = F.log2(F.lit(total) / F.col("n_e"))
+    enough = (F.col("n_te") >= min_texts) & (F.col("n_e") < total) & (pmi >= threshold * information - 1e-12)
+    return members, seen, staged(pairs.where(enough).select("c1", "c2", "term", "n_te", "n_t"), "pii-chosen")
+
+
+def disclosive_pairs(docs: DataFrame, min_texts: int = MIN_TEXTS, threshold: float = THRESHOLD) -> DataFrame:
+    """``entity, term, n_te, n_t, n_e``: the pairs whose term discloses the entity (its kind's number, ``:``, its value in lower case)."""
+    members, _, chosen = _study(docs, staged(_scanned(docs).where(F.size("base") > 0), "pii-documents"), min_texts, threshold)
+    return members.join(chosen, ["c1", "c2"]).select("entity", "term", "n_te", "n_t", "n_e")
+
+
+def find_private(docs: DataFrame, min_texts: int = MIN_TEXTS, threshold: float = THRESHOLD, carry: Sequence[str] = ()) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, text, base, spans`` (``base`` and the term spans; and ``carried``)."""
     more = ["carried"] if carry else []
     hit = staged(_scanned(docs, carry).where(F.size("base") > 0), "pii-documents")
-    if whole:
-        joined = hit.join(_whole_terms(docs, hit, min_contexts, threshold), ["doc_key", "text_key"], "left")
-        places = F.transform(_matches(F.col("text"), WORD, F.col("terms")), lambda m: F.struct(m["start"], F.lit(4).alias("kind_no"), m["end"], F.lower(m["value"]).alias("value")))
-        joined = joined.withColumn("extra", F.when(F.col("terms").isNotNull(), places))
-    else:
-        terms = staged(_context_terms(hit), "pii-terms")
-        chosen = disclosive_pairs(docs, terms, min_contexts, threshold)
-        extra = terms.join(chosen, ["entity", "term"]).select("doc_key", "text_key", "start", "end", "term")
-        extra = extra.groupBy("doc_key", "text_key").agg(F.collect_set(F.struct("start", F.lit(4).alias("kind_no"), "end", F.col("term").alias("value"))).alias("extra"))
-        joined = hit.join(extra, ["doc_key", "text_key"], "left")
-    clear = F.filter("extra", lambda x: ~F.exists("base", lambda b: (x["start"] < b["end"]) & (b["start"] < x["end"])))
-    spans = F.when(F.col("extra").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", clear)))
+    _, seen, chosen = _study(docs, hit, min_texts, threshold)
+    terms = seen.join(chosen.select("c1", "c2", "term"), ["c1", "c2", "term"]).groupBy("k1", "k2").agg(F.collect_set("term").alias("terms"))
+    joined = hit.join(staged(terms, "pii-terms"), ["k1", "k2"], "left")
+    places = F.transform(_matches(_blanked(), WORD, F.col("terms")), lambda m: F.struct(m["start"], F.lit(4).alias("kind_no"), m["end"], F.lower(m["value"]).alias("value")))
+    spans = F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", places)))
     found = joined.select("doc_id", "text", "base", spans.alias("spans"), *more)
     nothing = _scanned(docs, carry).where(F.size("base") == 0).select("doc_id", "text", "base", F.col("base").alias("spans"), *more)
     return found.unionByName(nothing)
@@ -195,19 +179,14 @@ def span_list(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind_no"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _replaced(text: Column, spans: Column, names: Sequence[str]) -> Column:
-    """The text with each span replaced by its kind's name; overlapping spans become one, named by the first."""
-    listed = F.array(*(F.lit(n) for n in names))
+def sanitise(text: Column, spans: Column) -> Column:
+    """The text with each span generalised to ``[KIND]``; overlapping spans become one, named by the first."""
+    names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
-        fresh = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.element_at(listed, s["kind_no"] + 1))
+        fresh = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.element_at(names, s["kind_no"] + 1))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
 
     joined = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
     return F.when(F.size(spans) == 0, text).otherwise(joined)
-
-
-def sanitise(text: Column, spans: Column) -> Column:
-    """The text with each span generalised to ``[KIND]``; overlapping spans become one, named by the first."""
-    return _replaced(text, spans, [f"[{k.upper()}]" for k in KINDS])

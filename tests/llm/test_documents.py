@@ -61,18 +61,77 @@ def test_base_spans(spark):
         assert set(filter(None, r.b.split(","))) <= set(r.s.split(","))
 
 
-def test_terms_that_disclose_an_entity_are_spans_and_copies_are_one_context(spark):
+def test_terms_that_disclose_an_entity_are_spans_and_copies_are_one_text(spark):
     filler = [(1000 + i, f"nothing {w} here the", None) for i, w in enumerate("abc def ghi jkl".split() * 20)]
     told = [(i, f"the {w} Zorblax secretly owns\nq@x.org the {w} Zorblax", None) for i, w in enumerate(("red", "blue", "green", "grey"))]
     copies = [(500 + i, "the Rarity word beside c@x.org", None) for i in range(5)]
     out = pii.find_private(cases.table(spark, filler + told + copies)).collect()
     for r in out:
         extra = [r.text[s.start : s.end] for s in r.spans if s.kind_no == 4]
-        assert extra == (["Zorblax"] if "q@x.org" in r.text else [])
+        assert extra == (["Zorblax", "secretly", "owns", "Zorblax"] if "q@x.org" in r.text else [])
     clean = pii.find_private(cases.table(spark, told + filler)).select(pii.sanitise(F.col("text"), F.col("spans")).alias("t")).collect()
     assert any(r.t.endswith("[EMAIL] the red [TERM]") for r in clean)
 
 
+def _blanked(text):
+    """Base spans as blanks, and the entities."""
+    chars, found = list(text or ""), set()
+    for i, (k, p) in enumerate(PATTERNS):
+        for m in re.finditer(p, text or ""):
+            if _fits(k, m.group()):
+                found.add(f"{i}:{m.group().lower()}")
+                chars[m.start() : m.end()] = " " * (m.end() - m.start())
+    return "".join(chars), found
+
+
+_WORD = re.compile(r"[^\W_]+")
+
+
+def brute_pairs(texts, min_texts, threshold):
+    """Every disclosing (entity, term) with its counts, over the distinct texts."""
+    n_t, n_e, n_te = Counter(), Counter(), Counter()
+    once = set(t or "" for t in texts)
+    for t in once:
+        rest, entities = _blanked(t)
+        words = {w.lower() for w in _WORD.findall(rest)}
+        n_t.update(words)
+        n_e.update(entities)
+        n_te.update((e, w) for e in entities for w in words)
+    out = {}
+    for (e, w), k in n_te.items():
+        if k >= min_texts and n_e[e] < len(once) and np.log2(k * len(once) / (n_t[w] * n_e[e])) >= threshold * np.log2(len(once) / n_e[e]) - 1e-12:
+            out[(e, w)] = (k, n_t[w], n_e[e])
+    return out
+
+
+def _told(seed):
+    """Texts in which entities recur, with names near them, copies, repeated rows and spans that overlap."""
+    rng = np.random.default_rng(seed)
+    words = [f"w{i}x" for i in range(60)]
+    entities = ["q@x.org", "Q@X.ORG", "10.0.0.1", "+44 20 7946 0958", "4111 1111 1111 1111.1.1.1", "rare@y.z", "+1 555 555 0100"]
+    rows = []
+    for i in range(80):
+        body = list(rng.choice(words, rng.integers(1, 30)))
+        if i % 3 == 0:
+            e = int(rng.integers(0, len(entities)))
+            body += [entities[e], f"Name{e}", f"other{int(rng.integers(0, 9))}"]
+            body = list(rng.permutation(body))
+        rows.append((i, " ".join(body).replace(" w7x ", "\n"), None))
+    return rows + [(200 + i, rows[3 * (i % 5)][1], None) for i in range(20)] + rows[:6] + [(300, None, None), (None, "Name0 q@x.org", None)]
+
+
+@pytest.mark.parametrize("min_texts,threshold", [(pii.MIN_TEXTS, pii.THRESHOLD), (3, 0.5), (2, 0.2)])
+def test_disclosive_pairs_equal_plain_counts(spark, min_texts, threshold):
+    rows = _told(min_texts) + ROWS
+    want = brute_pairs([t for _, t, _ in rows], min_texts, threshold)
+    got = {(r.entity, r.term): (r.n_te, r.n_t, r.n_e) for r in pii.disclosive_pairs(cases.table(spark, rows), min_texts, threshold).collect()}
+    assert got == want and want
+    for r in pii.find_private(cases.table(spark, rows), min_texts, threshold).collect():
+        rest, entities = _blanked(r.text)
+        marked = [(m.start(), m.end()) for m in _WORD.finditer(rest) if any((e, m.group().lower()) in want for e in entities)]
+        assert [(s.start, s.end) for s in r.spans if s.kind_no == 4] == marked
+
+
 # --- quality ----------------------------------------------------------------------------------------------
 
 
