@@ -1,9 +1,11 @@
 """Personal data: base patterns, then information-theoretic sanitisation. DataFrame functions only.
 
-Base spans (email, ip, card, phone) are the protected entities. The method
-then asks which ordinary terms (words of letters and digits outside base spans,
-lower-cased) give such an entity away. Over the N different texts of the whole
-corpus, with n(x) of them holding x,
+Base spans (email, ip, card, phone) are the protected entities, each by its
+value and by what the value belongs to (an address's domain, a network, a
+card's issuer, a dialling area). The method then asks which ordinary terms
+(words of letters and digits outside base spans, lower-cased) give such an
+entity away. Over the N different texts of the whole corpus, with n(x) of them
+holding x,
 
     disclosure(t, e) = PMI(t; e) / IC(e) = log2(n(t, e) N / (n(t) n(e))) / log2(N / n(e)),
 
@@ -100,6 +102,18 @@ def _scanned(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     return rows.withColumn("base", F.when(F.col("text").rlike("[0-9@]"), base_spans(F.col("text"))).otherwise(F.array().cast(_SPAN)))
 
 
+def _entities() -> Column:
+    """What the base spans of a text protect: ``kind:value`` and ``kind/group`` of each, the kind by its number."""
+
+    def of(s: Column) -> Column:
+        value, digits = F.lower(s["value"]), F.regexp_replace(s["value"], "[^0-9]", "")
+        group = F.when(s["kind_no"] == 0, F.substring_index(value, "@", -1)).when(s["kind_no"] == 1, F.substring_index(value, ".", 3))
+        group = group.when(s["kind_no"] == 2, F.left(digits, F.lit(6))).otherwise(F.left(digits, F.lit(4)))
+        return F.array(F.concat(s["kind_no"], F.lit(":"), value), F.concat(s["kind_no"], F.lit("/"), group))
+
+    return F.array_distinct(F.flatten(F.transform("base", of)))
+
+
 def _blanked() -> Column:
     """The text with blanks in the place of base spans; positions stay."""
     text, start = F.col("text"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
@@ -131,8 +145,7 @@ def _text_counts(docs: DataFrame, copies: DataFrame, least: int, most: float) ->
 
 def _study(docs: DataFrame, hit: DataFrame, min_texts: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``members`` (entity, c1, c2, n_e), ``seen`` (k1, k2, c1, c2, term: the occurrences) and ``chosen`` (c1, c2, term, n_te, n_t)."""
-    names = F.array_distinct(F.transform("base", lambda s: F.concat(s["kind_no"], F.lit(":"), F.lower(s["value"]))))
-    holds = staged(hit.select("k1", "k2", F.explode(names).alias("entity")).distinct(), "pii-holds")
+    holds = staged(hit.select("k1", "k2", F.explode(_entities()).alias("entity")).distinct(), "pii-holds")
     # Entities of the same texts share these 128 bits, and so every count: they are one class.
     signs = [F.bit_xor(F.xxhash64(F.lit(k), "k1", "k2")).alias(f"c{k}") for k in (1, 2)]
     members = staged(holds.groupBy("entity").agg(F.count("*").alias("n_e"), *signs).where(F.col("n_e") >= min_texts), "pii-members")
@@ -154,7 +167,7 @@ def _study(docs: DataFrame, hit: DataFrame, min_texts: int, threshold: float) ->
 
 
 def disclosive_pairs(docs: DataFrame, min_texts: int = MIN_TEXTS, threshold: float = THRESHOLD) -> DataFrame:
-    """``entity, term, n_te, n_t, n_e``: the pairs whose term discloses the entity (its kind's number, ``:``, its value in lower case)."""
+    """``entity, term, n_te, n_t, n_e``: the pairs whose term discloses the entity (of :func:`_entities`)."""
     members, _, chosen = _study(docs, staged(_scanned(docs).where(F.size("base") > 0), "pii-documents"), min_texts, threshold)
     return members.join(chosen, ["c1", "c2"]).select("entity", "term", "n_te", "n_t", "n_e")
 

@@ -79,7 +79,8 @@ def _blanked(text):
     for i, (k, p) in enumerate(PATTERNS):
         for m in re.finditer(p, text or ""):
             if _fits(k, m.group()):
-                found.add(f"{i}:{m.group().lower()}")
+                value, digits = m.group().lower(), re.sub("[^0-9]", "", m.group())
+                found |= {f"{i}:{value}", f"{i}/{(value.split('@')[-1], '.'.join(value.split('.')[:3]), digits[:6], digits[:4])[i]}"}
                 chars[m.start() : m.end()] = " " * (m.end() - m.start())
     return "".join(chars), found
 
@@ -108,7 +109,7 @@ def _told(seed):
     """Texts in which entities recur, with names near them, copies, repeated rows and spans that overlap."""
     rng = np.random.default_rng(seed)
     words = [f"w{i}x" for i in range(60)]
-    entities = ["q@x.org", "Q@X.ORG", "10.0.0.1", "+44 20 7946 0958", "4111 1111 1111 1111.1.1.1", "rare@y.z", "+1 555 555 0100"]
+    entities = ["q@x.org", "Q@X.ORG", "10.0.0.1", "+44 20 7946 0958", "4111 1111 1111 1111.1.1.1", "rare@y.z", "+1 555 555 0100", "p@x.org", "10.0.0.2", "10.0.0.3"]
     rows = []
     for i in range(80):
         body = list(rng.choice(words, rng.integers(1, 30)))
