@@ -4,7 +4,8 @@ A text gets a leading blank, and blanks mark words (pieces write them as U+2581)
 No piece reaches past the start of a word, so the best segmentation of a text
 is that of its marked words. The distinct words of a block are sorted, which
 lays their trie out in depth-first order: each word keeps the forward scores of
-the prefix that it shares with the word before and computes only the rest.
+the prefix that it shares with the word before and computes only the rest. An
+automaton over the pieces names, at each node, the pieces that end there.
 Scores are those of the model file; on ties the longer last piece wins.
 Characters without a piece cost ``UNKNOWN_PENALTY`` more than the worst piece
 and are written as byte pieces, so decoding returns the exact text.
@@ -16,13 +17,14 @@ get equal ids; null ids are kept; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import DataFrame
 
 from .common import blocks, texts_of
@@ -33,7 +35,9 @@ MARK = "▁"
 BLOCK_BYTES = 4_000_000
 #: Words whose ids a Python worker keeps from block to block.
 KEPT_WORDS = 120_000
-_WORD = regex.compile(r"\n| +(?=\n|\Z)| *[^ \n]+")
+_WORD = re.compile(r"\n| +(?=\n|\Z)| *[^ \n]+")
+#: Characters of a word that are compared with the word before; what is shared beyond them is solved again.
+_COMPARED = 32
 
 
 def default_model() -> str:
@@ -42,6 +46,15 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def _shared(words: list[str]) -> list[int]:
+    """How many leading characters each word shares with the one before, of the first ``_COMPARED``."""
+    points = np.array(words, dtype=f"U{_COMPARED}").view(np.uint32).reshape(len(words), _COMPARED)
+    apart = np.ones((len(words), _COMPARED + 1), dtype=bool)
+    apart[1:, :-1] = (points[1:] != points[:-1]) | (points[1:] == 0)
+    apart[:1, 0] = True
+    return apart.argmax(axis=1).tolist()
+
+
 class PieceModel:
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
@@ -64,71 +77,95 @@ class PieceModel:
                 self.bytes_of.append(raw.encode())
         if min(self.byte_ids) < 0:
             raise ValueError("the vocabulary has no byte pieces")
-        if any("\n" in p or regex.search(r"[^ ] ", p) for p in self.scores):
+        if any("\n" in p or re.search(r"[^ ] ", p) for p in self.scores):
             raise ValueError("a piece reaches over a word's start or a line feed")
-        #: Score and id of each piece, and (0, -1) for what only begins pieces.
-        self.prefixes = {p[:k]: (0.0, -1) for p in self.scores for k in range(1, len(p))} | self.scores
+        self._index()
         self.unknown = min(s for s, _ in self.scores.values()) - UNKNOWN_PENALTY
         self.kept: dict[str, np.ndarray] = {}
 
+    def _index(self) -> None:
+        """For each prefix of a piece (a state): its next states, its longest proper suffix that is a state, and the pieces that end there, longest first."""
+        self.next: list[dict[str, int]] = [{}]
+        ends: list[tuple] = [()]
+        for piece, (score, i) in self.scores.items():
+            state = 0
+            for char in piece:
+                if char not in self.next[state]:
+                    self.next[state][char] = len(self.next)
+                    self.next.append({})
+                    ends.append(())
+                state = self.next[state][char]
+            ends[state] = ((len(piece), score, i),)
+        self.suffix, self.ends = [0] * len(ends), ends
+        todo = list(self.next[0].values())
+        for state in todo:  # breadth first: suffixes are shorter, so they are complete
+            ends[state] += ends[self.suffix[state]]
+            for char, below in self.next[state].items():
+                self.suffix[below] = self._step(self.suffix[state], char)
+                todo.append(below)
+
+    def _step(self, state: int, char: str) -> int:
+        while char not in self.next[state]:
+            if not state:
+                return 0
+            state = self.suffix[state]
+        return self.next[state][char]
+
     def viterbi(self, words: list[str]) -> list[list[int]]:
         """Best ids of each word; ``words`` are distinct and sorted, so neighbours share prefixes."""
-        look, scores, unknown = self.prefixes.get, self.scores, self.unknown
+        below, ends, step, scores, unknown = self.next, self.ends, self._step, self.scores, self.unknown
         best: list[float] = [0.0]
-        back: list[tuple[int, int]] = [(0, 0)]  # per prefix: start and id of its last piece
-        open_: list[list[int]] = [[]]  # per prefix: starts from which some piece may still reach on
-        before, out = "", []
-        for word in words:
-            shared = 0
-            for a, b in zip(before, word):
-                if a != b:
-                    break
-                shared += 1
-            del best[shared + 1 :], back[shared + 1 :], open_[shared + 1 :]
+        back: list[tuple[int, float, int]] = [(0, 0.0, 0)]  # per prefix: its last piece
+        states = [0]
+        out = []
+        for word, shared in zip(words, _shared(words)):
+            del best[shared + 1 :], back[shared + 1 :], states[shared + 1 :]
+            state = states[-1]
             for end in range(shared + 1, len(word) + 1):
-                top, last, still = -1e300, (0, -1), []
-                for start in (*open_[-1], end - 1):  # longest piece first
-                    found = look(word[start:end])
-                    if found is not None:
-                        still.append(start)
-                        if found[1] >= 0 and best[start] + found[0] > top:
-                            top, last = best[start] + found[0], (start, found[1])
-                if word[end - 1] not in scores and best[end - 1] + unknown > top:
-                    top, last = best[end - 1] + unknown, (end - 1, -1)
+                char = word[end - 1]
+                found = below[state].get(char)
+                state = step(state, char) if found is None else found
+                top, last = -1e300, None
+                for piece in ends[state]:
+                    value = best[end - piece[0]] + piece[1]
+                    if value > top:
+                        top, last = value, piece
+                if char not in scores and best[-1] + unknown > top:
+                    top, last = best[-1] + unknown, (1, unknown, -1)
                 best.append(top)
                 back.append(last)
-                open_.append(still)
+                states.append(state)
             ids: list[int] = []
             end = len(word)
             while end:
-                start, piece = back[end]
+                size, _, piece = back[end]
                 if piece < 0:
-                    ids += [self.byte_ids[b] for b in reversed(word[start:end].encode())]
+                    ids += [self.byte_ids[b] for b in reversed(word[end - 1].encode())]
                 else:
                     ids.append(piece)
-                end = start
-            out.append(ids[::-1])
-            before = word
+                end -= size
+            ids.reverse()
+            out.append(ids)
         return out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and how many each has."""
         split = [_WORD.findall(" " + t) if t else [] for t in texts]
-        number: dict[str, int] = {}
-        used = np.array([number.setdefault(w, len(number)) for words in split for w in words], dtype=np.int64)
+        ends = np.cumsum([len(words) for words in split])
+        number = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(split)))}
+        used = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=int(ends[-1]) if len(ends) else 0)
         if len(self.kept) > KEPT_WORDS:
             self.kept = {}
         fresh = sorted(number.keys() - self.kept.keys())
         made = dict(zip(fresh, self.viterbi(fresh)))
         ids = [made[w] if w in made else self.kept[w] for w in number]
         size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        flat = np.fromiter((i for word in ids for i in word), dtype=np.uint32, count=int(size.sum()))
+        flat = np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(size.sum()))
         often = np.bincount(used, minlength=len(number)) > 1
         for word, again in zip(number, often):
             if again and word in made:
                 self.kept[word] = made[word]
         run = np.concatenate(([0], np.cumsum(size[used])))
-        ends = np.cumsum([len(words) for words in split])
         return ragged(flat, (np.cumsum(size) - size)[used], size[used]), np.diff(run[np.concatenate(([0], ends))])
 
     def decode(self, ids: np.ndarray) -> str:
