@@ -1,14 +1,15 @@
 """Line dedup with DataFrame functions only.
 
 1. Each line's key is hashed to 128 bits; the index (hash, document, position)
-   is range-partitioned and sorted by hash, document and position, and written
-   once. The document is part of the range, so a line that a third of all
-   documents share is spread over many tasks.
-2. First occurrences stream out of the sorted partitions: one row per hash and
-   partition (partial aggregation), then one per hash with two documents.
-3. The index joins the repeated hashes; what is dropped becomes one compressed
-   keep bitmap per document (runs of kept lines), and only this small row meets
-   the text again.
+   is written once, without text.
+2. The index is range-partitioned by hash, document and position and sorted in
+   that order. The document is part of the range, so a line that a third of all
+   documents share is spread over many tasks. First occurrences stream out of
+   the sorted partitions (an aggregation that follows the sort order and holds
+   one hash at a time); one row per hash and partition meets the others.
+3. The index joins the repeated hashes. What is dropped becomes one compressed
+   keep bitmap per document (its runs of dropped lines; the rest is kept), and
+   only this small row meets the text again.
 
 Edge cases: null or empty text is one empty line; a null ``doc_id`` counts as
 the smallest id; rows that share a ``doc_id`` are one document, so they never
@@ -42,27 +43,40 @@ def _prepared(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
 
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``doc_key, text_key, dropped``: sorted positions of dropped lines, for documents that lose any."""
+    """``doc_key, text_key, bitmap, n_dropped`` of documents that lose lines; ``bitmap``: the dropped runs as ``array<struct<start, length>>``."""
     return _bitmaps(_prepared(docs), min_chars)
 
 
+def _first_occurrences(index: DataFrame) -> DataFrame:
+    """``h1, h2, first_doc``: the first document of each hash that a later one holds too."""
+    ordered = index.repartitionByRange("h1", "h2", "doc_key", "pos").sortWithinPartitions("h1", "h2", "doc_key", "pos")
+    # The least struct is aggregated in sort order, without a hash table of all lines.
+    first = ordered.groupBy("h1", "h2").agg(F.min(F.struct("doc_key", "pos")).alias("first"), F.max("doc_key").alias("last_doc"))
+    return first.where("first.doc_key < last_doc").select("h1", "h2", F.col("first.doc_key").alias("first_doc"))
+
+
 def _bitmaps(docs: DataFrame, min_chars: int) -> DataFrame:
     lines = docs.select("doc_key", "text_key", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     keyed = lines.select("doc_key", "text_key", "pos", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= min_chars)
-    hashed = keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(11), F.col("key")).alias("h2"), "doc_key", "pos", "text_key")
-    ordered = hashed.repartitionByRange("h1", "h2", "doc_key", "pos").sortWithinPartitions("h1", "h2", "doc_key", "pos")
-    index = staged(ordered, "line-index")
-    first = index.groupBy("h1", "h2").agg(F.min("doc_key").alias("first_doc"), F.max("doc_key").alias("last_doc"))
+    index = staged(keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(11), F.col("key")).alias("h2"), "doc_key", "pos", "text_key"), "line-index")
     # Written, so that both sides of the join are plain exchanges and a line of many documents is split over tasks.
-    repeated = staged(first.where("first_doc < last_doc").drop("last_doc"), "line-repeats")
+    repeated = staged(_first_occurrences(index), "line-repeats")
     lost = index.join(repeated, ["h1", "h2"]).where("doc_key > first_doc")
-    return lost.groupBy("doc_key", "text_key").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
+    gone = lost.groupBy("doc_key", "text_key").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
+    return gone.select("doc_key", "text_key", _runs(F.col("gone")).alias("bitmap"), F.size("gone").alias("n_dropped"))
+
+
+def _runs(gone: Column) -> Column:
+    """Sorted positions as runs: ``array<struct<start, length>>``."""
+    starts = F.filter(gone, lambda p, i: (i == 0) | (F.get(gone, i - 1) < p - 1))
+    lasts = F.filter(gone, lambda p, i: (i == F.size(gone) - 1) | (F.get(gone, i + 1) > p + 1))
+    return F.zip_with(starts, lasts, lambda s, e: F.struct(s.alias("start"), (e - s + 1).alias("length")))
 
 
-def _keep_runs(dropped: Column, n_lines: Column) -> Column:
-    """Runs of kept lines: ``array<struct<start, length>>``, the run-length form of the keep bitmap."""
-    ends = F.concat(dropped, F.array(n_lines))
-    starts = F.concat(F.array(F.lit(0)), F.transform(dropped, lambda p: p + 1))
+def _kept_runs(bitmap: Column, n_lines: Column) -> Column:
+    """The runs between the dropped ones."""
+    starts = F.concat(F.array(F.lit(0)), F.transform(bitmap, lambda r: r["start"] + r["length"]))
+    ends = F.concat(F.transform(bitmap, lambda r: r["start"]), F.array(n_lines))
     runs = F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("start"), (e - s).alias("length")))
     return F.filter(runs, lambda r: r["length"] > 0)
 
@@ -73,13 +87,13 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, carry: Sequence[str
     bitmaps = _bitmaps(whole, min_chars).hint("shuffle_hash")
     joined = whole.join(bitmaps, ["doc_key", "text_key"], "left")
     lines = F.split("text", "\n", -1)
-    some = joined.withColumn("n_lines", F.size(lines)).withColumn("keep_runs", _keep_runs(F.coalesce("dropped", F.array().cast("array<int>")), F.col("n_lines")))
+    some = joined.withColumn("n_lines", F.size(lines)).withColumn("keep_runs", _kept_runs(F.coalesce("bitmap", F.array().cast("array<struct<start:int,length:int>>")), F.col("n_lines")))
     kept = F.flatten(F.transform("keep_runs", lambda r: F.slice(lines, r["start"] + 1, r["length"])))
     return some.select(
         "doc_id",
         F.col("n_lines").cast("long").alias("n_lines"),
-        F.when(F.col("dropped").isNull(), 0).otherwise(F.size("dropped")).cast("long").alias("n_dropped"),
+        F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"),
         "keep_runs",
-        F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
+        F.when(F.col("bitmap").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
         *(["carried"] if carry else []),
     )

@@ -228,6 +228,22 @@ def test_line_dedup(spark):
         assert sum(x.length for x in r.keep_runs) == r.n_lines - r.n_dropped
 
 
+def test_keep_bitmaps_are_runs_of_dropped_lines(spark):
+    rows = [(1, "\n".join(f"the common line {i}" for i in range(12)), None), (2, "\n".join(f"{'the common' if i in (0, 1, 2, 5, 10, 11) else 'my very own'} line {i}" for i in range(12)), None)]
+    (r,) = lines.keep_bitmaps(cases.table(spark, rows)).collect()
+    assert (r.doc_key, r.n_dropped, [tuple(x) for x in r.bitmap]) == (2, 6, [(0, 3), (5, 1), (10, 2)])
+
+
+def test_first_occurrences_stream_in_sort_order(spark, capsys):
+    """The range-partitioned order feeds the aggregation: no other sort and no hash table before it."""
+    index = spark.range(100).selectExpr("id % 7 AS h1", "id % 7 AS h2", "id AS doc_key", "int(id) AS pos", "id AS text_key")
+    assert {(r.h1, r.first_doc) for r in lines._first_occurrences(index).collect()} == {(i, i) for i in range(7)}
+    lines._first_occurrences(index).explain()
+    plan = capsys.readouterr().out
+    partial = plan[plan.index("partial_min") :]
+    assert "HashAggregate" not in plan and partial.index("Sort [h1") < partial.index("rangepartitioning") and partial.count("Sort [") == 1
+
+
 def test_only_ascii_letters_are_folded(spark):
     rows = [(1, "Same Line ÉTÉ é", None), (2, "same line ÉTÉ é", None), (3, "same line été é", None), (4, " \x0bSAME LINE ÉTÉ é\r", None)]
     assert {r.doc_id: r.n_dropped for r in lines.dedup_lines(cases.table(spark, rows)).collect()} == {1: 0, 2: 1, 3: 0, 4: 1}
