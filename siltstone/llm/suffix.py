@@ -13,12 +13,16 @@ row per anchor stands for the run of windows that share it.
 3. Suffix arrays: each group of fine pieces with one core becomes strings of
    the bytes left of the core, one symbol for the core, and the bytes right of
    it. Suffix sorting by linear grouping (:mod:`gsaca`) brings equal windows
-   together: a window repeats if a neighbour shares ``FINE`` symbols with it.
-   Groups of more than ``HOT`` different pieces (a common passage between
-   unlike neighbours) are counted window by window instead, spread by hash.
+   together: a window repeats if a neighbour shares all its symbols.
+   A group of more than ``HOT`` different pieces (a common passage between
+   unlike neighbours) is split first: of its windows, those that begin in the
+   half of the places nearer to the core share a longer core, and so do the
+   others. Halves are groups of their own, and are split again if need be; a
+   half of one place has one piece only.
 4. The repeated windows of a document meet its text again and are cut out.
 
-Hashes that decide equality are 128 bits (two independent 64-bit hashes).
+Hashes that decide equality are 128 bits (two independent 64-bit hashes), and
+so are the keys by which a row finds its text again.
 
 Edge cases: null or empty text has nothing to remove; texts shorter than
 ``MATCH`` bytes stay whole; rows that repeat are two places, so long equal rows
@@ -36,14 +40,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, id_key, mix, staged, texts_of
+from .common import blocks, mix, staged, texts_of
 from .gsaca import suffix_array
 
 MATCH = 400
 GRAM = 8
 #: Windows per anchor at most: in the first pass, and for the edges.
 COARSE, FINE = 256, 32
-#: Different pieces of one core that a suffix array takes.
+#: Different pieces of one core that a suffix array takes; larger groups are split.
 HOT = 512
 #: Contested pieces per task.
 TASK_PIECES = 5_000
@@ -79,7 +83,7 @@ def _anchors(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, run: int)
     return window[first], window[last], anchor[first]
 
 
-_COARSE_ROWS = "doc_key long, text_key int, lo int, hi int, h long, p long"
+_COARSE_ROWS = "doc_key long, text_key long, lo int, hi int, h long, p long"
 
 
 def _coarse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +103,7 @@ def _coarse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-_FINE_ROWS = "doc_key long, text_key int, weight int, lo int, size int, h long, p long, left binary, right binary"
+_FINE_ROWS = "doc_key long, text_key long, weight int, lo int, size int, h long, p long, left binary, right binary"
 
 
 def _fine_batch(work: list[tuple]) -> pa.RecordBatch:
@@ -119,7 +123,7 @@ def _fine_batch(work: list[tuple]) -> pa.RecordBatch:
     column = lambda k, kind: pa.array([w[k] for w in work], kind).take(pa.array(owner))
     lo = np.array([w[3] for w in work], dtype=np.int64)[owner] + first - begins[owner]
     hashes = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (h, p)]
-    values = [column(0, pa.int64()), column(1, pa.int32()), column(2, pa.int32()), pa.array(lo.astype(np.int32)), pa.array((last - first + 1).astype(np.int32)), *hashes, pa.array(left, pa.binary()), pa.array(right, pa.binary())]
+    values = [column(0, pa.int64()), column(1, pa.int64()), column(2, pa.int32()), pa.array(lo.astype(np.int32)), pa.array((last - first + 1).astype(np.int32)), *hashes, pa.array(left, pa.binary()), pa.array(right, pa.binary())]
     return pa.RecordBatch.from_arrays(values, [c.split()[0] for c in _FINE_ROWS.split(", ")])
 
 
@@ -140,8 +144,8 @@ def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _fine_batch(work)
 
 
-def repeated_windows(groups: list[int], lefts: list[bytes], rights: list[bytes]) -> list[list[int]]:
-    """For each piece: the windows (by number) that another place among the pieces repeats, by a suffix array."""
+def repeated_windows(groups: list[int], lefts: list[bytes], rights: list[bytes], width: int = FINE) -> list[list[int]]:
+    """For each piece: the windows of ``width`` symbols (by number) that another place among the pieces repeats, by a suffix array."""
     cores = {h: i for i, h in enumerate(dict.fromkeys(groups))}
     low = len(lefts) + 256  # symbols: ends of strings (all different), bytes, cores
     text: list[int] = []
@@ -153,9 +157,9 @@ def repeated_windows(groups: list[int], lefts: list[bytes], rights: list[bytes])
         text += [b + len(lefts) for b in right]
         text.append(i)
     sa = np.array(suffix_array(text))
-    symbols = np.concatenate((np.array(text), -1 - np.arange(FINE)))
+    symbols = np.concatenate((np.array(text), -1 - np.arange(width)))
     alike = np.ones(len(sa) - 1, dtype=bool)
-    for k in range(FINE):
+    for k in range(width):
         alike &= symbols[sa[:-1] + k] == symbols[sa[1:] + k]
     again = np.zeros(len(text) + 1, dtype=bool)
     again[sa[:-1][alike]] = True
@@ -166,42 +170,80 @@ def repeated_windows(groups: list[int], lefts: list[bytes], rights: list[bytes])
 _RANGES = "h long, p long, first int, last int"
 
 
-def _suffix_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _suffix_groups(width: int):
     """Rows (h, p, left, right), whole groups per partition, sorted by h: the repeated windows as ranges."""
-    held: list[tuple] = []
-    symbols = 0
-
-    def flush() -> pa.RecordBatch:
-        found = repeated_windows(*(list(c) for c in zip(*((h, left, right) for h, _, left, right in held))))
-        rows = []
-        for (h, p, *_), windows in zip(held, found):
-            for w in windows:
-                if rows and rows[-1][:2] == [h, p] and rows[-1][3] == w - 1:
-                    rows[-1][3] = w
-                else:
-                    rows.append([h, p, w, w])
-        columns = list(zip(*rows)) or [()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["h", "p", "first", "last"])
 
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if symbols > ARRAY_SYMBOLS and row[0] != held[-1][0]:
-                yield flush()
-                held, symbols = [], 0
-            held.append(row)
-            symbols += len(row[2]) + len(row[3]) + 2
-    if held:
-        yield flush()
-
-
-def _hot_windows(hot: DataFrame) -> DataFrame:
-    """The same answer for groups too large for one task: windows counted by hash."""
-    each = hot.select("h", "p", "n", "left", "right", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("t"))
-    rest = F.octet_length("left") - F.col("t")
-    body = [F.col("h"), rest, F.substr("left", F.col("t") + 1), F.substring("right", F.lit(1), F.lit(FINE - 1) - rest)]
-    each = each.select("h", "p", "n", "t", F.xxhash64(*body).alias("k1"), F.xxhash64(F.lit(13), *body).alias("k2"))
-    twice = staged(each.groupBy("k1", "k2").agg(F.sum("n").alias("places")).where("places > 1").drop("places"), "repeats-hot")
-    return each.join(twice, ["k1", "k2"]).select("h", "p", F.col("t").alias("first"), F.col("t").alias("last"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        symbols = 0
+
+        def flush() -> pa.RecordBatch:
+            found = repeated_windows(*(list(c) for c in zip(*((h, left, right) for h, _, left, right in held))), width)
+            rows = []
+            for (h, p, *_), windows in zip(held, found):
+                for w in windows:
+                    if rows and rows[-1][:2] == [h, p] and rows[-1][3] == w - 1:
+                        rows[-1][3] = w
+                    else:
+                        rows.append([h, p, w, w])
+            columns = list(zip(*rows)) or [()] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["h", "p", "first", "last"])
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if symbols > ARRAY_SYMBOLS and row[0] != held[-1][0]:
+                    yield flush()
+                    held, symbols = [], 0
+                held.append(row)
+                symbols += len(row[2]) + len(row[3]) + 2
+        if held:
+            yield flush()
+
+    return run
+
+
+def _halves(pieces: DataFrame, width: int) -> DataFrame:
+    """``h, p, h2, p2, shift, size, n, left, right``: each piece's windows in two parts, by their distance d to the core.
+
+    Windows with d < half share the first bytes right of the core, the others the last bytes left of it.
+    Window w of a part is window ``shift + w`` of the piece.
+    """
+    half = width // 2
+    n_left, n_right = F.octet_length("left"), F.octet_length("right")
+    nearest = width - 1 - n_right  # the least d
+    near_left = F.least(n_left, F.lit(half - 1))
+    near = F.struct(
+        F.xxhash64("h", F.lit(0), F.substr("right", F.lit(1), F.lit(half))).alias("h2"), (n_left - near_left).alias("shift"),
+        F.substr("left", n_left - near_left + 1, near_left).alias("left"), F.substr("right", F.lit(half + 1)).alias("right"),
+    )
+    far = F.struct(
+        F.xxhash64("h", F.lit(1), F.substr("left", n_left - half + 1, F.lit(half))).alias("h2"), F.lit(0).alias("shift"),
+        F.substr("left", F.lit(1), n_left - half).alias("left"), F.substr("right", F.lit(1), half - 1 - F.greatest(nearest - half, F.lit(0))).alias("right"),
+    )
+    parts = F.filter(F.array(F.when(nearest < half, near), F.when(n_left >= half, far)), lambda x: x.isNotNull())
+    each = pieces.select("h", "p", "n", F.explode(parts).alias("part")).select("h", "p", "n", "part.*")
+    size = F.octet_length("left") + F.octet_length("right") - half + 2
+    return each.withColumn("p2", F.xxhash64(F.lit(17), "left", F.lit(0), "right", F.octet_length("left"))).withColumn("size", size)
+
+
+def _contested_windows(pieces: DataFrame, width: int) -> DataFrame:
+    """``h, p, first, last``: the repeated windows of different pieces (``h, p, n, pieces, left, right``) that share cores."""
+    few = pieces.where(F.col("pieces") <= HOT)
+    # Sorting suffixes costs far more than its bytes suggest, so rows, not bytes, set the number of tasks.
+    tasks = 1 + few.count() // TASK_PIECES
+    found = few.select("h", "p", "left", "right").repartition(tasks, "h").sortWithinPartitions("h").mapInArrow(_suffix_groups(width), _RANGES)
+    if width == 1 or not pieces.where(F.col("pieces") > HOT).take(1):
+        return found
+    half = width // 2
+    parts = staged(_halves(pieces.where(F.col("pieces") > HOT), width), "repeats-halves")
+    alike = parts.groupBy("h2", "p2").agg(F.sum("n").alias("n"), F.first("left").alias("left"), F.first("right").alias("right"))
+    alike = staged(alike.select(F.col("h2").alias("h"), F.col("p2").alias("p"), "n", "left", "right"), "repeats-parts")
+    several = staged(alike.groupBy("h").agg(F.count("*").alias("pieces")).where("pieces > 1"), "repeats-several")
+    inner = staged(alike.join(several, "h"), "repeats-contested")
+    ranges = alike.where("n > 1").select("h", "p", F.lit(0).alias("first"), F.lit(half - 1).alias("last")).unionByName(_contested_windows(inner, half))
+    ranges = staged(ranges.select(F.col("h").alias("h2"), F.col("p").alias("p2"), "first", "last"), "repeats-ranges")
+    back = parts.select("h", "p", "h2", "p2", "shift", "size").join(ranges, ["h2", "p2"])
+    return found.unionByName(back.select("h", "p", (F.col("first") + F.col("shift")).alias("first"), (F.least(F.col("last"), F.col("size") - 1) + F.col("shift")).alias("last")))
 
 
 def _edge_windows(fine: DataFrame) -> DataFrame:
@@ -211,13 +253,10 @@ def _edge_windows(fine: DataFrame) -> DataFrame:
     """
     counted = staged(fine.groupBy("h", "p").agg(F.sum("weight").alias("n")), "repeats-fine")
     groups = staged(counted.groupBy("h").agg(F.count("*").alias("pieces")).where("pieces > 1"), "repeats-groups")
-    contested = fine.select("h", "p", "weight", "size", "left", "right").join(groups, "h").groupBy("h", "p")
-    contested = staged(contested.agg(F.sum("weight").alias("n"), F.first("pieces").alias("pieces"), F.first("size").alias("size"), F.first("left").alias("left"), F.first("right").alias("right")), "repeats-contested")
+    contested = fine.select("h", "p", "weight", "left", "right").join(groups, "h").groupBy("h", "p")
+    contested = staged(contested.agg(F.sum("weight").alias("n"), F.first("pieces").alias("pieces"), F.first("left").alias("left"), F.first("right").alias("right")), "repeats-contested")
     whole = counted.where("n > 1").select("h", "p", F.lit(0).alias("first"), F.lit(FINE - 1).alias("last"))
-    # Sorting suffixes costs far more than its bytes suggest, so rows, not bytes, set the number of tasks.
-    tasks = 1 + contested.count() // TASK_PIECES
-    small = contested.where(F.col("pieces") <= HOT).select("h", "p", "left", "right").repartition(tasks, "h").sortWithinPartitions("h")
-    ranges = whole.unionByName(small.mapInArrow(_suffix_groups, _RANGES)).unionByName(_hot_windows(contested.where(F.col("pieces") > HOT)))
+    ranges = whole.unionByName(_contested_windows(contested, FINE))
     ranges = staged(ranges, "repeats-ranges")
     found = fine.select("h", "p", "doc_key", "text_key", "lo", "size").join(ranges, ["h", "p"])
     last = F.least(F.col("last"), F.col("size") - 1)
@@ -251,7 +290,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_bytes, n_removed, spans`` (byte runs) and ``kept`` (binary)."""
     text = F.coalesce("text", F.lit(""))
-    rows = texts_of(docs).select("doc_id", id_key().alias("doc_key"), F.hash(text).alias("text_key"), text.alias("text"))
+    # Rows without an id are told apart by 128 bits of their text.
+    rows = texts_of(docs).select("doc_id", F.coalesce("doc_id", F.xxhash64(F.lit(11), text)).alias("doc_key"), F.xxhash64(text, F.lit(7)).alias("text_key"), text.alias("text"))
     anchors = staged(rows.where(F.octet_length("text") >= MATCH).select("doc_key", "text_key", "text").mapInArrow(_coarse, _COARSE_ROWS), "repeats-anchors")
     cores = staged(anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeats-cores")
     shared = staged(anchors.join(cores, "h"), "repeats-shared")

@@ -352,7 +352,7 @@ def brute_repeats(rows):
 
 @pytest.mark.parametrize("hot", [suffix.HOT, 3])
 def test_repeated_substrings(spark, monkeypatch, hot):
-    monkeypatch.setattr(suffix, "HOT", hot)  # 3: nearly all groups take the counted way
+    monkeypatch.setattr(suffix, "HOT", hot)  # 3: nearly all groups are split, most of them several times
     shared = " ".join(f"w{i * i % 311}" for i in range(200))
     rows = ROWS + [(400 + i, f"{i} start {i}" * (i % 5) + shared[i * 7 : i * 7 + 500 + 11 * i] + f"end {i}", None) for i in range(30)]
     rows += [(430, "ab" * 700, None), (431, "b" * 399, None), (432, "c" * 400, None), (432, "c" * 400, None)]
@@ -360,6 +360,13 @@ def test_repeated_substrings(spark, monkeypatch, hot):
     assert got == brute_repeats(rows)
 
 
+def test_many_rows_without_an_id_keep_their_texts_apart(spark):
+    passage = " ".join(f"w{i}" for i in range(120))
+    rows = [(None, f"{i} {passage if i % 2 else ''} own words {i * i}", None) for i in range(300)]
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in suffix.remove_repeats(cases.table(spark, rows)).collect())
+    assert got == brute_repeats(rows)
+
+
 def test_suffix_arrays():
     rng = np.random.default_rng(3)
     for _ in range(1500):
