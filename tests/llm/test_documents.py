@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from siltstone.llm import gsaca, langid, lines, media, packing, pieces, pii, quality, simhash, suffix
-from siltstone.llm.common import RollingHash
+from siltstone.llm.common import RollingHash, mix
 from tests.llm import cases
 
 ROWS = cases.texts()
@@ -175,14 +175,23 @@ def test_quality_score_is_the_mean_ratio(spark):
     def grams(t):
         b = (t or "").encode()
         out = [((int.from_bytes(b[i : i + 4], "little") * 2654435761) & 0xFFFFFFFF) >> 17 for i in range(len(b) - 3)]
-        words = BLANK.findall(t or "")
-        return out + [quality.BUCKETS + (x == y) for x, y in zip(words, words[1:])]
+        words = [w.encode() for w in BLANK.findall(t or "")]
+        for x, y, z in zip(words, words[1:], words[2:]):
+            code = 0
+            for w in (x, y, z):
+                code = code * 1024 + (min(len(w), 15) * 8 + kind(w[0])) * 8 + kind(w[-1])
+            code = code * 8 + (x == y) + 2 * (y == z) + 4 * (x == z)
+            out.append(quality.BUCKETS + int(mix(np.array([code]))[0] >> np.uint64(49)))
+        return out
+
+    def kind(byte):
+        return 4 if byte > 127 else next((i for i, p in enumerate(("[a-z]", "[A-Z]", "[0-9]"), 1) if re.match(p, chr(byte))), 5 * (chr(byte) in ".,;:!?"))
 
     for i, t, _ in rows:
         g = grams(t)
         raw.update(g)
         good.update(g if i < 10 else [])
-    size = quality.BUCKETS + 2
+    size = 2 * quality.BUCKETS
     n_raw, n_good = sum(raw.values()) + size, sum(good.values())
     for b in list(raw)[:200]:
         p = (raw[b] + 1) / n_raw
