@@ -2,10 +2,11 @@
 
 ``media_archive`` is a Python data source over a directory of uncompressed
 ``.zip`` archives. Writing: each task streams its Arrow batches into one
-archive and commits by name, so a retried task leaves nothing behind that is
-read. Reading: the plan lists archives and cuts each into byte ranges (a range
+archive after another, each of about ``archiveBytes``, and a commit lists its
+archives by name, so a retried task leaves nothing behind that is read, appends
+add up and an overwrite replaces what was listed before. Reading: the plan lists archives and cuts each into byte ranges (a range
 owns the members whose header starts in it), so planning costs a file listing,
-never a member listing. A task reads the archive's own directory, streams its
+never a member listing. A task reads the archive's own directory (bounded, as archives are), streams its
 members as Arrow batches, and retries each member by itself from its offset.
 
 The stored form of a text is an 8-bit grayscale PNG, 64 samples wide, one
@@ -38,12 +39,12 @@ from .common import blocks, shared_dir, texts_of
 
 WIDTH = 64
 RANGE_BYTES = 16_000_000
+#: An archive that has reached this size is closed, which bounds its directory.
+ARCHIVE_BYTES = 64_000_000
 BATCH_BYTES = 4_000_000
 RETRIES = 3
 _SCHEMA = "name string, offset long, payload binary, error string"
 _LISTING = "_archives"
-#: Bytes of an archive without members.
-_EMPTY_ARCHIVE = 22
 _PNG = b"\x89PNG\r\n\x1a\n"
 
 
@@ -115,7 +116,17 @@ class Range(InputPartition):
 
 @dataclass
 class Written(WriterCommitMessage):
-    name: str
+    names: list[str]
+
+
+def _listings(fs: pafs.FileSystem, root: str) -> tuple[list[pafs.FileInfo], list[str], set[str]]:
+    """All files of a directory, those of them that list archives, and the archives listed."""
+    infos = fs.get_file_info(pafs.FileSelector(root))
+    paths, names = [i.path for i in infos if i.base_name.startswith(_LISTING)], set()
+    for path in paths:
+        with fs.open_input_stream(path) as f:
+            names |= set(f.read().decode().split())
+    return infos, paths, names
 
 
 class ArchiveReader(DataSourceReader):
@@ -126,13 +137,10 @@ class ArchiveReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         fs, root = _open_fs(self.uri)
-        if fs.get_file_info(f"{root}/{_LISTING}").is_file:
-            with fs.open_input_stream(f"{root}/{_LISTING}") as f:
-                names = f.read().decode().split("\n")
-            infos = fs.get_file_info([f"{root}/{n}" for n in names if n])
-        else:  # a directory that this data source did not write
-            infos = [i for i in fs.get_file_info(pafs.FileSelector(root)) if i.path.endswith(".zip")]
-        found = [Range(i.path, i.size, a, min(a + self.range_bytes, i.size)) for i in infos if i.size > _EMPTY_ARCHIVE for a in range(0, i.size, self.range_bytes)]
+        infos, listings, names = _listings(fs, root)
+        # A directory without a listing was not written by this data source: all its archives count.
+        infos = [i for i in infos if (i.base_name in names if listings else i.base_name.endswith(".zip"))]
+        found = [Range(i.path, i.size, a, min(a + self.range_bytes, i.size)) for i in infos for a in range(0, i.size, self.range_bytes)]
         return found or [Range("", 0, 0, 0)]
 
     def _member(self, fs: pafs.FileSystem, part: Range, info: zipfile.ZipInfo) -> tuple[bytes | None, str | None]:
@@ -181,35 +189,45 @@ def _rows_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 class ArchiveWriter(DataSourceArrowWriter):
-    def __init__(self, options: dict):
-        self.uri = options["path"]
+    def __init__(self, options: dict, overwrite: bool):
+        self.uri, self.overwrite = options["path"], overwrite
+        self.archive_bytes = int(options.get("archivebytes", ARCHIVE_BYTES))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         fs, root = _open_fs(self.uri)
         fs.create_dir(root, recursive=True)
-        name = f"{uuid.uuid4().hex}.zip"  # of this attempt; only committed names are listed
-        with fs.open_output_stream(f"{root}/{name}") as sink, zipfile.ZipFile(sink, "w", zipfile.ZIP_STORED, allowZip64=True) as archive:
-            for batch in iterator:
-                names, payloads = batch.column("name"), batch.column("payload")
-                for i in range(batch.num_rows):
-                    archive.writestr(zipfile.ZipInfo(names[i].as_py()), payloads[i].as_buffer().to_pybytes())
-        return Written(name)
+        members = ((n.as_py(), p.as_buffer().to_pybytes()) for batch in iterator for n, p in zip(batch.column("name"), batch.column("payload")))
+        names: list[str] = []
+        member = next(members, None)
+        while member:
+            names.append(f"{uuid.uuid4().hex}.zip")  # of this attempt; only committed names are listed
+            held = 0
+            with fs.open_output_stream(f"{root}/{names[-1]}") as sink, zipfile.ZipFile(sink, "w", zipfile.ZIP_STORED, allowZip64=True) as archive:
+                while member and held < self.archive_bytes:
+                    archive.writestr(zipfile.ZipInfo(member[0]), member[1])
+                    held += len(member[1])
+                    member = next(members, None)
+        return Written(names)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         fs, root = _open_fs(self.uri)
         fs.create_dir(root, recursive=True)
-        with fs.open_output_stream(f"{root}/{_LISTING}") as f:
-            f.write("\n".join(sorted(m.name for m in messages if m)).encode())
+        _, before, replaced = _listings(fs, root)
+        with fs.open_output_stream(f"{root}/{_LISTING}-{uuid.uuid4().hex}") as f:
+            f.write("\n".join(sorted(n for m in messages if m for n in m.names)).encode())
+        if self.overwrite:
+            for path in [*before, *(f"{root}/{n}" for n in replaced)]:
+                fs.delete_file(path)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         fs, root = _open_fs(self.uri)
-        for m in messages:
-            if m and fs.get_file_info(f"{root}/{m.name}").is_file:
-                fs.delete_file(f"{root}/{m.name}")
+        for name in (n for m in messages if m for n in m.names):
+            if fs.get_file_info(f"{root}/{name}").is_file:
+                fs.delete_file(f"{root}/{name}")
 
 
 class MediaArchive(DataSource):
-    """``spark.read.format("media_archive")``; options ``path``, ``rangeBytes``, ``retries``."""
+    """``spark.read.format("media_archive")``; options ``path``, ``rangeBytes``, ``archiveBytes``, ``retries``; modes append and overwrite."""
 
     @classmethod
     def name(cls) -> str:
@@ -222,7 +240,7 @@ class MediaArchive(DataSource):
         return ArchiveReader(dict(self.options))
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
-        return ArchiveWriter(dict(self.options))
+        return ArchiveWriter(dict(self.options), overwrite)
 
 
 # --- the operator ----------------------------------------------------------------------------------------
@@ -238,12 +256,12 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([None] * block.n, pa.int64()), pa.array(payloads, pa.binary()), pa.array([None] * block.n, pa.string())], ["name", "offset", "payload", "error"])
 
 
-def store_media(docs: DataFrame, path: str | None = None) -> str:
+def store_media(docs: DataFrame, path: str | None = None, mode: str = "append", **options) -> str:
     """Write each text's stored form as a member ``<doc_id>.png``; returns the archive directory."""
     spark = docs.sparkSession
     spark.dataSource.register(MediaArchive)
     path = path or f"{shared_dir(spark)}/media-{uuid.uuid4().hex}"
-    texts_of(docs).mapInArrow(_store, _SCHEMA).write.format("media_archive").mode("append").save(path)
+    texts_of(docs).mapInArrow(_store, _SCHEMA).write.format("media_archive").options(**options).mode(mode).save(path)
     return path
 
 
