@@ -6,7 +6,9 @@ agree on two of five bit blocks, so each fingerprint goes to the ten groups
 named by a pair of blocks and their bits (about 25 bits of key: at a billion
 fingerprints a group holds some thirty). In each partition all groups' sorted
 fingerprints form binary tries, which are joined with themselves: node pairs
-descend together, add up differing bits, and die beyond the error budget.
+descend together, add up differing bits, and die beyond the error budget. A
+group of more than ``LARGE_GROUP`` fingerprints is dealt into slices, and every
+pair of slices is a group of its own, so that no task holds it whole.
 
 A group of near copies would have a number of pairs that is quadratic in its
 size; a partition therefore keeps a forest over its members (union-find over
@@ -39,6 +41,8 @@ MAX_BITS = 3
 #: Five blocks of 13, 13, 13, 13 and 12 bits; three differing bits leave two of them untouched.
 _CUTS = (0, 13, 26, 39, 52, 64)
 FRONTIER = 1 << 18
+#: A larger group is joined in slices of half this size, each pair of slices by itself.
+LARGE_GROUP = 200_000
 #: Rows of whole groups that a task joins at a time.
 ROWS_AT_ONCE = 500_000
 
@@ -202,10 +206,16 @@ def _group_keys() -> list:
     return keys
 
 
-def near_links(prints: DataFrame) -> DataFrame:
+def near_links(prints: DataFrame, large: int = LARGE_GROUP) -> DataFrame:
     """``a, b``: links between nodes of ``prints`` (``fp, node``, distinct) that join all within 3 bits."""
-    keyed = prints.select(F.explode(F.array(*_group_keys())).alias("key"), "fp", "node").repartition("key").sortWithinPartitions("key")
-    return keyed.mapInArrow(_join_partition, "a long, b long").distinct()
+    keyed = prints.select(F.explode(F.array(*_group_keys())).alias("key"), "fp", "node")
+    hot = staged(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > large), "large-groups")
+    slices = F.ceil(2 * F.col("n") / large).cast("int")
+    own = F.pmod(F.xxhash64("fp"), slices).cast("int")
+    # Should two of these keys be equal, their rows are compared in vain, and links stay true.
+    pairs = F.transform(F.sequence(F.lit(0), slices - 1), lambda j: F.xxhash64("key", F.least(own, j), F.greatest(own, j)))
+    dealt = keyed.join(hot, "key", "left").select(F.explode(F.when(F.col("n").isNull(), F.array("key")).otherwise(pairs)).alias("key"), "fp", "node")
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_join_partition, "a long, b long").distinct()
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
