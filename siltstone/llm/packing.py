@@ -3,7 +3,8 @@
 Every document becomes token ids plus the closing id. Full windows are cut off
 first; what remains is cut into pieces of at most ``cut`` tokens. Pieces are
 dealt by hash into groups of about ``group_tokens`` tokens (the number of
-groups follows from the counted total), and each group is packed on its own:
+groups follows from the counted total; equal pieces beyond ``MAX_EQUAL`` are
+dealt row by row, so that a row repeated a million times fills no group), and each group is packed on its own:
 partial partitions into k windows, the two with the largest spread first, are
 merged with opposing imbalances (largest window on smallest) until one is
 left. k starts at the least number that could hold the group and rises while
@@ -28,12 +29,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, staged, texts_of
+from .common import blocks, id_key, staged, texts_of
 from .tokens import WordBpe
 
 WINDOW = 2048
 CUT = 512
 GROUP_TOKENS = 200 * WINDOW
+#: Equal pieces (same id, place and tokens) that one group takes.
+MAX_EQUAL = 100
 CLOSING = 1
 BLOCK_BYTES = 6_000_000
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -134,5 +137,11 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, window: int =
     pieces = staged(texts_of(docs).mapInArrow(cutter, _PIECES), "pieces")
     total = pieces.agg(F.sum("length")).first()[0] or 0
     groups = max(1, -(-total // group_tokens))
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+    same = [id_key().alias("key"), "start", "ids_crc32"]
+    hot = staged(pieces.groupBy(*same).agg(F.count("*").alias("equal")).where(F.col("equal") > MAX_EQUAL), "equal-pieces")
+    # Row numbers of a written table: a task that runs again finds the same.
+    rows = pieces.withColumn("key", id_key()).withColumn("row", F.monotonically_increasing_id()).join(hot, ["key", "start", "ids_crc32"], "left")
+    spread = F.when(F.col("equal").isNotNull(), F.col("row"))
+    dealt = rows.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", spread), F.lit(groups)))
+    dealt = dealt.select(*(c.split()[0] for c in _PIECES.split(", ")), "group")
     return dealt.groupBy("group").applyInPandas(_pack_group(window), _PLACED)
