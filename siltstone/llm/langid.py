@@ -35,6 +35,8 @@ SEED = 20240601
 #: Letters of a text are folded onto this many symbols; symbol 0 is everything that is no letter.
 SYMBOLS = 512
 UNKNOWN = "und"
+#: Code points whose trigrams are held at once, and distinct trigrams whose vectors are.
+PART, SLICE = 500_000, 4096
 FOLDS = 3
 HELD_OUT = 1
 
@@ -66,23 +68,59 @@ def _bound(trigrams: np.ndarray) -> np.ndarray:
     return np.roll(base, 2, axis=1)[a] * np.roll(base, 1, axis=1)[b] * base[c]
 
 
-def _trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Trigram numbers of all texts, the text of each, and which texts hold a letter."""
+def _trigrams(texts: list[str], before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Trigram numbers of all texts, the text of each, which texts hold a letter, and all marks (runs of non-letters count as one blank).
+
+    ``before`` are the last marks of what precedes the first text.
+    """
     symbol, letter = _letters()
+    before = np.zeros(0, dtype=np.int64) if before is None else before
     lengths = np.fromiter((len(t) for t in texts), dtype=np.int64, count=len(texts))
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     owner = np.repeat(np.arange(len(texts)), lengths)
     has = np.bincount(owner[letter[points]], minlength=len(texts)) > 0
-    marks = symbol[points]
-    # Runs of non-letters count as one blank.
+    marks, owner = np.concatenate((before, symbol[points])), np.concatenate((np.zeros(len(before), dtype=np.int64), owner))
     keep = np.ones(len(marks), dtype=bool)
     keep[1:] = (marks[1:] != 0) | (marks[:-1] != 0) | (owner[1:] != owner[:-1])
     marks, owner = marks[keep], owner[keep]
-    if len(marks) < 3:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), has
     grams = (marks[:-2] * SYMBOLS + marks[1:-1]) * SYMBOLS + marks[2:]
     inside = owner[:-2] == owner[2:]
-    return grams[inside], owner[:-2][inside], has
+    return grams[inside], owner[:-2][inside], has, marks
+
+
+def _parts(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """:func:`_trigrams` of all texts, ``PART`` code points at a time; the parts of a long text hold each of its trigrams once."""
+    first = 0
+    while first < len(texts):
+        last, size = first + 1, len(texts[first])
+        while last < len(texts) and size + len(texts[last]) <= PART:
+            size += len(texts[last])
+            last += 1
+        tail = None
+        for lo in range(0, max(size, 1), PART if last == first + 1 else max(size, 1)):
+            grams, owner, has, marks = _trigrams([texts[first][lo : lo + PART]] if last == first + 1 else texts[first:last], tail)
+            every = np.zeros(len(texts), dtype=bool)
+            every[first:last] = has
+            yield grams, owner + first, every
+            tail = marks[-2:]
+        first = last
+
+
+def _sums(texts: list[str], row_of: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of the trigram vectors of each row (text ``i`` adds to row ``row_of[i]``), and which texts hold a letter."""
+    total, has = np.zeros((n_rows, DIMENSIONS)), np.zeros(len(texts), dtype=bool)
+    for grams, owner, letters in _parts(texts):
+        has |= letters
+        seen, at = np.unique(grams, return_inverse=True)
+        order = np.argsort(at, kind="stable")
+        at, row = at[order], row_of[owner[order]]
+        edges = np.searchsorted(at, np.arange(0, len(seen) + SLICE, SLICE))
+        for k, lo in enumerate(range(0, len(seen), SLICE)):  # a slice of the trigrams at a time
+            part = _bound(seen[lo : lo + SLICE]).astype(np.float32)
+            mine = slice(edges[k], edges[k + 1])
+            counts = np.bincount(row[mine] * len(part) + at[mine] - lo, minlength=n_rows * len(part))
+            total += counts.reshape(n_rows, len(part)).astype(np.float32) @ part  # exact: whole numbers of a part stay below 2**24
+    return total, has
 
 
 def _bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,14 +130,9 @@ def _bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs = batch.column(1).to_pylist()
         for block in blocks(batch.column(0)):
             own = langs[block.rows]
-            texts = [block.text(i).decode() for i in range(block.n)]
-            grams, owner, _ = _trigrams(texts)
             names = sorted(set(own))
-            code = np.array([names.index(x) for x in own])
-            seen, at = np.unique(grams, return_inverse=True)
-            counts = np.zeros((len(names), len(seen)), dtype=np.float64)
-            np.add.at(counts, (code[owner], at), 1)
-            sums = counts @ _bound(seen).astype(np.float64)  # exact: sums stay far below 2**53
+            number = {name: i for i, name in enumerate(names)}
+            sums, _ = _sums([block.text(i).decode() for i in range(block.n)], np.array([number[x] for x in own]), len(names))
             for name, row in zip(names, sums):
                 total[name] = total.get(name, 0) + row.astype(np.int64)
     for name, row in total.items():
@@ -124,16 +157,8 @@ def _predict(names: list[str], table: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column(2), 500_000):
-                texts = [block.text(i).decode() for i in range(block.n)]
-                grams, owner, has = _trigrams(texts)
-                seen, at = np.unique(grams, return_inverse=True)
-                vectors = np.zeros((block.n, DIMENSIONS), dtype=np.float32)
-                for lo in range(0, len(seen), 4096):  # a slice of the trigrams at a time
-                    part = _bound(seen[lo : lo + 4096]).astype(np.float32)
-                    inside = (at >= lo) & (at < lo + 4096)
-                    flat = np.bincount(owner[inside] * len(part) + at[inside] - lo, minlength=block.n * len(part))
-                    vectors += flat.reshape(block.n, len(part)).astype(np.float32) @ part
-                norms = np.linalg.norm(vectors.astype(np.float64), axis=1)
+                vectors, has = _sums([block.text(i).decode() for i in range(block.n)], np.arange(block.n), block.n)
+                norms = np.linalg.norm(vectors, axis=1)
                 cosine = np.round(vectors @ table.T / np.where(norms == 0, 1, norms)[:, None], 9) if names else np.zeros((block.n, 1))
                 best = cosine.argmax(axis=1)
                 sure = has & bool(names)
