@@ -333,6 +333,15 @@ def test_a_partition_is_joined_by_whole_groups(monkeypatch):
     assert joined() == whole and len(set(whole)) < 600
 
 
+def test_large_groups_are_joined_slice_by_slice(spark):
+    rng = np.random.default_rng(9)
+    prints = np.unique(np.uint64(0x123456789ABCDEF0) ^ (np.uint64(1) << rng.integers(0, 26, 300).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)))
+    table = spark.createDataFrame([(int(p.astype(np.int64)), i) for i, p in enumerate(prints)], "fp long, node long")
+    whole, split = ({r.node: r.component for r in simhash.components(simhash.near_links(table, large)).collect()} for large in (simhash.LARGE_GROUP, 40))
+    roots = brute_components(prints.tolist())
+    assert whole == split == {i: r for i, r in enumerate(roots) if roots.count(r) > 1}
+
+
 def test_long_chains_of_links_are_one_component(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 500), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in simhash.components(links).collect()}
@@ -406,6 +415,13 @@ def test_packing(spark):
     assert sum(r.length for r in out) / (2048 * len(windows)) > 0.9
 
 
+def test_a_repeated_row_fills_no_group(spark):
+    docs = cases.table(spark, [(7, "many equal rows of one id " * 40, None)] * 900 + [(i, "others " * 100, None) for i in range(200)])
+    out = packing.pack_documents(docs, group_tokens=10 * 2048)
+    groups = out.groupBy(F.shiftright("sequence_id", 24).alias("g")).count().collect()
+    assert sum(r["count"] for r in groups) == 1100 and max(r["count"] for r in groups) < 300
+
+
 def test_differencing_is_near_equal_and_never_over():
     rng = np.random.default_rng(0)
     for _ in range(200):
@@ -481,6 +497,19 @@ def test_a_damaged_member_is_retried_alone_and_reported(spark, tmp_path):
         media.describe_media(media.read_media(spark, path)).collect()
 
 
+def test_appends_add_up_and_overwrite_replaces(spark, tmp_path):
+    path = f"file://{tmp_path}/media"
+    one = lambda *ids: cases.table(spark, [(i, f"text {i} " * 40, None) for i in ids]).coalesce(1)
+    names = lambda: sorted(r["name"] for r in media.read_media(spark, path).collect())
+    media.store_media(one(1), path)
+    media.store_media(one(2, 3), path)
+    media.store_media(cases.empty(spark), path)
+    assert names() == ["1.png", "2.png", "3.png"]
+    media.store_media(one(4, 5, 6), path, mode="overwrite", archiveBytes=100)
+    assert names() == ["4.png", "5.png", "6.png"]
+    assert len(list((tmp_path / "media").glob("*.zip"))) == 3  # closed at their size; those replaced are gone
+
+
 # --- language ---------------------------------------------------------------------------------------------
 
 
@@ -504,7 +533,7 @@ def test_language_of_awkward_rows(spark):
 
 
 def test_hypervectors_bundle_their_trigrams():
-    grams, owner, has = langid._trigrams(["ab c", "", "12"])
+    grams, owner, has, _ = langid._trigrams(["ab c", "", "12"])
     vectors = langid._bound(grams[owner == 0])
     base = langid._vectors()
     s = lambda c: 1 + ord(c) % (langid.SYMBOLS - 1)
@@ -512,6 +541,47 @@ def test_hypervectors_bundle_their_trigrams():
     assert has.tolist() == [True, False, False]
 
 
+def _plain_vector(text):
+    """The sum of a text's trigram vectors, trigram by trigram."""
+    marks = []
+    for c in text or "":
+        n = 1 + ord(c.lower()[0]) % (langid.SYMBOLS - 1) if c.isalpha() else 0
+        if n or not marks or marks[-1]:
+            marks.append(n)
+    base, total = langid._vectors().astype(int), np.zeros(langid.DIMENSIONS, dtype=int)
+    for a, b, c in zip(marks, marks[1:], marks[2:]):
+        total += np.roll(base[a], 2) * np.roll(base[b], 1) * base[c]
+    return total
+
+
+@pytest.mark.parametrize("part", [3, 50, 10_000])
+def test_texts_in_parts_have_each_trigram_once(monkeypatch, part):
+    monkeypatch.setattr(langid, "PART", part)
+    monkeypatch.setattr(langid, "SLICE", 16)
+    texts = [(t or "")[:700] for _, t, _ in ROWS[:12] + ROWS[60:]] + ["a   b", " " * 200, "ab" + " " * 120 + "c d", "x"]
+    sums, has = langid._sums(texts, np.arange(len(texts)), len(texts))
+    assert has.tolist() == [any(c.isalpha() for c in t) for t in texts]
+    assert all((s == _plain_vector(t)).all() for s, t in zip(sums, texts))
+
+
+def test_predictions_equal_a_plain_computation(spark):
+    """Prototypes, languages and scores of awkward rows, trigram by trigram."""
+    rows = [(i, (t or "")[:600] if t is not None else None, x) for i, t, x in ROWS]
+    sums = defaultdict(int)
+    for i, t, x in rows:
+        if i is not None and t is not None and x is not None and zlib.crc32(str(i).encode()) % 3 != 1:
+            sums[x] = sums[x] + _plain_vector(t)
+    got = langid.identify(cases.table(spark, rows)).collect()
+    want = Counter()
+    for i, t, _ in rows:
+        v = _plain_vector(t)
+        cosines = {x: round(float(v @ p / (np.linalg.norm(v) * np.linalg.norm(p) or 1)), 9) for x, p in sums.items()}
+        best = max(sorted(cosines), key=cosines.get)
+        known = any(c.isalpha() for c in t or "")
+        want[(i, best if known else "und", round(max(0, cosines[best]), 6) if known else 0.0)] += 1
+    assert Counter((r.doc_id, r.lang_pred, round(r.score, 6)) for r in got) == want
+
+
 # --- all --------------------------------------------------------------------------------------------------
 
 
