@@ -7,13 +7,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Stages in order (fixed values of the journal format).
-STAGES = ("initialised", "snapshot-acquired", "work-queued", "ingested", "indexed", "published", "complete")
+#: Stages in order (fixed values of the journal format); the two terminal ones share a rank.
+STAGES = ("source-acquisition", "mailbox-admission", "chunk-derivation", "embedding", "published-root-generation", "root-history-publication", "terminal-success")
 
 
 def rank_of(stage: Column, stages: tuple[str, ...] = STAGES) -> Column:
     """Position of a stage in the order, null for an unknown one."""
-    return F.nullif(F.array_position(F.array(*(F.lit(s) for s in stages)), stage) - 1, F.lit(-1).cast("long"))
+    known = F.when(stage == "terminal-failure", "terminal-success").otherwise(stage)
+    return F.nullif(F.array_position(F.array(*(F.lit(s) for s in stages)), known) - 1, F.lit(-1).cast("long"))
 
 
 def queue_work(pending: DataFrame, completed: DataFrame, requested: DataFrame) -> DataFrame:

@@ -47,8 +47,8 @@ def test_pass_diagnosis(spark):
 
 
 def test_stages_rank(spark):
-    rows = spark.createDataFrame([("ingested",), ("nope",)], "s string").select(workflow.rank_of(F.col("s")).alias("r"))
-    assert [r.r for r in rows.collect()] == [3, None]
+    rows = spark.createDataFrame([("embedding",), ("nope",), ("terminal-failure",)], "s string").select(workflow.rank_of(F.col("s")).alias("r"))
+    assert [r.r for r in rows.collect()] == [3, None, 6]
 
 
 def test_stream_ingest_is_idempotent(spark, tmp_path):
