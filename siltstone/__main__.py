@@ -1,4 +1,4 @@
-"""``python -m siltstone run|search|quality|copy``: exit code 2 for structural findings, 3 for copy failures."""
+"""``python -m siltstone run|search|quality|copy|maintenance``: exit code 2 for structural findings, 3 for copy failures."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from siltstone.archive import Archive, hashed_words
+from siltstone.operators import reports
 from siltstone.operators.store import load_ref
 from siltstone.sources.requests import Request
 
@@ -29,9 +30,13 @@ def main(argv: list[str] | None = None) -> int:
     find.add_argument("query")
     find.add_argument("--k", type=int, default=5)
     find.add_argument("--width", type=int, default=3)
-    commands.add_parser("quality")
+    judge = commands.add_parser("quality")
     copy = commands.add_parser("copy")
     copy.add_argument("destination")
+    copy.add_argument("--blind-write", action="store_true")
+    for command in (find, judge, copy):
+        command.add_argument("--report", nargs="?", const="", help="also write a JSON report there, or under its default name")
+    commands.add_parser("maintenance").add_argument("action", choices=["compact"])
     args = parser.parse_args(argv)
     request = Request(args.ref_name, getattr(args, "documents", None), getattr(args, "mailboxes", None), args.dims, method=getattr(args, "method", "kmeans"), stages=("ingest", "cluster") if args.command == "run" else ("cluster",)).check()
     if getattr(args, "validate_only", False):
@@ -42,18 +47,34 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "run":
         new = archive.ingest(request, provider)
         print(json.dumps({"new_items": new, "root_id": archive.build(request)}))
+    elif args.command == "maintenance":
+        print(json.dumps(archive.compact()))
     elif args.command == "search":
-        print(json.dumps(archive.search_chunks(args.query, provider, root, args.k, args.width)))
+        found = archive.search_chunks(args.query, provider, root, args.k, args.width)
+        report = {"root_id": root, "query": args.query, "top_k": args.k, "traversal_width": args.width, **found}
+        _tell(args.report, reports.search_report_name(root, args.query), report, reports.search_summary)
+        print(json.dumps(found))
     elif args.command == "quality":
-        report = {name: [r.asDict() for r in df.collect()] for name, df in archive.quality(root).items() if name in ("findings", "layers", "access")}
+        parts = archive.quality(root)
+        report = {name: [r.asDict(recursive=True) for r in parts[name].collect()] for name in ("findings", "layers", "access", "recall_report")}
+        whole = report | {"root_id": root, "blocks": archive.tree(root).blocks.count(), "recall": report["recall_report"]}
+        _tell(args.report, reports.quality_report_name(root), whole, reports.quality_summary)
         print(json.dumps(report))
         return 2 if report["findings"] else 0
     else:
-        counts = archive.copy([root], args.destination).first().asDict()
+        counts = archive.copy([root], args.destination, not args.blind_write).first().asDict()
+        report = counts | {"roots": [root], "read_before_write": not args.blind_write}
+        _tell(args.report, reports.copy_report_name([root]), report, reports.copy_summary)
         print(json.dumps(counts))
         return 3 if counts["failed"] else 0
     return 0
 
 
+def _tell(path: str | None, name: str, report: dict, summary) -> None:
+    """With ``--report``: write the report and print its summary to the error stream."""
+    if path is not None:
+        print(summary(report), reports.write_report(path or name, report), sep="\n", file=sys.stderr)
+
+
 if __name__ == "__main__":
     sys.exit(main())

@@ -1,7 +1,7 @@
 """The archive as a user sees it: ingest, build, search, judge and copy, over tables below one folder.
 
-``items``, ``embeddings``, ``blocks``, ``edges`` and ``entries`` are Parquet tables; an embedding provider is any function
-from a list of texts to a list of vectors.
+``items``, ``embeddings``, ``blocks``, ``edges``, ``entries``, ``journal_records`` and ``journal_blocks`` are Parquet tables
+that only grow; an embedding provider is any function from a list of texts to a list of vectors.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import vectors as V
-from siltstone.operators import graph, journal, search, spread, store, trees
+from siltstone.operators import graph, journal, replay, reports, search, spread, store, trees
+from siltstone.operators.shared import kept
 from siltstone.sources import mail
 from siltstone.sources.requests import Request
 
@@ -47,30 +48,75 @@ class Archive:
         return self.spark.read.parquet(f"{self.folder}/{name}")
 
     def ingest(self, request: Request, provider: Provider) -> int:
-        """New items and their missing embeddings are appended; returns the number of new items."""
+        """New items, their records in the journal and their missing embeddings are appended; returns the number of new items."""
         request.check()
         items = mail.all_items(self.spark, request.documents, request.mailboxes)
-        fresh = store.append_new(items.withColumn("block_id", F.sha2(F.concat_ws("|", "input_hash", F.to_json("metadata")), 256)), f"{self.folder}/items")
+        store.append_new(items.withColumn("block_id", F.sha2(F.concat_ws("|", "input_hash", F.to_json("metadata")), 256)), f"{self.folder}/items")
+        # What the journal lacks is appended, also if an earlier run ended between the two appends.
+        seen = self._journal(request.ref_name).select(F.col("item_block_id").alias("block_id"))
+        fresh = kept(self.table("items").join(seen, "block_id", "left_anti"), "fresh")
+        replay.append(replay.records_from_items(fresh), self.folder, self.refs, request.ref_name, ["item_block_id"])
         held = store.table_or_none(self.spark, f"{self.folder}/embeddings")
         known = held if held is not None else self.spark.createDataFrame([], "input_hash string, embedding array<float>")
         wanted = self.table("items").join(known.select("input_hash"), "input_hash", "left_anti")
         journal.embed_missing(wanted, known.limit(0), provider, request.dims).write.mode("append").parquet(f"{self.folder}/embeddings")
         store.update_ref(self.refs, request.ref_name, metadata=request.metadata or None)
-        return self.table("items").count() if fresh is None else fresh.count()
+        return fresh.count()
+
+    def _journal(self, ref_name: str) -> DataFrame:
+        return replay.read(self.spark, self.folder, store.load_ref(self.refs, ref_name)["replay_journal_head_block_id"])
+
+    def replayed(self, ref_name: str) -> DataFrame:
+        """``block_id, input_hash, embedding`` of the items that the journal names, from what is stored: nothing is embedded.
+
+        An item that is missing, differs from its record or has no embedding fails the job.
+        """
+        entries = journal.replay_order(replay.items_from_records(self._journal(ref_name)))
+        leaves = self.table("items").select("block_id", replay.item_key().alias("content_key"), "metadata", "input_hash")
+        checked = replay.checked_entries(entries, leaves).select("block_id", "input_hash")
+        joined = checked.join(self.table("embeddings"), "input_hash", "left")
+        missing = F.raise_error(F.concat(F.lit("no stored embedding: "), F.col("input_hash"))).cast("array<float>")
+        return joined.withColumn("embedding", F.when(F.col("embedding").isNull(), missing).otherwise(F.col("embedding")))
 
     def build(self, request: Request) -> str:
-        """Cluster all embeddings into a tree; publishes and returns its root."""
+        """Cluster the journal's items into a tree; appends its new blocks, publishes and returns its root."""
         request.check()
-        vectors = self.table("embeddings").withColumn("entry_ix", F.xxhash64("input_hash"))
-        tree = trees.build_tree(vectors.select("entry_ix", "embedding"), request.dims, request.method, request.clusters, request.seed, request.block_bytes)
-        for name in ("blocks", "edges", "entries"):
-            getattr(tree, name).write.mode("overwrite").parquet(f"{self.folder}/{name}")
-        root = self.table("blocks").orderBy(F.desc("level"), "block_id").first()["block_id"]
+        vectors = self.replayed(request.ref_name).dropDuplicates(["input_hash"]).select(F.xxhash64("input_hash").alias("entry_ix"), "embedding")
+        vectors = kept(vectors, "vectors")
+        tree = trees.build_tree(vectors, request.dims, request.method, request.clusters, request.seed, request.block_bytes)
+        root = tree.blocks.orderBy(F.desc("level"), "block_id").first()["block_id"]
+        self._add(tree)
+        made = tree.blocks.count()
+        last = self._journal(request.ref_name).where("record_kind = 'indexing-outcome'").orderBy("steps", F.desc("seq")).first()
+        if last is None or last["item_block_id"] != root:
+            replay.append(replay.outcome(self.spark, root, vectors.count(), made), self.folder, self.refs, request.ref_name, ["item_block_id"])
         store.update_ref(self.refs, request.ref_name, root=root)
         return root
 
-    def tree(self) -> trees.Tree:
-        return trees.Tree(self.table("blocks"), self.table("edges"), self.table("entries"))
+    def _add(self, tree: trees.Tree) -> int:
+        """Append what the tables lack; blocks come last, so a block that is there is complete. Returns the number of new blocks."""
+        fresh = tree.blocks.dropDuplicates(["block_id"])
+        held = store.table_or_none(self.spark, f"{self.folder}/blocks")
+        if held is not None:
+            fresh = fresh.join(held.select("block_id"), "block_id", "left_anti")
+        fresh = kept(fresh, "fresh-blocks")
+        for name, key, rows in (("edges", "parent_id", tree.edges), ("entries", "block_id", tree.entries)):
+            mine = rows.join(fresh.select(F.col("block_id").alias(key)), key, "left_semi")
+            there = store.table_or_none(self.spark, f"{self.folder}/{name}")
+            if there is not None:
+                mine = mine.join(there.select(key).distinct(), key, "left_anti")
+            kept(mine, f"fresh-{name}").write.mode("append").parquet(f"{self.folder}/{name}")
+        fresh.write.mode("append").parquet(f"{self.folder}/blocks")
+        return fresh.count()
+
+    def tree(self, *roots: str) -> trees.Tree:
+        """All trees of the archive, or what the given roots reach."""
+        tree = trees.Tree(self.table("blocks"), self.table("edges"), self.table("entries"))
+        if not roots:
+            return tree
+        reached = kept(graph.closure(tree.edges, self.spark.createDataFrame([(r,) for r in roots], "block_id string")), "reached")
+        parents = reached.select(F.col("block_id").alias("parent_id"))
+        return trees.Tree(tree.blocks.join(reached, "block_id", "left_semi"), tree.edges.join(parents, "parent_id", "left_semi"), tree.entries.join(reached, "block_id", "left_semi"))
 
     def search_chunks(self, query: str, provider: Provider, root: str, k: int = 5, width: int = 3) -> dict:
         """Hits of one query text, best first, with the source of each."""
@@ -78,9 +124,11 @@ class Archive:
         if root == store.PLACEHOLDER_ROOT:
             raise ValueError("the archive has no tree yet")
         target = self.spark.createDataFrame([(-1, [float(x) for x in provider([query])[0]])], "query_id long, target array<double>")
-        hits, _ = search.beam_search(self.tree(), target, root, width, k)
+        hits, _ = search.beam_search(self.tree(root), target, root, width, k)
         source = self.table("items").withColumn("neighbor_id", F.xxhash64("input_hash")).select("neighbor_id", "text", "metadata", "path")
         rows = hits.join(source, "neighbor_id").orderBy("position", "path").limit(k).collect()
+        if not rows:
+            raise ValueError("no leaf can be reached")
         found = [{"position": r["position"], "leaf": r["block_id"], "text": r["text"], "metadata": dict(sorted(r["metadata"].items())), "source_path": r["path"]} for r in rows]
         return {"hits": found, "elapsed_ms": int(1000 * (time.perf_counter() - began))}
 
@@ -88,6 +136,15 @@ class Archive:
         """The chunks of one normalised email in order."""
         return self.table("items").where((F.col("email_ref") == email_ref) & (F.col("kind") == "email-chunk")).orderBy("chunk_index")
 
+    def get_leaf_email(self, block_id: str) -> dict:
+        """The one email chunk of an ingested leaf; ``ValueError`` if there is no such entry, more than one, or another kind."""
+        rows = self.table("items").where(F.col("block_id") == block_id).limit(2).collect()
+        if len(rows) != 1:
+            raise ValueError(f"{block_id} holds {'no' if not rows else 'more than one'} entry")
+        if rows[0]["metadata"].get("source_kind") != "email":
+            raise ValueError(f"{block_id} is no email")
+        return {"text": rows[0]["text"], "metadata": dict(sorted(rows[0]["metadata"].items()))}
+
     def get_document(self, *_: str) -> dict:
         return {"status": "unsupported"}
 
@@ -96,7 +153,7 @@ class Archive:
 
     def quality(self, root: str, sample: int = search.SAMPLE, seed: int = 0, width: int = 3) -> dict[str, DataFrame]:
         """Findings, layers, splits and recall of the tree, each as a DataFrame."""
-        tree = self.tree()
+        tree = self.tree(root)
         stats = spread.spread(tree.entries)
         axes = spread.principal_axes(tree.entries)
         deltas = spread.centered(tree.entries, spread.centroids(tree.entries)).join(axes, "block_id")
@@ -108,22 +165,43 @@ class Archive:
         chosen = search.seeded_sample(corpus, "id", seed, sample)
         hits, touched = search.beam_search(tree, chosen.select(F.col("id").alias("query_id"), F.col("embedding").alias("target")), root, width, search.TOP)
         sizes = tree.entries.groupBy("block_id").agg(F.sum(4 * F.size("embedding") + trees.ENTRY_OVERHEAD).alias("n_bytes"))
+        found = kept(graph.findings(tree.edges, blocks, self.spark.createDataFrame([(root,)], "block_id string")), "findings")
+        recalls = kept(search.recall(search.exact_top(corpus, chosen), hits), "recalls")
         return {
-            "findings": graph.findings(tree.edges, blocks, self.spark.createDataFrame([(root,)], "block_id string")),
+            "findings": found,
             "layers": spread.layer_metrics(tree.blocks, tree.edges, stats, bins, axes),
             "splits": spread.split_metrics(tree.blocks, tree.edges, stats),
-            "recall": search.recall(search.exact_top(corpus, chosen), hits),
+            "recall": recalls,
+            "recall_report": reports.gated_recall(recalls, found),
             "access": search.access_summary(touched, sizes),
         }
 
     def copy(self, roots: list[str], destination: str, read_before_write: bool = True) -> DataFrame:
-        """Copy the blocks under ``roots`` into another archive's ``blocks``; returns the report row."""
-        tree, at = self.tree(), f"{destination.rstrip('/')}/blocks"
+        """Copy the blocks under ``roots`` with their edges, entries, items and embeddings into another archive; returns the report row.
+
+        Ids are content hashes, so what the destination holds is never written twice, in either mode.
+        """
+        tree = self.tree()
         start = self.spark.createDataFrame([(r,) for r in roots], "block_id string")
-        held = store.table_or_none(self.spark, at)
+        held = store.table_or_none(self.spark, f"{destination.rstrip('/')}/blocks")
         there = held.select("block_id") if held is not None else tree.blocks.select("block_id").limit(0)
-        plan = graph.copy_plan(graph.reaching_roots(tree.edges, start), tree.blocks, there, read_before_write)
-        report = graph.copy_report(plan)
-        counts = report.collect()  # before the copy changes what the plan reads
-        graph.copy_blocks(plan, tree.blocks, at)
-        return self.spark.createDataFrame(counts, report.schema)
+        plan = kept(graph.copy_plan(graph.closure(tree.edges, start), tree.blocks, there, read_before_write), "copy-plan")
+        other = Archive(self.spark, destination, self.refs)
+        mine = self.tree(*roots)
+        leaves = mine.entries.join(mine.blocks.where("level = 0"), "block_id", "left_semi").select("entry_ix").distinct()
+        items = self.table("items").join(leaves, F.xxhash64("input_hash") == F.col("entry_ix"), "left_semi")
+        store.append_new(items, f"{other.folder}/items")
+        store.append_new(self.table("embeddings").join(items.select("input_hash").distinct(), "input_hash", "left_semi"), f"{other.folder}/embeddings", "input_hash")
+        other._add(mine)
+        return graph.copy_report(plan)
+
+    def compact(self) -> dict[str, int]:
+        """Rewrite every table in files of about 128 MB; returns the rows of each. For a quiet archive: readers of old files fail meanwhile."""
+        counts = {}
+        for name in ("items", "embeddings", "blocks", "edges", "entries", "journal_records", "journal_blocks"):
+            rows = store.table_or_none(self.spark, f"{self.folder}/{name}")
+            if rows is not None:
+                whole = kept(rows, f"compact-{name}")
+                counts[name] = whole.count()
+                whole.write.mode("overwrite").parquet(f"{self.folder}/{name}")
+        return counts

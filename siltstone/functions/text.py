@@ -32,8 +32,8 @@ def strip_html(html: Column) -> Column:
 
 
 def sentence_units(text: Column) -> Column:
-    """Units closed by ``.``, ``!``, ``?`` or an empty line; white space collapsed; empty ones dropped."""
-    parts = F.split(text, r"(?<=[.!?])|(?<=\n\n)", -1)
+    """Units closed by ``.``, ``!``, ``?`` or a line of nothing but white space; white space collapsed; empty ones dropped."""
+    parts = F.split(text, r"(?U)(?<=[.!?])|\n[^\S\n]*\n", -1)
     return F.filter(F.transform(parts, collapse), lambda u: u != "")
 
 

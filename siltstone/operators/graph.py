@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.functions.hashing import valid_hash
+
 from .shared import kept
 
 
@@ -27,9 +29,9 @@ def traverse(edges: DataFrame, blocks: DataFrame, roots: DataFrame, max_depth: i
         fresh = first.join(there, "block_id").join(seen, "block_id", "left_anti")
         level = kept(fresh.select("block_id", F.lit(depth).alias("depth"), F.concat("up", F.array("block_id")).alias("path")), "visited")
         if not level.take(1):
-            break
+            return reduce(DataFrame.unionByName, visited)
         visited.append(level)
-    return reduce(DataFrame.unionByName, visited)
+    raise ValueError(f"the graph is deeper than {max_depth} levels")
 
 
 def findings(edges: DataFrame, blocks: DataFrame, roots: DataFrame) -> DataFrame:
@@ -53,17 +55,41 @@ def findings(edges: DataFrame, blocks: DataFrame, roots: DataFrame) -> DataFrame
     return reduce(DataFrame.unionByName, parts)
 
 
-def reaching_roots(edges: DataFrame, roots: DataFrame, max_depth: int = 1_000) -> DataFrame:
-    """``root_id, block_id``: every block (existing or not) that each root reaches."""
-    level = kept(roots.select(F.col("block_id").alias("root_id"), "block_id").distinct(), "closure")
+def closure(edges: DataFrame, roots: DataFrame, max_depth: int = 1_000) -> DataFrame:
+    """``block_id``: every block (existing or not) that some root reaches, once."""
+    level = kept(roots.select("block_id").distinct(), "closure")
     parts = [level]
     for _ in range(max_depth):
-        step = level.join(edges.select(F.col("parent_id").alias("block_id"), "child_id"), "block_id").select("root_id", F.col("child_id").alias("block_id")).distinct()
-        level = kept(step.join(reduce(DataFrame.unionByName, parts), ["root_id", "block_id"], "left_anti"), "closure")
+        step = level.join(edges.select(F.col("parent_id").alias("block_id"), "child_id"), "block_id").select(F.col("child_id").alias("block_id")).distinct()
+        level = kept(step.join(reduce(DataFrame.unionByName, parts), "block_id", "left_anti"), "closure")
         if not level.take(1):
-            break
+            return reduce(DataFrame.unionByName, parts)
         parts.append(level)
-    return reduce(DataFrame.unionByName, parts)
+    raise ValueError(f"the graph is deeper than {max_depth} levels")
+
+
+def child_edges(branches: DataFrame, leaves: DataFrame, records: DataFrame, blocks: DataFrame, emails: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``edges (parent_id, child_id, kind)`` out of every kind of block, and ``failures (block_id, message)`` of blocks that cannot be read.
+
+    ``branches``: ``parent_id, child_id``; ``leaves``: ``block_id, metadata`` (artifact references); ``records`` and
+    ``blocks``: a journal's (its predecessor, its items and their artifacts, an outcome's root); ``emails``: ``block_id,
+    mailbox_artifact_ref``. A reference that is no hash, or an email without a mailbox, is a failure of its block.
+    """
+    m = lambda k: F.try_element_at("metadata", F.lit(k))
+    named = lambda parent, child, kind: (F.col(parent).alias("parent_id"), child.alias("child_id"), F.lit(kind).alias("kind"))
+    refs = leaves.select("block_id", F.explode(F.array(m("email_artifact_ref"), m("mailbox_artifact_ref"))).alias("ref")).where("ref IS NOT NULL")
+    told = [
+        branches.select(*named("parent_id", F.col("child_id"), "branch")),
+        refs.select(*named("block_id", F.col("ref"), "artifact")),
+        blocks.where("previous_block_id IS NOT NULL").select(*named("block_id", F.col("previous_block_id"), "journal-previous")),
+        records.select(*named("block_id", F.col("item_block_id"), "journal-item")),
+        records.where("content_ref.email_ref IS NOT NULL").select(*named("block_id", F.col("content_ref.email_ref"), "journal-artifact")),
+        emails.select(*named("block_id", F.coalesce("mailbox_artifact_ref", F.lit("")), "mailbox")),
+    ]
+    every = reduce(DataFrame.unionByName, told).withColumn("valid", valid_hash(F.col("child_id")))
+    edges = every.where("valid IS NOT NULL").select("parent_id", F.col("valid").alias("child_id"), "kind").distinct()
+    why = F.when((F.col("kind") == "mailbox") & (F.col("child_id") == ""), "email without mailbox_artifact_ref").otherwise(F.concat(F.lit("no block hash: "), F.col("child_id")))
+    return edges, every.where("valid IS NULL").select(F.col("parent_id").alias("block_id"), why.alias("message")).distinct()
 
 
 def copy_plan(reached: DataFrame, source: DataFrame, destination: DataFrame, read_before_write: bool = True) -> DataFrame:
@@ -87,7 +113,23 @@ def copy_report(plan: DataFrame) -> DataFrame:
     return plan.agg(F.count("*").alias("visited"), *(F.count_if(F.col("status") == s).alias(s) for s in ("copied", "skipped", "failed")))
 
 
-def failure_roots(failed: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """``block_id, roots``: each failed block with all roots that reach it, in order."""
-    owned = reaching_roots(edges, roots).join(failed.select("block_id").distinct(), "block_id")
-    return owned.groupBy("block_id").agg(F.array_join(F.array_sort(F.collect_set("root_id")), ",").alias("roots"))
+def failure_roots(failed: DataFrame, edges: DataFrame, roots: DataFrame, max_depth: int = 1_000) -> DataFrame:
+    """``block_id, roots``: each failed block with all roots that reach it, in order; walks upward from the failures only."""
+    level = kept(failed.select(F.col("block_id").alias("failed_id"), "block_id").distinct(), "upward")
+    parts = [level]
+    up = edges.select(F.col("child_id").alias("block_id"), "parent_id")
+    for _ in range(max_depth):
+        step = level.join(up, "block_id").select("failed_id", F.col("parent_id").alias("block_id")).distinct()
+        level = kept(step.join(reduce(DataFrame.unionByName, parts), ["failed_id", "block_id"], "left_anti"), "upward")
+        if not level.take(1):
+            break
+        parts.append(level)
+    else:
+        raise ValueError(f"the graph is deeper than {max_depth} levels")
+    owned = reduce(DataFrame.unionByName, parts).join(roots.select("block_id").distinct(), "block_id")
+    return owned.groupBy(F.col("failed_id").alias("block_id")).agg(F.array_join(F.array_sort(F.collect_set("block_id")), ",").alias("roots"))
+
+
+def store_failure(roots: DataFrame, operation: str, message: str) -> DataFrame:
+    """``root_id, operation, message``: a failure of the store itself, which concerns every requested root."""
+    return roots.select(F.col("block_id").alias("root_id"), F.lit(operation).alias("operation"), F.lit(message).alias("message")).distinct()

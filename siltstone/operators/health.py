@@ -61,12 +61,14 @@ def health(inputs: DataFrame) -> DataFrame:
     return totals.crossJoin(F.broadcast(groups)).crossJoin(F.broadcast(varying_dimensions(rows)))  # one row each
 
 
-def repeated_groups(inputs: DataFrame, groups: int = SAMPLES, samples: int = SAMPLES) -> DataFrame:
-    """The most repeated fingerprints with their first inputs; the report shows ``groups`` of them."""
+def repeated_groups(inputs: DataFrame, groups: int | None = SAMPLES, samples: int = SAMPLES) -> DataFrame:
+    """The most repeated fingerprints with their first inputs; the report shows ``groups`` of them, ``None`` gives all."""
     rows = observed(inputs)
-    top = fingerprint_counts(rows).where("occurrences > 1").orderBy(F.desc("occurrences"), "fingerprint").limit(groups)
+    top = fingerprint_counts(rows).where("occurrences > 1")
+    if groups is not None:
+        top = top.orderBy(F.desc("occurrences"), "fingerprint").limit(groups)
     order = Window.partitionBy("fingerprint").orderBy("ix")
-    first = rows.join(F.broadcast(top), "fingerprint").withColumn("r", F.row_number().over(order)).where(F.col("r") <= samples)
+    first = rows.join(top, "fingerprint").withColumn("r", F.row_number().over(order)).where(F.col("r") <= samples)
     return first.groupBy("fingerprint", "occurrences").agg(F.array_join(F.array_sort(F.collect_list("ix")), ",").alias("sample_inputs"))
 
 

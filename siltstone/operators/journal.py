@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import kept
+from .shared import kept, numbered
 
 #: Size limit of one journal block's body (a fixed value of the format).
 BLOCK_BYTES = 64 * 1024 * 1024
@@ -62,27 +62,31 @@ def block_gaps(blocks: DataFrame) -> DataFrame:
 
 
 def fill_blocks(limit: int, overhead: int = 0):
-    """For ``applyInPandas`` over one journal's records: greedy blocks of at most ``limit`` bytes, in ``seq`` order."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", kind="stable")
-        block, used, out = 0, overhead, []
-        for size in pdf["n_bytes"]:
-            if size + overhead > limit:
-                raise ValueError(f"a record exceeds the {limit}-byte maximum payload")
-            if used + size > limit:
-                block, used = block + 1, overhead
-            used += size
-            out.append(block)
-        return pdf.assign(block_seq=out)
+    """For ``mapInPandas`` over records sorted by (journal, seq): greedy blocks of at most ``limit`` bytes; only the open block is held."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        owner, block, used = None, 0, overhead
+        for pdf in frames:
+            out = []
+            for name, size in zip(pdf["journal"], pdf["n_bytes"]):
+                if size + overhead > limit:
+                    raise ValueError(f"a record exceeds the {limit}-byte maximum payload")
+                if name != owner:
+                    owner, block, used = name, 0, overhead
+                elif used + size > limit:
+                    block, used = block + 1, overhead
+                used += size
+                out.append(block)
+            yield pdf.assign(block_seq=pd.Series(out, dtype="int64"))
 
     return run
 
 
 def journal_blocks(records: DataFrame, limit: int = BLOCK_BYTES, overhead: int = 0) -> DataFrame:
-    """``journal, seq, n_bytes, block_seq`` from ``journal, seq, n_bytes``; a journal is one bounded append."""
+    """``journal, seq, n_bytes, block_seq`` from ``journal, seq, n_bytes``. A journal streams through one task in order, whatever its size."""
     kind = records.schema["journal"].dataType.simpleString()
-    return records.select("journal", "seq", "n_bytes").groupBy("journal").applyInPandas(fill_blocks(limit, overhead), f"journal {kind}, seq long, n_bytes long, block_seq long")
+    rows = records.select("journal", "seq", "n_bytes").repartition("journal").sortWithinPartitions("journal", "seq")
+    return rows.mapInPandas(fill_blocks(limit, overhead), f"journal {kind}, seq long, n_bytes long, block_seq long")
 
 
 def batches(items: DataFrame, key: str, order: list[str], size: int) -> DataFrame:
@@ -95,14 +99,9 @@ def batches(items: DataFrame, key: str, order: list[str], size: int) -> DataFram
 def outcome_fragments(ids: DataFrame, per_fragment: int, input_blocks: int) -> DataFrame:
     """Sorted distinct generated ids in fragments of equal bound; the input count stands on the first only.
 
-    Ids have one length, so a payload limit is a number of ids: ranks come from a range-partitioned sort and
-    per-partition counts, never from one task.
+    Ids have one length, so a payload limit is a number of ids.
     """
-    ordered = kept(ids.select("block_id").distinct().repartitionByRange("block_id").sortWithinPartitions("block_id").withColumn("part", F.spark_partition_id()), "fragments")
-    counts = ordered.groupBy("part").agg(F.count("*").alias("n"))
-    before = counts.alias("a").join(counts.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy("a.part").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before")).select("part", "before")
-    local = Window.partitionBy("part").orderBy("block_id")
-    ranked = ordered.join(F.broadcast(before), "part").withColumn("rank", F.col("before") + F.row_number().over(local) - 1)  # one row per partition
+    ranked = numbered(ids.select("block_id").distinct(), "block_id", "fragments")
     fragment = F.floor(F.col("rank") / per_fragment)
     return ranked.select(fragment.alias("fragment"), "block_id", F.when(fragment == 0, input_blocks).otherwise(0).alias("input_block_count"))
 

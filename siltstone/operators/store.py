@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import vectors as V
 
+from .shared import kept
+
 #: Root that a run without clustering reports (a fixed value of the format).
 PLACEHOLDER_ROOT = "0" * 64
 
@@ -25,11 +27,12 @@ def table_or_none(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def append_new(rows: DataFrame, path: str, key: str = "block_id") -> DataFrame:
-    """Append the rows whose key the table at ``path`` lacks; returns them. A rerun appends nothing."""
+    """Append the rows whose key the table at ``path`` lacks; returns them, as they were written. A rerun appends nothing."""
     fresh = rows.dropDuplicates([key])
     held = table_or_none(rows.sparkSession, path)
     if held is not None:
         fresh = fresh.join(held.select(key), key, "left_anti")
+    fresh = kept(fresh, "fresh")  # its own source: what is returned does not change with the table
     fresh.write.mode("append").parquet(path)
     return fresh
 

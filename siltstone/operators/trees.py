@@ -17,12 +17,14 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import vectors as V
 
-from .shared import kept
+from .shared import kept, numbered
 from .spread import centroids, principal_axes
 
 #: Bytes of a block, and of what an entry takes besides its floats (fixed values of the format).
 BLOCK_BYTES = 65_536
 ENTRY_OVERHEAD = 40
+#: Centres that k-means fits and every task holds; more clusters come from halving.
+MAX_CENTRES = 256
 
 
 @dataclass
@@ -66,8 +68,8 @@ def _kmeans(entries: DataFrame, clusters: int, seed: int) -> DataFrame:
 
 
 def _halve(entries: DataFrame, depth: int) -> DataFrame:
-    """``depth`` cuts of every cluster at the median of its principal axis."""
-    out = entries.withColumn("cluster", F.lit(0).cast("long"))
+    """``depth`` cuts of every cluster (``entry_ix, embedding, cluster``) at the median of its principal axis."""
+    out = entries
     for _ in range(depth):
         out = kept(out, "tree-halves")
         keyed = out.select(F.col("cluster").alias("block_id"), "entry_ix", "embedding")
@@ -78,40 +80,60 @@ def _halve(entries: DataFrame, depth: int) -> DataFrame:
     return out
 
 
+def _clustered(vectors: DataFrame, wanted: int, method: str, seed: int) -> DataFrame:
+    """``entry_ix, embedding, cluster``. Beyond ``MAX_CENTRES`` clusters, those found by k-means are halved on."""
+    if method == "kmeans":
+        found = _kmeans(vectors, max(2, min(wanted, MAX_CENTRES)), seed)
+        return _halve(found, (-(-wanted // MAX_CENTRES) - 1).bit_length())
+    return _halve(vectors.select("entry_ix", "embedding").withColumn("cluster", F.lit(0).cast("long")), (wanted - 1).bit_length())
+
+
+def _content_ids(entries: DataFrame) -> DataFrame:
+    """``name, block_id``: SHA-256 over a leaf's entries in order. A leaf has at most a fan-out of them."""
+    digest = F.sha2(F.array_join(F.transform("embedding", lambda x: x.cast("string")), ","), 256)
+    listed = F.array_sort(F.collect_list(F.struct("entry_ix", digest.alias("h"))))
+    return entries.groupBy("name").agg(F.sha2(F.to_json(listed), 256).alias("block_id"))
+
+
 def build_tree(vectors: DataFrame, dims: int, method: str = "kmeans", clusters: int | None = None, seed: int = 0, block_bytes: int = BLOCK_BYTES) -> Tree:
     """Leaves of at most :func:`fan_out` entries, grouped by ``kmeans`` (cosine) or ``pca`` halving, then packed upward.
 
-    ``vectors`` is ``entry_ix, embedding``, with ids of any kind. Inside a cluster, entries fill leaves in ascending
-    ``entry_ix``: ranks are counted in range partitions, and each partition starts where the ones before it end.
+    ``vectors`` is ``entry_ix, embedding``, with distinct ids of any kind. Inside a cluster, entries fill leaves in ascending
+    ``entry_ix``: ranks are counted in range partitions, and each partition starts where the ones before it end. A block's
+    id is a hash of its content: of its entries, or of its children's ids.
     """
     size = fan_out(dims, block_bytes)
     total = vectors.count()
     wanted = clusters or max(1, -(-total // size))
-    placed = _kmeans(vectors, max(2, wanted), seed) if method == "kmeans" else _halve(vectors, max(0, (wanted - 1).bit_length()))
+    placed = _clustered(vectors, wanted, method, seed)
     placed = kept(placed.repartitionByRange("cluster", "entry_ix").withColumn("part", F.spark_partition_id()), "tree-leaves")
     before = Window.partitionBy("cluster").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per cluster and partition
     offsets = placed.groupBy("cluster", "part").agg(F.count("*").alias("n")).select("cluster", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     order = Window.partitionBy("cluster", "part").orderBy("entry_ix")
     leaf = F.floor((F.col("offset") + F.col("at")) / size)
     ranked = placed.withColumn("at", F.row_number().over(order) - 1).join(offsets, ["cluster", "part"]).withColumn("leaf", leaf)
-    named = ranked.withColumn("block_id", F.format_string("0-%08d-%08d-%04d", "cluster", F.floor(F.col("leaf") / 64), F.col("leaf") % 64))
-    entries = kept(named.select("block_id", "entry_ix", F.col("embedding").cast("array<double>").alias("embedding")), "tree-entries")
-    blocks, edges, parts, below, level = [], [], [entries], entries, 0
+    named = ranked.select(F.format_string("%012d-%012d", "cluster", "leaf").alias("name"), "entry_ix", F.col("embedding").cast("array<double>").alias("embedding"))
+    named = kept(named, "tree-named")
+    ids = kept(_content_ids(named), "tree-ids")
+    below = kept(named.join(ids, "name").select("name", "block_id", "entry_ix", "embedding"), "tree-entries")
+    entry = lambda rows: rows.select("block_id", "entry_ix", "embedding")
+    blocks, edges, parts, level = [], [], [entry(below)], 0
+    none = below.select(F.col("block_id").alias("parent_id"), F.lit(0).alias("child_ix"), F.col("block_id").alias("child_id")).limit(0)
     while True:
-        names = kept(below.select("block_id").distinct(), "tree-names")
-        blocks.append(names.withColumn("level", F.lit(level)))
-        count = names.count()
-        if count <= 1:
+        blocks.append(ids.select("block_id").withColumn("level", F.lit(level)))
+        if ids.count() <= 1:
             break
         level += 1
-        # Blocks of a level in name order fill the parents; one row per block, a fan-out less each time.
-        position = names.select("block_id", (F.row_number().over(Window.orderBy("block_id")) - 1).alias("at"))
+        # Blocks of a level in name order fill the parents.
+        position = numbered(ids, "name", "tree-names").select("block_id", "rank")
         up = centroids(below).join(position, "block_id").select(
-            F.format_string(f"{level}-%08d", F.floor(F.col("at") / size)).alias("parent_id"), (F.col("at") % size).cast("int").alias("child_ix"), F.col("block_id").alias("child_id"), "centroid")
+            F.format_string("%012d", F.floor(F.col("rank") / size)).alias("name"), (F.col("rank") % size).cast("int").alias("child_ix"), F.col("block_id").alias("child_id"), "centroid")
         up = kept(up, "tree-level")
-        edges.append(up.select("parent_id", "child_ix", "child_id"))
-        below = up.select(F.col("parent_id").alias("block_id"), F.col("child_ix").cast("long").alias("entry_ix"), F.col("centroid").alias("embedding"))
-        parts.append(below)
+        listed = F.array_sort(F.collect_list(F.struct("child_ix", "child_id")))
+        ids = kept(up.groupBy("name").agg(F.sha2(F.concat(F.lit(f"{level}|"), F.to_json(listed)), 256).alias("block_id")), "tree-ids")
+        up = kept(up.join(ids, "name"), "tree-level")
+        edges.append(up.select(F.col("block_id").alias("parent_id"), "child_ix", "child_id"))
+        below = up.select("name", "block_id", F.col("child_ix").cast("long").alias("entry_ix"), F.col("centroid").alias("embedding"))
+        parts.append(entry(below))
     join = lambda frames: reduce(DataFrame.unionByName, frames)
-    none = entries.select(F.col("block_id").alias("parent_id"), F.lit(0).alias("child_ix"), F.col("block_id").alias("child_id")).limit(0)
     return Tree(join(blocks), join(edges) if edges else none, join(parts))

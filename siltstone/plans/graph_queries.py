@@ -83,7 +83,7 @@ def _copy(spark: SparkSession, t) -> tuple[DataFrame, DataFrame, DataFrame]:
     edges, blocks = block_graph(t)
     roots = _roots(spark, "r0", "r1")
     present = t("customer").where("c_custkey % 3 = 0").select(_names("c", "c_custkey").alias("block_id"))
-    return graph.copy_plan(graph.reaching_roots(edges, roots), blocks, present), edges, roots
+    return graph.copy_plan(graph.closure(edges, roots), blocks, present), edges, roots
 
 
 @R.query(f"WITH RECURSIVE {_GRAPH}, {_REACH}, {_PLAN} SELECT b AS block_id, status FROM plan")

@@ -39,7 +39,7 @@ def strip_html(spark: SparkSession, t) -> DataFrame:
 _UNITS = (
     "SELECT doc_id, u, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS unit_ix FROM (SELECT doc_id, i, "
     + _collapsed("p[i]")
-    + r" AS u FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, string_split(replace(regexp_replace(text, '([.!?])', '\1' || chr(1), 'g'), chr(10) || chr(10), chr(10) || chr(10) || chr(1)), chr(1)) AS p FROM documents))) WHERE u <> ''"
+    + r" AS u FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '([.!?])', '\1' || chr(1), 'g'), '\n[ \t\x0B\f\r\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]*\n', chr(1), 'g'), chr(1)) AS p FROM documents))) WHERE u <> ''"
 )
 
 
@@ -143,14 +143,14 @@ def hex_codec(spark: SparkSession, t) -> DataFrame:
 
 @R.query("""
 SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS position, 'document' AS media_kind, source AS source_kind_name, coalesce(nullif(lang, ''), source) AS lang_or_source,
-  substr(text, 1, 80) AS preview FROM documents""")
+  text FROM documents""")
 def search_projection(spark: SparkSession, t) -> DataFrame:
     from pyspark.sql import Window
 
     order = Window.partitionBy("source").orderBy("doc_id")
     return t("documents").select(
         "doc_id", (F.row_number().over(order) - 1).cast("long").alias("position"), F.lit("document").alias("media_kind"), F.col("source").alias("source_kind_name"),
-        F.coalesce(F.nullif("lang", F.lit("")), "source").alias("lang_or_source"), F.substring("text", 1, 80).alias("preview"),
+        F.coalesce(F.nullif("lang", F.lit("")), "source").alias("lang_or_source"), "text",
     )
 
 

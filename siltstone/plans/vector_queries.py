@@ -198,7 +198,7 @@ def embedding_health(spark: SparkSession, t) -> DataFrame:
 
 @R.query(f"""WITH {_INPUTS} SELECT n AS occurrences, (SELECT string_agg(ix::VARCHAR, ',' ORDER BY ix) FROM (SELECT ix FROM o WHERE o.f = g.f ORDER BY ix LIMIT 5)) AS sample_inputs FROM g WHERE n > 1""")
 def repeated_embeddings(spark: SparkSession, t) -> DataFrame:
-    return health.repeated_groups(_inputs(t)).drop("fingerprint")
+    return health.repeated_groups(_inputs(t), groups=None).drop("fingerprint")
 
 
 @R.query(f"""WITH {_INPUTS} SELECT ix, concat_ws(',', CASE WHEN e IS NULL THEN 'missing-embedding' END, CASE WHEN l2 <= 2.220446049250313e-16 THEN 'zero-vector' END, CASE WHEN n > 1 THEN 'repeated-embedding' END) AS reasons

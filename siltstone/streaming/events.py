@@ -11,8 +11,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from siltstone.operators.shared import shared_dir
+from siltstone.operators.store import table_or_none
 
 
 def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1, glob: str | None = None) -> DataFrame:
@@ -57,16 +59,52 @@ def available_now(stream: DataFrame, mode: str = "append") -> DataFrame:
 def ingest(stream: DataFrame, key: str, table: str, embed: Callable[[DataFrame], DataFrame] | None = None, checkpoint: str | None = None) -> None:
     """Append each micro-batch's new keys to ``table``; a replayed batch or a repeated item adds nothing.
 
-    New rows are found by an anti-join with what the table holds (content addressing), after ``embed`` has seen
-    only the rows that are new.
+    New rows are found by an anti-join with what the table holds (content addressing), and ``embed`` sees only those.
+    Nothing is ever replaced, so further calls, with a checkpoint of their own or without, add to the table.
     """
     spark = stream.sparkSession
 
     def step(batch: DataFrame, epoch: int) -> None:
         fresh = batch.dropDuplicates([key])
-        if epoch:
-            fresh = fresh.join(spark.read.parquet(table).select(key), key, "left_anti")
-        (embed(fresh) if embed else fresh).write.mode("append" if epoch else "overwrite").parquet(table)
+        held = table_or_none(spark, table)
+        if held is not None:
+            fresh = fresh.join(held.select(key), key, "left_anti")
+        (embed(fresh) if embed else fresh).write.mode("append").parquet(table)
 
     where = checkpoint or f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
     stream.writeStream.foreachBatch(step).option("checkpointLocation", where).trigger(availableNow=True).start().awaitTermination()
+
+
+class Heartbeat(StreamingQueryListener):
+    """Tells ``say`` how far streams are; a message that equals the one before is left out."""
+
+    def __init__(self, say: Callable[[str], None]):
+        self.say, self.last = say, None
+
+    def _tell(self, message: str) -> None:
+        if message != self.last:
+            self.last = message
+            self.say(message)
+
+    def onQueryStarted(self, event) -> None:
+        self._tell(f"stream {event.name or event.id} started")
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self._tell(f"stream {p.name or p.id}: {p.numInputRows} rows in batch {p.batchId}")
+
+    def onQueryIdle(self, event) -> None:
+        self._tell(f"stream {event.id} is idle")
+
+    def onQueryTerminated(self, event) -> None:
+        self._tell(f"stream {event.id} ended" + (f": {event.exception}" if event.exception else ""))
+
+
+def cancel(spark: SparkSession, group: str | None = None) -> int:
+    """Stop the session's running streams, and the jobs tagged ``group``; returns the number of streams stopped."""
+    active = spark.streams.active
+    for query in active:
+        query.stop()
+    if group:
+        spark.interruptTag(group)
+    return len(active)
