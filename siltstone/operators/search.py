@@ -20,6 +20,8 @@ SAMPLE = 100
 TOP = 10
 #: Queries that one pass of an exact search holds in every task.
 MAX_QUERIES = 10_000
+#: Queries that are scored against a batch of the corpus at once.
+QUERY_TILE = 1_000
 ROUND_TRIP_BYTES = 65_536
 
 
@@ -45,6 +47,21 @@ def exact_top(corpus: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     return reduce(DataFrame.unionByName, (kept(_exact_block(corpus, dealt.where(F.col("block") == n), k), "exact-block") for n in range(number)))
 
 
+def _best(names: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> pd.DataFrame:
+    """Each query's best ``k`` of a tile. Only what reaches the k-th score is sorted, ties included."""
+    rounded = np.round(scores, 12)
+    if rounded.shape[1] > k:
+        least = -np.partition(-rounded, k - 1, axis=1)[:, k - 1 : k]
+    else:
+        least = np.full((len(names), 1), -np.inf)
+    row, column = np.nonzero((rounded >= least) & np.isfinite(scores))
+    order = np.lexsort((ids[column], -rounded[row, column], row))
+    row, column = row[order], column[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    row, column = row[place < k], column[place < k]
+    return pd.DataFrame({"query_id": names[row], "neighbor_id": ids[column], "score": scores[row, column]})
+
+
 def _exact_block(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     rows = queries.select("id", "embedding").collect()
     names = np.array([r["id"] for r in rows])
@@ -56,13 +73,13 @@ def _exact_block(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             if not len(pdf) or not len(names):
                 continue
             x = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
+            x = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T
             ids = pdf["id"].to_numpy()
-            scores = matrix @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T
-            scores[names[:, None] == ids[None, :]] = -np.inf
-            keep = min(k, len(ids))
-            order = np.lexsort((np.broadcast_to(ids, scores.shape), -np.round(scores, 12)), axis=1)[:, :keep]
-            found = pd.DataFrame({"query_id": np.repeat(names, keep), "neighbor_id": ids[order].ravel(), "score": np.take_along_axis(scores, order, axis=1).ravel()})
-            yield found[np.isfinite(found["score"])]
+            for lo in range(0, len(names), QUERY_TILE):
+                own = names[lo : lo + QUERY_TILE]
+                scores = matrix[lo : lo + QUERY_TILE] @ x
+                scores[own[:, None] == ids[None, :]] = -np.inf
+                yield _best(own, ids, scores, k)
 
     kind = corpus.schema["id"].dataType.simpleString()
     best = corpus.select("id", "embedding").mapInPandas(tile, f"query_id {kind}, neighbor_id {kind}, score double")

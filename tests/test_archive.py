@@ -64,3 +64,55 @@ def test_archive_end_to_end(spark, tmp_path, capsys):
     assert main([*common, "quality"]) == 0
     assert main([*common, "copy", f"file://{tmp_path}/copy"]) == 0 and '"failed": 0' in capsys.readouterr().out
     assert archive.copy([root], f"file://{tmp_path}/copy").first().copied == 0
+
+
+def test_overrides_and_stages():
+    base = Request("main", documents="x", clusters=4)
+    assert base.with_overrides(clusters=7).clusters == 7 and base.with_overrides().clusters == 4
+    assert base.with_overrides((0, 6, 9)).clustering()["profile_version"] == "0.6.9"
+    for change, message in (({"environment": "production"}, "local"), ({"profile_version": (0, 7, 0)}, "takes no number"), ({"replay_batch_size": 0}, "replay_batch_size"), ({"max_concurrency": 0}, "max_concurrency")):
+        with pytest.raises(ValueError, match=message):
+            Request("main", **({"documents": "x", "clusters": 4} | change)).check()
+    assert Request("main", stages=("cluster",)).check().batch_size(8) == 8 and Request("m", replay_batch_size=3, max_concurrency=5).batch_size(8) == 3
+
+
+def test_http_provider_retries_and_checks(monkeypatch):
+    import json
+
+    from siltstone.sources import providers
+
+    calls = []
+
+    def post(url, body, headers):
+        calls.append((url, headers.get("Authorization")))
+        if len(calls) == 1:
+            raise OSError("refused")
+        if len(calls) == 2:
+            return 503, b""
+        texts = json.loads(body)["input"]
+        return 200, json.dumps({"data": [{"index": i, "embedding": [float(len(t)), 1.0]} for i, t in reversed(list(enumerate(texts)))]}).encode()
+
+    embed = providers.http_provider("http://h/", "m", 2, "key", delay_ms=0, post=post)
+    assert embed(["a", "bbb"]) == [[1.0, 1.0], [3.0, 1.0]] and calls == [("http://h/v1/embeddings", "Bearer key")] * 3
+    with pytest.raises(RuntimeError, match="after 1 attempts"):
+        providers.http_provider("http://h", "m", 2, delay_ms=0, post=lambda *a: (404, b""))(["a"])
+    with pytest.raises(RuntimeError, match="after 3 attempts"):
+        providers.http_provider("http://h", "m", 2, max_retries=2, delay_ms=0, post=lambda *a: (503, b""))(["a"])
+    with pytest.raises(ValueError, match="dimensions"):
+        providers.http_provider("http://h", "m", 3, post=post)(["a"])
+
+
+def test_best_of_a_tile_keeps_ties_in_order():
+    import numpy as np
+
+    from siltstone.operators import search
+
+    rng = np.random.default_rng(1)
+    for n in (2, 5, 30):
+        scores = rng.integers(0, 4, (6, n)) / 4.0
+        scores[0, 0] = -np.inf
+        ids, names = rng.permutation(n), np.arange(6)
+        got = search._best(names, ids, scores, 3)
+        for q in range(6):
+            want = sorted(((-s, i) for s, i in zip(scores[q], ids) if np.isfinite(s)))[:3]
+            assert [(-s, i) for s, i in zip(got[got.query_id == q].score, got[got.query_id == q].neighbor_id)] == want
