@@ -68,6 +68,19 @@ def closure(edges: DataFrame, roots: DataFrame, max_depth: int = 1_000) -> DataF
     raise ValueError(f"the graph is deeper than {max_depth} levels")
 
 
+def reaching_roots(edges: DataFrame, roots: DataFrame, max_depth: int = 1_000) -> DataFrame:
+    """``root_id, block_id``: every block (existing or not) that each root reaches. Roots times blocks; for copies and failures see ``closure`` and ``failure_roots``."""
+    level = kept(roots.select(F.col("block_id").alias("root_id"), "block_id").distinct(), "closure")
+    parts = [level]
+    for _ in range(max_depth):
+        step = level.join(edges.select(F.col("parent_id").alias("block_id"), "child_id"), "block_id").select("root_id", F.col("child_id").alias("block_id")).distinct()
+        level = kept(step.join(reduce(DataFrame.unionByName, parts), ["root_id", "block_id"], "left_anti"), "closure")
+        if not level.take(1):
+            return reduce(DataFrame.unionByName, parts)
+        parts.append(level)
+    raise ValueError(f"the graph is deeper than {max_depth} levels")
+
+
 def child_edges(branches: DataFrame, leaves: DataFrame, records: DataFrame, blocks: DataFrame, emails: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``edges (parent_id, child_id, kind)`` out of every kind of block, and ``failures (block_id, message)`` of blocks that cannot be read.
 

@@ -38,3 +38,16 @@ def numbered(df: DataFrame, column: str, name: str) -> DataFrame:
     starts = counts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     local = Window.partitionBy("part").orderBy(column)
     return ordered.withColumn("at", F.row_number().over(local) - 1).join(F.broadcast(starts), "part").withColumn("rank", F.col("start") + F.col("at")).drop("part", "start", "at")
+
+
+def ranked_within(df: DataFrame, group: str, order: str, name: str) -> DataFrame:
+    """``df``, written, with ``rank`` from 0 in ``order`` inside each ``group``, however large the groups are; ties are in any order.
+
+    Rows are range-partitioned by both and ranked inside their partition, which starts where the ones before it end.
+    """
+    placed = df.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(group, order, "tie").withColumn("part", F.spark_partition_id())
+    placed = kept(placed, name)
+    before = Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per group and partition
+    starts = placed.groupBy(group, "part").agg(F.count("*").alias("n")).select(group, "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    local = Window.partitionBy(group, "part").orderBy(order, "tie")
+    return placed.withColumn("at", F.row_number().over(local) - 1).join(starts, [group, "part"]).withColumn("rank", F.col("start") + F.col("at")).drop("part", "start", "at", "tie")

@@ -12,11 +12,13 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import vectors as V
 
+from .shared import ranked_within
+
 BINS = 4
 POWER_STEPS = 8
 
@@ -75,9 +77,10 @@ def principal_axes(entries: DataFrame) -> DataFrame:
 
 def quantile_bins(projected: DataFrame, bins: int = BINS) -> DataFrame:
     """Occupancy of ``bins`` quantile bins per block, from ``block_id, projection``; ties share a bin."""
-    ordered = Window.partitionBy("block_id").orderBy("projection")
-    ranked = projected.withColumn("rank", F.row_number().over(ordered)).withColumn("n", F.count("*").over(Window.partitionBy("block_id")))
-    cut = [F.max(F.when(F.col("rank") == F.ceil(F.lit(i) * F.col("n") / bins), F.col("projection"))).alias(f"t{i}") for i in range(1, bins)]
+    projected = projected.select("block_id", "projection")
+    sizes = projected.groupBy("block_id").agg(F.count("*").alias("n"))
+    ranked = ranked_within(projected, "block_id", "projection", "projections").join(sizes, "block_id")
+    cut = [F.max(F.when(F.col("rank") + 1 == F.ceil(F.lit(i) * F.col("n") / bins), F.col("projection"))).alias(f"t{i}") for i in range(1, bins)]
     cuts = ranked.groupBy("block_id").agg(*cut).select("block_id", F.array(*(f"t{i}" for i in range(1, bins))).alias("cuts"))
     placed = projected.join(cuts, "block_id").select("block_id", F.size(F.filter("cuts", lambda t: F.col("projection") > t)).alias("bin"))
     counts = [F.count_if(F.col("bin") == i).alias(f"bin{i}") for i in range(bins)]

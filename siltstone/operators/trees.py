@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import vectors as V
 
-from .shared import kept, numbered
+from .shared import kept, numbered, ranked_within
 from .spread import centroids, principal_axes
 
 #: Bytes of a block, and of what an entry takes besides its floats (fixed values of the format).
@@ -99,19 +99,12 @@ def build_tree(vectors: DataFrame, dims: int, method: str = "kmeans", clusters:
     """Leaves of at most :func:`fan_out` entries, grouped by ``kmeans`` (cosine) or ``pca`` halving, then packed upward.
 
     ``vectors`` is ``entry_ix, embedding``, with distinct ids of any kind. Inside a cluster, entries fill leaves in ascending
-    ``entry_ix``: ranks are counted in range partitions, and each partition starts where the ones before it end. A block's
-    id is a hash of its content: of its entries, or of its children's ids.
+    ``entry_ix``. A block's id is a hash of its content: of its entries, or of its children's ids.
     """
     size = fan_out(dims, block_bytes)
     total = vectors.count()
     wanted = clusters or max(1, -(-total // size))
-    placed = _clustered(vectors, wanted, method, seed)
-    placed = kept(placed.repartitionByRange("cluster", "entry_ix").withColumn("part", F.spark_partition_id()), "tree-leaves")
-    before = Window.partitionBy("cluster").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per cluster and partition
-    offsets = placed.groupBy("cluster", "part").agg(F.count("*").alias("n")).select("cluster", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    order = Window.partitionBy("cluster", "part").orderBy("entry_ix")
-    leaf = F.floor((F.col("offset") + F.col("at")) / size)
-    ranked = placed.withColumn("at", F.row_number().over(order) - 1).join(offsets, ["cluster", "part"]).withColumn("leaf", leaf)
+    ranked = ranked_within(_clustered(vectors, wanted, method, seed), "cluster", "entry_ix", "tree-leaves").withColumn("leaf", F.floor(F.col("rank") / size))
     named = ranked.select(F.format_string("%012d-%012d", "cluster", "leaf").alias("name"), "entry_ix", F.col("embedding").cast("array<double>").alias("embedding"))
     named = kept(named, "tree-named")
     ids = kept(_content_ids(named), "tree-ids")
