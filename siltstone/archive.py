@@ -7,6 +7,7 @@ that only grow; an embedding provider is any function from a list of texts to a
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import time
 from collections.abc import Callable
@@ -44,6 +45,15 @@ class Archive:
     def __init__(self, spark: SparkSession, folder: str, refs: str):
         self.spark, self.folder, self.refs = spark, folder.rstrip("/"), refs
 
+    @classmethod
+    def from_config(cls, spark: SparkSession, path: str) -> Archive:
+        """From a JSON file with ``archive`` and ``refs``; other fields are refused."""
+        with open(path, encoding="utf-8") as f:
+            config = json.load(f)
+        if set(config) != {"archive", "refs"}:
+            raise ValueError(f"{path} must have archive and refs, and nothing else")
+        return cls(spark, config["archive"], config["refs"])
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}")
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from siltstone.functions.text import trim_all
 
 from .shared import kept
-from .workflow import rank_of
+from .workflow import STAGES, rank_of
 
 SCHEMA_VERSION = 1
 #: The kinds of work, as the journal's columns name them (fixed values of the format).
@@ -27,6 +27,17 @@ TERMINAL = ("terminal-success", "terminal-failure")
 #: For each kind of work: the first stage at which none of it may be pending any more.
 DONE_BEFORE = {"mailbox_admission": "chunk-derivation", "chunking": "embedding", "embedding": "published-root-generation"}
 
+def stage_dimension(spark: SparkSession) -> DataFrame:
+    """``stage, rank, work_kind, may_be_pending`` for every stage and kind of work (a few dozen rows)."""
+    rows = []
+    for stage in (*STAGES, TERMINAL[1]):
+        rank = len(STAGES) - 1 if stage in TERMINAL else STAGES.index(stage)
+        for kind in KINDS:
+            late = kind in DONE_BEFORE and rank >= STAGES.index(DONE_BEFORE[kind]) and stage != TERMINAL[1]
+            rows.append((stage, rank, kind, not late))
+    return spark.createDataFrame(rows, "stage string, rank int, work_kind string, may_be_pending boolean")
+
+
 _INVENTORY = "struct<pending:array<string>,completed:array<string>>"
 JOURNAL = (
     "schema_version int, authority string, current_stage string, "

@@ -63,6 +63,27 @@ def gated_recall(recalls: DataFrame, findings: DataFrame, ks: tuple[int, ...] =
     return rows.select("k", opened("m", F.lit(0.0)).alias("mean"), opened("s", F.lit(0.0)).alias("stdev"), opened("bins", F.array().cast("array<struct<matched:bigint,samples:bigint>>")).alias("histogram"))
 
 
+#: Order of the rows of each report.
+ORDERS = {"blocks": ["block_id"], "findings": ["severity", "block_id", "message"], "splits": ["parent_id"], "layers": ["level"], "hits": ["position"]}
+
+
+def in_report_order(rows: DataFrame, kind: str) -> DataFrame:
+    """Rows as a report lists them, by those of its order's columns that they have."""
+    return rows.orderBy(*(c for c in ORDERS[kind] if c in rows.columns))
+
+
+def against_baseline(rows: DataFrame, key: str, baseline, values: list[str]) -> DataFrame:
+    """``rows`` with ``delta_<value>`` against the row whose ``key`` is ``baseline`` (one row, broadcast)."""
+    base = rows.where(F.col(key) == F.lit(baseline)).limit(1).select(*(F.col(v).alias(f"base_{v}") for v in values))
+    out = rows.crossJoin(F.broadcast(base))
+    return out.select(*rows.columns, *((F.col(v) - F.col(f"base_{v}")).alias(f"delta_{v}") for v in values))
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    """A table with a header line in every part file; what was there is replaced."""
+    rows.write.mode("overwrite").option("header", True).csv(path)
+
+
 # --- names, files, summaries: one document on the driver --------------------------------------------------
 
 

@@ -141,6 +141,30 @@ def access_summary(touched: DataFrame, sizes: DataFrame) -> DataFrame:
     return blocks.join(trips, "level")
 
 
+def query_totals(levels: DataFrame) -> DataFrame:
+    """``query_id, blocks, bytes, round_trips``: :func:`level_access` summed over levels."""
+    return levels.groupBy("query_id").agg(*(F.sum(c).alias(c) for c in ("blocks", "bytes", "round_trips")))
+
+
+def elapsed_summary(queries: DataFrame) -> DataFrame:
+    """One row from ``query_id, micros``: number, total, whole mean and most."""
+    total, n = F.sum("micros"), F.count("*")
+    return queries.agg(n.alias("queries"), F.coalesce(total, F.lit(0)).alias("total_micros"), F.coalesce(F.floor(total / n), F.lit(0)).alias("mean_micros"), F.coalesce(F.max("micros"), F.lit(0)).alias("max_micros"))
+
+
+def walk_sample(tree: Tree, root: str, seed: int, n: int, attempts: int = 32) -> DataFrame:
+    """``block_id, entry_ix, walk``: the first ``n`` different entries of at most ``attempts * n`` walks."""
+    found = random_walks(tree, root, seed, attempts * n).groupBy("block_id", "entry_ix").agg(F.min("walk").alias("walk"))
+    return found.orderBy("walk").limit(n)
+
+
+def walk_access(tree: Tree, root: str, sizes: DataFrame, seed: int, n: int, width: int) -> DataFrame:
+    """:func:`level_access` of searches for entries found by walks: what they cost, without a recall baseline."""
+    chosen = walk_sample(tree, root, seed, n).join(tree.entries, ["block_id", "entry_ix"])
+    _, touched = beam_search(tree, chosen.select(F.col("entry_ix").alias("query_id"), F.col("embedding").alias("target")), root, width, TOP)
+    return level_access(touched, sizes)
+
+
 def random_walks(tree: Tree, root: str, seed: int, walks: int) -> DataFrame:
     """``walk, block_id, entry_ix``: deterministic descents, each choice by a hash of seed, walk, depth and block."""
     spark = tree.blocks.sparkSession

@@ -80,6 +80,11 @@ def batch_summary(blocks: DataFrame, root_id: str | None = None) -> DataFrame:
     return blocks.agg(F.lit(root_id or PLACEHOLDER_ROOT).alias("root_id"), F.countDistinct("block_id").alias("block_count"))
 
 
+def sorted_block_ids(blocks: DataFrame) -> DataFrame:
+    """The distinct ids of a batch in order, as a table."""
+    return blocks.select("block_id").distinct().orderBy("block_id")
+
+
 def latest_failure(statuses: DataFrame) -> DataFrame:
     """Per run: the failed status to report, the most specific, then the fewest items, then the latest."""
     order = F.struct("specificity", -F.col("item_count"), F.col("seq"))

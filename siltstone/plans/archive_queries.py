@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siltstone.functions import formats
 from siltstone.operators import graph, invariants, replay, reports, search, telemetry, trees
 from siltstone.plans import vector_queries as vectors
 
@@ -252,3 +253,41 @@ def failing_subsets(spark: SparkSession, t) -> DataFrame:
     rows = t("orders").select(F.col("o_custkey").alias("run_id"), F.col("o_orderkey").alias("phase"), (F.col("o_orderkey") % 9).alias("item_count"))
     attempts = rows.groupBy("run_id").agg(F.count("*").alias("input_count"))
     return telemetry.failing_subset(rows, attempts).select(F.col("phase").alias("item"), "provenance", "item_count", "input_count")
+
+
+# --- formats ---------------------------------------------------------------------------------------------
+
+_HEAD = "CASE WHEN {0} <= 23 THEN 1 WHEN {0} <= 255 THEN 2 WHEN {0} <= 65535 THEN 3 WHEN {0} <= 4294967295 THEN 5 ELSE 9 END"
+
+
+@R.query(f"""SELECT doc_id, {_HEAD.format('b')} + b AS text_size, {_HEAD.format('n')} + n * (4 + ({_HEAD.format('256')}) + 256 + 33) AS branch_size,
+  1 + 15 + 1 + 18 + CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 66 END + 8 + {_HEAD.format('n')} + b AS journal_size
+FROM (SELECT doc_id, octet_length(encode(text)) AS b, n_chars AS n FROM documents)""")
+def cbor_sizes(spark: SparkSession, t) -> DataFrame:
+    previous = F.when(F.col("doc_id") % 2 == 1, F.sha2("source", 256))
+    size = F.octet_length("text")
+    return t("documents").select(
+        "doc_id", formats.cbor_text_size(F.col("text")).cast("long").alias("text_size"), formats.branch_size(F.lit(64), F.col("n_chars"), F.lit(4)).cast("long").alias("branch_size"),
+        formats.journal_body_size(F.col("n_chars"), size, previous).cast("long").alias("journal_size"),
+    )
+
+
+@R.query("""SELECT page_id, 'PartitionKey eq ' || chr(39) || 'refs' || chr(39) || ' and RowKey eq ' || chr(39) || lower(hex(encode(url))) || chr(39) AS lookup, split_part(url, '?', 1) || '/main.json' || CASE WHEN page_id % 2 = 0 THEN '?sig=a%2F' || page_id ELSE '' END AS address,
+  split_part(url, '?', 1) || '/main.json' AS shown FROM (SELECT page_id, rtrim(split_part(url, '?', 1), '/') AS url FROM pages)""")
+def ref_addresses(spark: SparkSession, t) -> DataFrame:
+    base = F.rtrim(F.substring_index("url", "?", 1), F.lit("/"))
+    container = F.when(F.col("page_id") % 2 == 0, F.concat(base, F.lit("/?sig=a%2F"), F.col("page_id").cast("string"))).otherwise(base)
+    name = F.lit("main.json")
+    return t("pages").select("page_id", formats.lookup_filter(F.lit("refs"), formats.ref_row_key(base)).alias("lookup"), formats.signed_url(container, name).alias("address"), formats.shown_url(container, name).alias("shown"))
+
+
+@R.query(f"WITH {vectors._TREE}, {vectors._BEAM} SELECT q AS query_id, count(*) AS blocks, sum(n_bytes)::BIGINT AS bytes, count(DISTINCT level) AS levels FROM (SELECT DISTINCT q, b, level FROM touched) x JOIN {vectors._SIZE} z USING (b) GROUP BY q")
+def query_totals(spark: SparkSession, t) -> DataFrame:
+    tree, _, touched = vectors._beam(t)
+    levels = search.level_access(touched, vectors._sizes(tree))
+    return search.query_totals(levels).join(levels.groupBy("query_id").agg(F.count("*").alias("levels")), "query_id").select("query_id", "blocks", F.col("bytes").cast("long").alias("bytes"), "levels")
+
+
+@R.query("SELECT count(*) AS queries, sum(v)::BIGINT AS total_micros, (sum(v) // count(*))::BIGINT AS mean_micros, max(v) AS max_micros FROM (SELECT floor(value * 1000)::BIGINT AS v FROM events)")
+def elapsed_summary(spark: SparkSession, t) -> DataFrame:
+    return search.elapsed_summary(t("events").select(F.col("event_id").alias("query_id"), F.floor(F.col("value") * 1000).alias("micros")))

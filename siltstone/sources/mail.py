@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as X
 from siltstone.functions.hashing import content_hash
+from siltstone.operators import store
 
 _PARSED = "headers array<struct<name:string,value:string>>, to string, cc string, list_id string, subject string, sender string, date string, message_id string, body string, html boolean"
 
@@ -105,6 +106,32 @@ def chunk_items(emails: DataFrame) -> DataFrame:
     return each.select(F.lit("email-chunk").alias("kind"), "path", "email_ref", "chunk_index", "text", metadata.alias("metadata"), content_hash(F.lit("text/plain"), F.col("text")).alias("input_hash"))
 
 
+#: How normalised emails are stored (fixed values of the format).
+EMAIL_TYPE, EMAIL_MEDIA_TYPE, EMAIL_VERSION = "normalised-email", "application/json", 1
+
+
+def email_artifacts(emails: DataFrame) -> DataFrame:
+    """Normalised emails as typed artifacts: ``block_id`` is the email's reference, ``body`` its text."""
+    return emails.select(
+        F.col("email_ref").alias("block_id"), F.lit(EMAIL_TYPE).alias("type_name"), F.lit(EMAIL_MEDIA_TYPE).alias("media_type"), F.lit(EMAIL_VERSION).alias("schema_version"),
+        F.col("body").cast("binary").alias("body"), F.col("mailbox_ref").alias("mailbox_artifact_ref"),
+    )
+
+
+def resolve_chunks(items: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """``items`` (``email_ref, chunk_index``) with the ``text`` that their email's artifact gives when it is chunked again.
+
+    Each artifact is chunked once. A missing artifact, another media type or version, or a chunk that is not there fails the job.
+    """
+    bodies = store.readable_artifacts(artifacts, EMAIL_TYPE, EMAIL_MEDIA_TYPE, EMAIL_VERSION)
+    cut = bodies.select("block_id", X.chunks(F.decode("body", "UTF-8")).alias("chunks")).withColumnRenamed("block_id", "email_ref")
+    joined = items.drop("text").join(cut, "email_ref", "left")
+    missing = F.raise_error(F.concat(F.lit("missing artifact: "), F.col("email_ref"))).cast("string")
+    outside = F.raise_error(F.concat(F.lit("no chunk "), F.col("chunk_index").cast("string"), F.lit(" in "), F.col("email_ref"))).cast("string")
+    text = F.when(F.col("chunks").isNull(), missing).otherwise(F.coalesce(F.get("chunks", F.col("chunk_index")), outside))
+    return joined.withColumn("text", text).drop("chunks")
+
+
 def mailbox_items(spark: SparkSession, path: str) -> DataFrame:
     """Items of all mailboxes (``.mail``, ``.mbox``) below ``path``; empty mailboxes give none."""
     return chunk_items(normalise(split_mailbox(files(spark, path, "mail", "mbox"))))

@@ -49,7 +49,7 @@ def test_failure_bundle_is_bounded(spark):
 
 def test_metadata_keeps_texts_and_the_last_of_equal_keys(spark):
     pairs = spark.createDataFrame([([("b", "1"), ("a", "2"), ("b", "3"), (None, "x"), ("c", None)],)], "p array<struct<key:string,value:string>>")
-    assert list(pairs.select(reports.text_metadata(F.col("p")).alias("m")).first().m.items()) == [("a", "2"), ("b", "3")]
+    assert [tuple(e) for e in pairs.select(F.map_entries(reports.text_metadata(F.col("p"))).alias("m")).first().m] == [("a", "2"), ("b", "3")]
 
 
 def test_neighbor_ids_follow_content_not_order(spark):
@@ -122,3 +122,68 @@ def test_failures_are_attributed_upward_and_depth_is_no_silent_limit(spark):
         with pytest.raises(ValueError, match="deeper"):
             call()
     assert graph.store_failure(roots, "write", "full").count() == 3
+
+
+def test_metadata_of_the_user_wins_and_urls_keep_their_signature(spark):
+    from siltstone.functions import formats
+
+    rows = spark.sql("SELECT map('z', '1', 'source_path', 'mine') AS u UNION ALL SELECT CAST(NULL AS MAP<STRING, STRING>)")
+    out = [[tuple(e) for e in r.m] for r in rows.select(F.map_entries(formats.joined_metadata(F.lit("document"), F.lit("a\\b"), F.col("u"))).alias("m")).collect()]
+    assert out == [[("source_kind", "document"), ("source_path", "mine"), ("z", "1")], [("source_kind", "document"), ("source_path", "a/b")]]
+    one = spark.range(1).select(formats.signed_url(F.lit("https://h/c/?sig=x"), F.lit("r.json")).alias("a"), formats.shown_url(F.lit("https://h/c?sig=x"), F.lit("r.json")).alias("b"), formats.quoted(F.lit("it's")).alias("c")).first()
+    assert tuple(one) == ("https://h/c/r.json?sig=x", "https://h/c/r.json", "'it''s'")
+
+
+def test_cbor_heads(spark):
+    from siltstone.functions import formats
+
+    sizes = {0: 1, 23: 1, 24: 2, 255: 2, 256: 3, 65535: 3, 65536: 5, 2**32 - 1: 5, 2**32: 9}
+    rows = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", formats.cbor_head_size(F.col("n")).alias("s")).collect()
+    assert {r.n: r.s for r in rows} == sizes
+
+
+def test_baseline_and_csv(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1, 2.0), ("b", 4, 1.0)], "name string, n long, x double")
+    out = reports.against_baseline(rows, "name", "a", ["n", "x"])
+    assert {(r.name, r.delta_n, r.delta_x) for r in out.collect()} == {("a", 0, 0.0), ("b", 3, -1.0)}
+    reports.write_csv(out, f"file://{tmp_path}/t")
+    assert spark.read.option("header", True).csv(f"file://{tmp_path}/t").count() == 2
+    assert [r.block_id for r in reports.in_report_order(spark.createDataFrame([("b",), ("a",)], "block_id string"), "blocks").collect()] == ["a", "b"]
+
+
+def test_emails_are_chunked_again_from_their_artifacts(spark, tmp_path):
+    from siltstone.sources import mail
+
+    (tmp_path / "a.mbox").write_bytes(b"From x\nSubject: s\n\n" + b" ".join(b"Sentence number %d is here." % i for i in range(90)) + b"\n")
+    emails = mail.normalise(mail.split_mailbox(mail.files(spark, f"file://{tmp_path}", "mbox")))
+    items, artifacts = mail.chunk_items(emails), mail.email_artifacts(emails)
+    want = sorted((r.chunk_index, r.text) for r in items.collect())
+    assert len(want) > 1 and sorted((r.chunk_index, r.text) for r in mail.resolve_chunks(items, artifacts).collect()) == want
+    with pytest.raises(Exception, match="no chunk"):
+        mail.resolve_chunks(items.withColumn("chunk_index", F.lit(99)), artifacts).collect()
+    with pytest.raises(Exception, match="missing artifact"):
+        mail.resolve_chunks(items, artifacts.where("false")).collect()
+    with pytest.raises(Exception, match="unsupported artifact"):
+        mail.resolve_chunks(items, artifacts.withColumn("schema_version", F.lit(2))).collect()
+
+
+def test_walk_samples_are_distinct_and_first(spark):
+    from siltstone.operators import search, trees
+
+    tree = trees.label_tree(spark.createDataFrame([(i, i % 6, [float(i % 6), float(i) + 1]) for i in range(50)], "vec_id long, label int, embedding array<float>"))
+    walks = search.random_walks(tree, "R", 9, 32 * 6).collect()
+    first = {}
+    for w in sorted(walks, key=lambda w: w.walk):
+        first.setdefault((w.block_id, w.entry_ix), w.walk)
+    got = [(r.block_id, r.entry_ix) for r in search.walk_sample(tree, "R", 9, 6).collect()]
+    assert got == list(first)[:6]
+    sizes = tree.entries.groupBy("block_id").agg((F.count("*") * 100).alias("n_bytes"))
+    access = search.walk_access(tree, "R", sizes, 9, 4, 2)
+    assert access.select("query_id").distinct().count() == 4 and search.query_totals(access).count() == 4
+
+
+def test_stage_dimension(spark):
+    from siltstone.operators import invariants
+
+    rows = {(r.stage, r.work_kind): (r.rank, r.may_be_pending) for r in invariants.stage_dimension(spark).collect()}
+    assert rows["embedding", "chunking"] == (3, False) and rows["embedding", "embedding"] == (3, True) and rows["terminal-failure", "chunking"] == (6, True) and len(rows) == 40
