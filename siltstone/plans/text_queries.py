@@ -171,10 +171,10 @@ def source_name(spark: SparkSession, t) -> DataFrame:
 
 
 @R.query("""
-SELECT conv_id, turn, 'Turn ' || turn AS email_subject, role AS email_from, length(text) > 0 AS has_text, sha256(text) AS raw_body_sha256 FROM conversations WHERE conv_id IS NOT NULL AND length(text) > 0""")
+SELECT conv_id, turn, trim('Turn ' || coalesce(turn::VARCHAR, '')) AS email_subject, nullif(role, '') AS email_from, length(coalesce(text, '')) > 0 AS has_text, sha256(coalesce(text, '')) AS raw_body_sha256 FROM conversations""")
 def mail_messages(spark: SparkSession, t) -> DataFrame:
-    """Every turn as a MIME message and back: headers and body survive the parser."""
-    turns = t("conversations").where("conv_id IS NOT NULL AND length(text) > 0")
-    raw = F.concat(F.lit("Subject: Turn "), F.col("turn").cast("string"), F.lit("\nFrom: "), F.col("role"), F.lit("\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: base64\n\n"), F.base64("text"))
+    """Every turn as a MIME message and back: headers and body survive the parser; what is null is empty."""
+    turns = t("conversations").select("conv_id", "turn", F.coalesce(F.col("turn").cast("string"), F.lit("")).alias("n"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    raw = F.concat(F.lit("Subject: Turn "), F.col("n"), F.lit("\nFrom: "), F.col("role"), F.lit("\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: base64\n\n"), F.base64("text"))
     rows = turns.select("conv_id", "turn", mail.parse_message(F.encode(raw, "UTF-8")).alias("m"))
     return rows.select("conv_id", "turn", F.col("m.subject").alias("email_subject"), F.col("m.sender").alias("email_from"), (F.char_length("m.body") > 0).alias("has_text"), F.sha2("m.body", 256).alias("raw_body_sha256"))
