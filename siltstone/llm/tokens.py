@@ -11,6 +11,7 @@ tokens) goes to the library's own encoder, so ids always equal its ids.
 from __future__ import annotations
 
 import json
+from itertools import chain
 
 import numpy as np
 import regex
@@ -143,22 +144,24 @@ class WordBpe:
 
     def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words (distinct, free of blanks) end to end, and how many each has."""
-        number: dict[str, int] = {}
-        used, of_word, odd = [], np.zeros(len(words), dtype=np.int64), []
+        parts: list[str] = []
+        sizes, odd = [], []
         for i, word in enumerate(words):
-            if len(word) > MAX_WORD or not word.isascii() and _NOT_PLAIN.search(word) or word.isascii() and not word.isprintable():
+            if word.isalpha() and word.isascii() and len(word) <= MAX_WORD:
+                parts.append(word.lower())
+                sizes.append(1)
+            elif len(word) > MAX_WORD or not word.isascii() and _NOT_PLAIN.search(word) or word.isascii() and not word.isprintable():
                 odd.append(i)
-                continue
-            low = word.lower()
-            if low.isalpha():
-                used.append(number.setdefault(low, len(number)))
-                of_word[i] = 1
+                sizes.append(0)
             else:
-                found = self.split.findall(low)
-                used += [number.setdefault(p, len(number)) for p in found]
-                of_word[i] = len(found)
+                low = word.lower()
+                found = [low] if low.isalpha() else self.split.findall(low)
+                parts += found
+                sizes.append(len(found))
+        of_word = np.array(sizes, dtype=np.int64)
+        number = {p: i for i, p in enumerate(dict.fromkeys(parts))}
         ids, size = self._encode_parts(list(number))
-        part = np.array(used, dtype=np.int64)
+        part = np.fromiter(map(number.__getitem__, parts), dtype=np.int64, count=len(parts))
         starts = np.cumsum(size) - size
         flat, per_part = ragged(ids, starts[part], size[part]), np.concatenate(([0], np.cumsum(size[part])))
         last = np.cumsum(of_word)
@@ -173,13 +176,12 @@ class WordBpe:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and how many each has: the library's, with ``add_special_tokens=False``."""
         split = [[] if _ODD.search(t) else t.split() for t in texts]
-        number: dict[str, int] = {}
-        used = [number.setdefault(w, len(number)) for words in split for w in words]
+        ends = np.cumsum([len(words) for words in split])
+        number = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(split)))}
         ids, size = self._encode_words(list(number))
-        word = np.array(used, dtype=np.int64)
+        word = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=int(ends[-1]) if len(ends) else 0)
         flat = ragged(ids, (np.cumsum(size) - size)[word], size[word])
         run = np.concatenate(([0], np.cumsum(size[word])))
-        ends = np.cumsum([len(words) for words in split])
         counts = np.diff(run[np.concatenate(([0], ends))])
         starts = run[:-1][:0]
         odd = [i for i, t in enumerate(texts) if not split[i] and t and not t.isspace()]

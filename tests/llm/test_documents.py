@@ -441,6 +441,16 @@ def test_ids_equal_the_library():
     assert ids.tolist() == [i for e in want for i in e.ids] and counts.tolist() == [len(e.ids) for e in want]
 
 
+def test_ids_equal_the_library_on_all_documents():
+    import duckdb
+
+    bpe = packing._encoder(packing.default_vocabulary())
+    texts = [t or "" for (t,) in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet' ORDER BY doc_id").fetchall()]
+    ids, counts = bpe.encode(texts)
+    want = bpe.library.encode_batch(texts, add_special_tokens=False)
+    assert counts.tolist() == [len(e.ids) for e in want] and ids.tolist() == [i for e in want for i in e.ids]
+
+
 def test_pieces_round_trip_and_are_the_best_path(spark):
     out = pieces.decode_pieces(pieces.encode_pieces(cases.table(spark))).collect()
     assert Counter((r.doc_id, r.text) for r in out) == Counter((i, t or "") for i, t, _ in ROWS)
