@@ -214,7 +214,20 @@ def built_tree_leaves(spark: SparkSession, t) -> DataFrame:
     return tree.entries.join(tree.blocks, "block_id").groupBy("block_id", "level").agg(F.count("*").alias("n"))
 
 
-@R.query()
+def _chosen(walk: str, depth: int, block: str, salt: str, n: str) -> str:
+    """SQL of a walk's choice: the first eight bytes of a hash, little-endian, modulo ``n``."""
+    number = lambda x: f"unhex(printf('%02x', {x}) || '00000000000000')"  # noqa: E731  walks and depths are below 256
+    digest = f"sha256({number(SEED)} || {number(walk)} || {number(depth)} || encode({block}) || encode('{salt}'))"
+    low_first = " || ".join(f"substr({digest}, {i}, 2)" for i in range(15, 0, -2))
+    return f"(('0x' || {low_first})::HUGEINT % {n})"
+
+
+@R.query(f"""WITH b AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS ix, count(*) OVER () AS n FROM (SELECT DISTINCT 'B' || (label % 3) AS c FROM embeddings)),
+l AS (SELECT 'B' || (label % 3) AS p, 'L' || label AS c, row_number() OVER (PARTITION BY label % 3 ORDER BY 'L' || label) - 1 AS ix, count(*) OVER (PARTITION BY label % 3) AS n FROM (SELECT DISTINCT label FROM embeddings)),
+e AS (SELECT 'L' || label AS p, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS ix, count(*) OVER (PARTITION BY label) AS n FROM embeddings),
+w1 AS (SELECT w, b.c FROM (SELECT unnest(range({SAMPLE})) AS w) JOIN b ON b.ix = {_chosen('w', 0, "'R'", 'branch-child', 'b.n')}),
+w2 AS (SELECT w, l.c FROM w1 JOIN l ON l.p = w1.c AND l.ix = {_chosen('w', 1, 'w1.c', 'branch-child', 'l.n')})
+SELECT w AS walk, w2.c AS block_id, vec_id AS entry_ix FROM w2 JOIN e ON e.p = w2.c AND e.ix = {_chosen('w', 2, 'w2.c', 'leaf-entry', 'e.n')}""")
 def random_walk_access(spark: SparkSession, t) -> DataFrame:
     """Deterministic descents; each choice is a hash modulo the block's entries (see the tests)."""
     tree = trees.label_tree(t("embeddings"))
