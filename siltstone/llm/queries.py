@@ -8,15 +8,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import best_paths, chain, format_paths, masked_text, parse
+from .html_text import extract
 from .langid import identify
 from .lines import dedup_lines
 from .media import describe_media, read_media, store_media
 from .packing import pack_documents
 from .pieces import decode_pieces, encode_pieces
+from .phrases import collocations
 from .pii import KINDS, find_private, span_list
 from .quality import quality
 from .simhash import near_duplicates
 from .suffix import remove_repeats
+from .trie import ordered_turns, prefix_trie, share_heads
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,6 +96,18 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(*share_heads(ordered_turns(table(spark, sf_dir, "conversations"))))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_quality": op2_quality,
@@ -104,10 +119,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substrings": op8_substrings,
     "op9_simhash": op9_simhash,
     "op10_language": op10_language,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_phrases": op12_phrases,
+    "op13_html_text": op13_html_text,
 }
 
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+#: crc32 of a decimal number's characters, bit by bit (reversed polynomial 0xEDB88320).
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, [ascii(x)::BIGINT for x in string_split(CAST({0} AS VARCHAR), '')]),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda r, i: xor(r >> 1, (r & 1) * 3988292384))), 4294967295)"""
+
+_SPLIT_PIECES = "'[.,;:!?' || chr(10) || '-' || chr(13) || ']'"
+_CUT = """SELECT x.lang, x.k, x.p, x.a, y.a AS l, z.a AS r, (1000::HUGEINT * x.a * n.n) // (y.a::HUGEINT * z.a) AS score, len(y.w) AS j
+  FROM kept x JOIN f y ON y.lang = x.lang AND len(y.w) < x.k AND y.w = x.w[1:len(y.w)] JOIN f z ON z.lang = x.lang AND z.w = x.w[len(y.w) + 1:] JOIN n ON n.lang = x.lang"""
+
 _ESCAPED_EXTRA = "length(t) - length(replace(replace(replace(t, chr(92), ''), '<', ''), '#', ''))"
 
 ORACLE: dict[str, str] = {
@@ -129,4 +155,29 @@ j AS (SELECT k.*, coalesce(k.doc_id > m.first_doc, false) AS lost FROM k LEFT JO
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT lost), '')) AS kept_sha256
 FROM j GROUP BY rid, doc_id""",
+    "op11_prefix_trie": f"""
+WITH o AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS i,
+    [coalesce(role, ''), coalesce(text, '')] AS x FROM conversations WHERE conv_id IS NOT NULL),
+s AS (SELECT c, list(x ORDER BY i) AS xs, {_CRC32.format("c")} % 6 AS h FROM o GROUP BY c),
+b AS (SELECT s.c, list_concat(coalesce(t.xs[1:s.h], []), s.xs[s.h + 1:]) AS xs FROM s LEFT JOIN s t ON t.c = s.c - s.c % 100),
+m AS (SELECT c, unnest(range(len(xs) + 1)) AS d, xs FROM b),
+k AS (SELECT c, d, xs[1:d] AS p, len(xs) = d AS e FROM m),
+n AS (SELECT p, d, min(c) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (e), '') AS ends FROM k GROUP BY p, d),
+u AS (SELECT a.p, count(*) FILTER (v.d = a.d + 1) AS n_children, sum(CASE WHEN v.d > 0 THEN (v.n_convs - 1) * length(v.p[v.d][2]) ELSE 0 END) AS saved,
+    count(*) FILTER (NOT EXISTS (SELECT 1 FROM n w WHERE w.d = v.d + 1 AND w.p[1:v.d] = v.p)) AS n_leaves
+  FROM n a JOIN n v ON v.d >= a.d AND v.p[1:a.d] = a.p GROUP BY a.p)
+SELECT n.conv_id, n.d AS depth, q.conv_id AS parent_conv_id, n.n_convs, u.n_children, u.n_leaves, CAST(u.saved AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM n JOIN u USING (p) LEFT JOIN n q ON q.d = n.d - 1 AND q.p = n.p[1:n.d - 1]""",
+    "op12_phrases": f"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_SPLIT_PIECES})) AS piece FROM documents),
+s AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ ' || chr(9) || ']+'), lambda x: x <> '') AS w FROM t),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM s GROUP BY lang),
+g AS (SELECT lang, w, k, unnest(range(len(w) - k + 1)) AS i FROM s, range(1, 6) r(k) WHERE len(w) >= k),
+f AS (SELECT lang, w[i + 1:i + k] AS w, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, w, a, len(w) AS k, array_to_string(w, ' ') AS p FROM f WHERE len(w) > 1),
+kept AS (SELECT * FROM c x WHERE NOT EXISTS (SELECT 1 FROM c y WHERE y.lang = x.lang AND y.k > x.k AND 100 * y.a >= 100 * x.a AND contains(' ' || y.p || ' ', ' ' || x.p || ' '))),
+cuts AS ({_CUT}),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, j) = 1),
+ranked AS (SELECT best.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(p)) AS rank FROM best)
+SELECT lang, rank, p AS phrase, a, l, r, n.n, CAST(score AS BIGINT) AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000""",
 }
