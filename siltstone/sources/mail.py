@@ -17,19 +17,22 @@ from siltstone.functions import text as X
 from siltstone.functions.hashing import content_hash
 from siltstone.operators import store
 
+from .mailbox import mailbox_messages, read_mailboxes
+
 _PARSED = "headers array<struct<name:string,value:string>>, to string, cc string, list_id string, subject string, sender string, date string, message_id string, body string, html boolean"
 
 
 def files(spark: SparkSession, path: str, *suffixes: str) -> DataFrame:
     """``path, length, content`` of files with one of the suffixes, in any case, below ``path``; Spark lists no empty files."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return found.where(F.lower("path").rlike(r"\.(" + "|".join(suffixes) + ")$")).select("path", "length", "content")
+    either = "{" + ",".join("*." + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in s) for s in suffixes) + "}"
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", either).load(path)  # no other file is opened
+    return found.select("path", "length", "content")
 
 
 def split_mailbox(mailboxes: DataFrame) -> DataFrame:
-    """``path, mailbox_ref, message_index, raw``: lines that start with ``From `` separate messages and are dropped."""
+    """``path, mailbox_ref, message_index, raw`` of mailboxes that are held whole (``content``); files are read by :mod:`siltstone.sources.mailbox`."""
     latin = F.decode("content", "ISO-8859-1")  # one character per byte: no byte is lost
-    parts = F.filter(F.split(latin, r"(?m)^From [^\n]*\n?", -1), lambda m: m != "")
+    parts = F.filter(F.split(latin, r"(?md)^From [^\n]*\n?", -1), lambda m: m != "")
     ref = F.sha2("content", 256)
     return mailboxes.select("path", ref.alias("mailbox_ref"), F.posexplode(parts).alias("message_index", "part")).select("path", "mailbox_ref", "message_index", F.encode("part", "ISO-8859-1").alias("raw"))
 
@@ -134,14 +137,12 @@ def resolve_chunks(items: DataFrame, artifacts: DataFrame) -> DataFrame:
 
 def mailbox_items(spark: SparkSession, path: str) -> DataFrame:
     """Items of all mailboxes (``.mail``, ``.mbox``) below ``path``; empty mailboxes give none."""
-    return chunk_items(normalise(split_mailbox(files(spark, path, "mail", "mbox"))))
+    return chunk_items(normalise(mailbox_messages(spark, path)))
 
 
 def mailbox_counts(spark: SparkSession, path: str) -> DataFrame:
     """``path, month, messages``; the month is the file's name without its suffix."""
-    boxes = files(spark, path, "mail", "mbox")
-    counts = split_mailbox(boxes).groupBy("path").agg(F.count("*").alias("messages"))
-    return boxes.select("path").join(counts, "path", "left").select("path", F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("month"), F.coalesce("messages", F.lit(0)).alias("messages"))
+    return read_mailboxes(spark, path, "digests").select("path", F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("month"), "messages")
 
 
 def document_items(spark: SparkSession, path: str) -> DataFrame:
