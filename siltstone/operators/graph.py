@@ -1,15 +1,15 @@
 """Block graphs: traversal with findings, rooted closure, copy plans, failure attribution.
 
 ``edges`` is ``parent_id, child_ix, child_id``; ``blocks`` is ``block_id, level,
-dims``. Traversal is breadth first, one join per level over the frontier; each
-level is written, so lineage stays short whatever the depth.
+dims``. Walks are joins over a frontier, one per level; each level is written,
+so lineage stays short whatever the depth.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.hashing import valid_hash
@@ -17,39 +17,55 @@ from siltstone.functions.hashing import valid_hash
 from .shared import kept
 
 
+_WAY = "array<struct<ix:bigint,id:string>>"
+
+
 def traverse(edges: DataFrame, blocks: DataFrame, roots: DataFrame, max_depth: int = 1_000) -> DataFrame:
-    """``block_id, depth, path``: every existing block reached from ``roots (block_id)``, by its first parent."""
-    there = blocks.select("block_id")
-    level = kept(roots.join(there, "block_id").distinct().select("block_id", F.lit(0).alias("depth"), F.array("block_id").alias("path")), "visited")
-    visited = [level]
-    for depth in range(1, max_depth):
-        step = level.select(F.col("block_id").alias("parent_id"), "path").join(edges, "parent_id").where(~F.array_contains("path", F.col("child_id")))
-        first = step.groupBy(F.col("child_id").alias("block_id")).agg(F.min_by("path", F.struct("parent_id", "child_ix")).alias("up"))
-        seen = reduce(DataFrame.unionByName, visited).select("block_id")
-        fresh = first.join(there, "block_id").join(seen, "block_id", "left_anti")
-        level = kept(fresh.select("block_id", F.lit(depth).alias("depth"), F.concat("up", F.array("block_id")).alias("path")), "visited")
-        if not level.take(1):
-            return reduce(DataFrame.unionByName, visited)
-        visited.append(level)
+    """``block_id, depth, path, way``: every existing block that a depth-first walk from ``roots (block_id)`` reaches, and how it gets there.
+
+    The walk enters a block by the least of its simple paths, compared child by child in ``child_ix`` order: had a block of that
+    path been entered before by a smaller one, the rest of the path would lead on from there. So ways are corrected downward from
+    the blocks whose way got smaller last, one join a round, and a tree takes one round a level. ``max_depth`` bounds the rounds.
+    """
+    there = blocks.select("block_id").distinct()
+    links = edges.select("parent_id", F.col("child_ix").cast("long").alias("ix"), "child_id")
+    changed = kept(roots.select("block_id").distinct().join(there, "block_id").select("block_id", F.array(F.struct(F.lit(0).cast("long").alias("ix"), F.col("block_id").alias("id"))).cast(_WAY).alias("way")), "ways")
+    rounds = [changed]
+    least = lambda rows: rows.groupBy("block_id").agg(F.min("way").alias("way"))
+    for _ in range(1, max_depth):
+        step = changed.select(F.col("block_id").alias("parent_id"), "way").join(links, "parent_id").where(~F.exists("way", lambda x: x["id"] == F.col("child_id")))
+        found = least(step.select(F.col("child_id").alias("block_id"), F.concat("way", F.array(F.struct("ix", F.col("child_id").alias("id")))).alias("way"))).join(there, "block_id")
+        known = least(reduce(DataFrame.unionByName, rounds)).withColumnRenamed("way", "known")
+        changed = kept(found.join(known, "block_id", "left").where(F.col("known").isNull() | (F.col("way") < F.col("known"))).select("block_id", "way"), "ways")
+        if not changed.take(1):
+            found = least(reduce(DataFrame.unionByName, rounds))
+            return found.select("block_id", F.size("way").alias("n"), "way").select("block_id", (F.col("n") - 1).alias("depth"), F.transform("way", lambda x: x["id"]).alias("path"), "way")
+        rounds.append(changed)
     raise ValueError(f"the graph is deeper than {max_depth} levels")
 
 
 def findings(edges: DataFrame, blocks: DataFrame, roots: DataFrame) -> DataFrame:
-    """``kind, parent_id, child_id``: structural findings on all edges out of reached blocks."""
+    """``kind, parent_id, child_id``: what a depth-first walk reports on the edges out of the blocks that it reaches.
+
+    An edge back into the walk's own path is a cycle, an edge to a block that was entered by another edge is a shared child; only
+    the edge by which a block is entered is judged by level and spec.
+    """
     reached = kept(traverse(edges, blocks, roots), "reached")
-    out = reached.select(F.col("block_id").alias("parent_id"), "depth", "path").join(edges, "parent_id")
+    out = reached.select(F.col("block_id").alias("parent_id"), "way").join(edges, "parent_id")
     child = blocks.select(F.col("block_id").alias("child_id"), F.col("level").alias("child_level"), F.col("dims").alias("child_dims"))
     parent = blocks.select(F.col("block_id").alias("parent_id"), "level", "dims")
-    out = out.join(parent, "parent_id").join(child, "child_id", "left").withColumn("cycle", F.array_contains("path", F.col("child_id")))
-    order = Window.partitionBy("child_id", "cycle").orderBy("depth", "parent_id", "child_ix")
-    out = kept(out.withColumn("nth", F.row_number().over(order)), "reached-edges")
-    missing = F.col("child_level").isNull()
+    entered = reached.select(F.col("block_id").alias("child_id"), F.col("way").alias("child_way"))
+    out = out.join(parent, "parent_id").join(child, "child_id", "left").join(entered, "child_id", "left")
+    here = F.concat("way", F.array(F.struct(F.col("child_ix").cast("long").alias("ix"), F.col("child_id").alias("id"))))
+    missing, cycle = F.col("child_level").isNull(), F.exists("way", lambda x: x["id"] == F.col("child_id"))
+    out = out.select("parent_id", "child_id", "level", "dims", "child_level", "child_dims", missing.alias("missing"), cycle.alias("cycle"), F.coalesce(here == F.col("child_way"), F.lit(False)).alias("enters"))
+    out = kept(out, "reached-edges")
     rules = {
-        "missing-child": missing,
+        "missing-child": F.col("missing"),
         "cycle": F.col("cycle"),
-        "shared-child": ~F.col("cycle") & ~missing & (F.col("nth") > 1),
-        "child-level-not-lower": ~F.col("cycle") & ~missing & (F.col("child_level") >= F.col("level")),
-        "embedding-spec-mismatch": ~F.col("cycle") & ~missing & (F.col("child_dims") != F.col("dims")),
+        "shared-child": ~F.col("cycle") & ~F.col("missing") & ~F.col("enters"),
+        "child-level-not-lower": F.col("enters") & (F.col("child_level") >= F.col("level")),
+        "embedding-spec-mismatch": F.col("enters") & (F.col("child_dims") != F.col("dims")),
     }
     parts = [out.where(rule).select(F.lit(kind).alias("kind"), "parent_id", "child_id") for kind, rule in rules.items()]
     return reduce(DataFrame.unionByName, parts)

@@ -25,10 +25,11 @@ blocks AS (
   SELECT 'root' AS b, 3 AS level, 64 AS dims UNION ALL SELECT 'r' || r_regionkey, 2, 64 FROM region
   UNION ALL SELECT 'n' || n_nationkey, CASE WHEN n_nationkey % 7 = 0 THEN 2 ELSE 1 END, 64 FROM nation
   UNION ALL SELECT 'c' || c_custkey, 0, CASE WHEN c_custkey % 71 = 0 THEN 32 ELSE 64 END FROM customer)"""
+# A depth-first walk enters a block by the least of its simple paths.
 _WALK = """walk AS (
-  SELECT 'root' AS b, 0 AS depth, ['root'] AS path, '' AS up, 0::BIGINT AS ix
-  UNION ALL SELECT c, depth + 1, list_append(path, c), p, e.ix FROM walk JOIN edges e ON e.p = walk.b JOIN blocks ON blocks.b = e.c WHERE NOT list_contains(path, c)),
-reached AS (SELECT b, min(depth) AS depth, arg_min(path, (depth, up, ix)) AS path FROM walk GROUP BY b)"""
+  SELECT 'root' AS b, ['root'] AS path, [0::BIGINT] AS way
+  UNION ALL SELECT c, list_append(path, c), list_append(way, e.ix) FROM walk JOIN edges e ON e.p = walk.b JOIN blocks ON blocks.b = e.c WHERE NOT list_contains(path, c)),
+reached AS (SELECT b, len(min(way)) - 1 AS depth, arg_min(path, way) AS path, min(way) AS way FROM walk GROUP BY b)"""
 
 
 def _names(letter: str, column: str):
@@ -59,11 +60,11 @@ def _roots(spark: SparkSession, *names: str) -> DataFrame:
 
 
 @R.query(f"""WITH RECURSIVE {_GRAPH}, {_WALK},
-o AS (SELECT e.p, e.c, r.depth, e.ix, pb.level AS pl, pb.dims AS pd, cb.level AS cl, cb.dims AS cd, list_contains(r.path, e.c) AS cycle FROM reached r JOIN edges e ON e.p = r.b JOIN blocks pb ON pb.b = e.p LEFT JOIN blocks cb ON cb.b = e.c),
-n AS (SELECT *, row_number() OVER (PARTITION BY c, cycle ORDER BY depth, p, ix) AS nth FROM o)
-SELECT 'missing-child' AS kind, p AS parent_id, c AS child_id FROM n WHERE cl IS NULL UNION ALL SELECT 'cycle', p, c FROM n WHERE cycle
-UNION ALL SELECT 'shared-child', p, c FROM n WHERE NOT cycle AND cl IS NOT NULL AND nth > 1 UNION ALL SELECT 'child-level-not-lower', p, c FROM n WHERE NOT cycle AND cl >= pl
-UNION ALL SELECT 'embedding-spec-mismatch', p, c FROM n WHERE NOT cycle AND cd <> pd""")
+o AS (SELECT e.p, e.c, pb.level AS pl, pb.dims AS pd, cb.level AS cl, cb.dims AS cd, list_contains(r.path, e.c) AS cycle, coalesce(list_append(r.way, e.ix) = cr.way AND list_append(r.path, e.c) = cr.path, false) AS enters
+  FROM reached r JOIN edges e ON e.p = r.b JOIN blocks pb ON pb.b = e.p LEFT JOIN blocks cb ON cb.b = e.c LEFT JOIN reached cr ON cr.b = e.c)
+SELECT 'missing-child' AS kind, p AS parent_id, c AS child_id FROM o WHERE cl IS NULL UNION ALL SELECT 'cycle', p, c FROM o WHERE cycle
+UNION ALL SELECT 'shared-child', p, c FROM o WHERE NOT cycle AND cl IS NOT NULL AND NOT enters UNION ALL SELECT 'child-level-not-lower', p, c FROM o WHERE enters AND cl >= pl
+UNION ALL SELECT 'embedding-spec-mismatch', p, c FROM o WHERE enters AND cd <> pd""")
 def structural_findings(spark: SparkSession, t) -> DataFrame:
     edges, blocks = block_graph(t)
     return graph.findings(edges, blocks, _roots(spark, "root"))
