@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: Inputs up to which a failure report lists them (a fixed value of the format).
 FAILURE_INPUTS = 1024
 RECALL_AT = (1, 5, 10)
+#: Metadata keys that name a source, the first one there counts (fixed values of the format).
+SOURCE_NAMES = ("source_name", "document_name", "email_name", "thread_name", "name")
 
 
 def text_metadata(pairs: Column) -> Column:
@@ -31,9 +33,8 @@ def neighbor_id(leaf_id: Column, embedding: Column, media_type: Column, body: Co
 def search_hits(entries: DataFrame) -> DataFrame:
     """Ranked leaf entries as hits: the body as text, whatever its bytes, and what the metadata says about the source."""
     m = lambda k: F.try_element_at("metadata", F.lit(k))
-    name = F.coalesce(m("email_name"), m("email_subject"), F.element_at(F.split(m("source_path"), "/"), -1))
     text = F.decode("body", "UTF-8") if dict(entries.dtypes)["body"] == "binary" else F.col("body")
-    return entries.select("position", F.col("block_id").alias("leaf_block_id"), "media_type", text.alias("text"), "metadata", m("source_kind").alias("source_kind"), m("source_path").alias("source_path"), name.alias("source_name"))
+    return entries.select("position", F.col("block_id").alias("leaf_block_id"), "media_type", text.alias("text"), "metadata", m("source_kind").alias("source_kind"), m("source_path").alias("source_path"), F.coalesce(*map(m, SOURCE_NAMES)).alias("source_name"))
 
 
 def logical_spec(dims: Column, encoding: Column, logical_dims: Column, logical_encoding: Column) -> Column:
@@ -137,7 +138,9 @@ def format_millis(micros: int) -> str:
 
 
 def search_summary(report: dict) -> str:
-    lines = [f"Rooted search results for {report['root_id']} (top_k {report['top_k']}, traversal_width {report['traversal_width']})", f"Query: {report['query']}", f"Timing: total={report['elapsed_ms']}ms"]
+    timing = report.get("timing", {}) | {"total_ms": report["elapsed_ms"]}
+    parts = ", ".join(f"{name}={timing[f'{name}_ms']}ms" for name in ("root_load", "embedding", "target_preparation", "traversal", "total") if f"{name}_ms" in timing)
+    lines = [f"Rooted search results for {report['root_id']} (top_k {report['top_k']}, traversal_width {report['traversal_width']})", f"Query: {report['query']}", f"Timing: {parts}"]
     for hit in report["hits"]:
         name = hit.get("source_name") or hit.get("source_path") or hit["leaf"]
         lines += [f"{hit['position'] + 1}. {name} [{hit['leaf']}]", "   " + hit["text"].replace("\n", " ").strip()]

@@ -14,6 +14,7 @@ from siltstone.functions import vectors as V
 from siltstone.functions.hashing import choice, sample_key, seed_bytes
 
 from .shared import kept
+from .store import only
 from .trees import Tree
 
 SAMPLE = 100
@@ -91,18 +92,20 @@ def beam_search(tree: Tree, queries: DataFrame, root: str, width: int, k: int) -
     """``hits (query_id, neighbor_id, block_id, score, position)`` and ``touched (query_id, block_id, level)``.
 
     One join per level: every query scores the entries of its frontier's blocks and keeps the best ``width`` children.
-    ``queries`` is ``query_id, target``. A query's own entry counts as no neighbour.
+    ``queries`` is ``query_id, target``. A query's own entry counts as no neighbour. Of tables in buckets, each level reads
+    what the frontier names (:func:`siltstone.operators.store.only`), so a search reads with width and depth, not with the archive.
     """
     if k < 1 or width < 1:
         raise ValueError("k and width must be at least 1")
-    links = tree.edges.join(tree.entries, (tree.edges["parent_id"] == tree.entries["block_id"]) & (tree.edges["child_ix"] == tree.entries["entry_ix"])).select("parent_id", "child_id", "embedding")
     frontier = queries.select("query_id", "target", F.lit(root).alias("block_id"))
     touched = []
-    top = tree.blocks.agg(F.max("level")).first()[0] or 0
+    top = only(tree.blocks, "block_id", [root]).agg(F.max("level")).first()[0] or 0
     for level in range(top, 0, -1):
         frontier = kept(frontier, "beam")
-        here = frontier.join(tree.blocks.where(F.col("level") == level).select("block_id"), "block_id")
-        rest = frontier.join(tree.blocks.where(F.col("level") == level).select("block_id"), "block_id", "left_anti").select("query_id", "target", "block_id")
+        at = tree.near(frontier.select("block_id"))
+        links = at.edges.join(at.entries, (at.edges["parent_id"] == at.entries["block_id"]) & (at.edges["child_ix"] == at.entries["entry_ix"])).select("parent_id", "child_id", "embedding")
+        here = frontier.join(at.blocks.where(F.col("level") == level).select("block_id"), "block_id")
+        rest = frontier.join(at.blocks.where(F.col("level") == level).select("block_id"), "block_id", "left_anti").select("query_id", "target", "block_id")
         touched.append(here.select("query_id", "block_id", F.lit(level).alias("level")))
         scored = here.join(links.withColumnRenamed("parent_id", "block_id"), "block_id").withColumn("score", V.cosine(F.col("target"), F.col("embedding")))
         order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "child_id")
@@ -110,7 +113,7 @@ def beam_search(tree: Tree, queries: DataFrame, root: str, width: int, k: int) -
         frontier = rest.unionByName(best.select("query_id", "target", F.col("child_id").alias("block_id")))
     frontier = kept(frontier, "beam")
     touched.append(frontier.select("query_id", "block_id", F.lit(0).alias("level")))
-    leaf = frontier.join(tree.entries, "block_id").where(F.col("entry_ix") != F.col("query_id"))
+    leaf = frontier.join(only(tree.entries, "block_id", frontier.select("block_id")), "block_id").where(F.col("entry_ix") != F.col("query_id"))
     leaf = leaf.select("query_id", F.col("entry_ix").alias("neighbor_id"), "block_id", V.cosine(F.col("target"), F.col("embedding")).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "block_id", "neighbor_id")
     hits = leaf.withColumn("position", F.row_number().over(order) - 1).where(F.col("position") < k)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import fcntl
 import json
 import os
 import re
@@ -26,14 +27,56 @@ def table_or_none(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def append_new(rows: DataFrame, path: str, key: str = "block_id") -> DataFrame:
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a job has written the table at ``path`` to its end."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
+# --- tables in buckets: partitioned by the first characters of a hash, sorted by it inside a file ------------
+
+#: Characters of a hash that name its bucket, and ids that one look into a table may name.
+PREFIX, MAX_PROBES = 2, 1_000
+
+
+def bucket(key: Column | str) -> Column:
+    return F.concat(F.lit("h"), F.substring(key, 1, PREFIX))
+
+
+def append_bucketed(rows: DataFrame, path: str, key: str) -> None:
+    """Append to a table in buckets. Each file holds a range of the key, so a look for a few ids opens a few row groups of a few files."""
+    placed = rows.withColumn("bucket", bucket(F.col(key))).repartitionByRange("bucket", key).sortWithinPartitions("bucket", key)
+    placed.write.mode("append").partitionBy("bucket").parquet(path)
+
+
+def only(table: DataFrame, key: str, ids: DataFrame | list[str]) -> DataFrame:
+    """The rows of a table whose ``key`` may be among ``ids`` (one column): what a scan of a table in buckets has to read for them.
+
+    Up to ``MAX_PROBES`` ids are named in the scan's filter, so it prunes partitions and row groups; more ids name their buckets, and
+    the caller's join does the rest. A table without buckets is left whole.
+    """
+    if "bucket" not in table.columns:
+        return table
+    if not isinstance(ids, list):
+        one = ids.toDF("id").where("id IS NOT NULL").distinct()
+        rows = one.limit(MAX_PROBES + 1).collect()
+        if len(rows) > MAX_PROBES:
+            return table.where(F.col("bucket").isin([r["bucket"] for r in one.select(bucket("id").alias("bucket")).distinct().collect()]))
+        ids = [r["id"] for r in rows]
+    return table.where(F.col("bucket").isin(sorted({f"h{i[:PREFIX]}" for i in ids})) & F.col(key).isin(ids))
+
+
+def append_new(rows: DataFrame, path: str, key: str = "block_id", bucketed: bool = False) -> DataFrame:
     """Append the rows whose key the table at ``path`` lacks; returns them, as they were written. A rerun appends nothing."""
     fresh = rows.dropDuplicates([key])
     held = table_or_none(rows.sparkSession, path)
     if held is not None:
         fresh = fresh.join(held.select(key), key, "left_anti")
     fresh = kept(fresh, "fresh")  # its own source: what is returned does not change with the table
-    fresh.write.mode("append").parquet(path)
+    if bucketed:
+        append_bucketed(fresh.drop("bucket"), path, key)
+    else:
+        fresh.write.mode("append").parquet(path)
     return fresh
 
 
@@ -109,6 +152,8 @@ def _ref_path(folder: str, name: str) -> str:
 
 def load_ref(folder: str, name: str) -> dict:
     path = _ref_path(folder, name)
+    if not os.path.exists(path) and os.path.exists(f"{path}.bak"):
+        path = f"{path}.bak"
     if not os.path.exists(path):
         return {"schema_version": 1, "current_root_block_id": None, "replay_journal_head_block_id": None, "metadata": {}}
     with open(path, encoding="utf-8") as f:
@@ -118,17 +163,64 @@ def load_ref(folder: str, name: str) -> dict:
     return state
 
 
-def update_ref(folder: str, name: str, root: str | None = None, head: str | None = None, metadata: dict | None = None) -> dict:
-    """Only what is given changes; the file is replaced in one step (driver side, a few hundred bytes)."""
-    state, path = load_ref(folder, name), _ref_path(folder, name)
-    state["current_root_block_id"] = root or state["current_root_block_id"]
-    state["replay_journal_head_block_id"] = head or state["replay_journal_head_block_id"]
-    state["metadata"] = metadata if metadata is not None else state["metadata"]
+def read_document(path: str) -> dict:
+    """A small JSON document, or what a crash left of it; empty if there is none."""
+    for candidate in (path, f"{path}.bak"):
+        if os.path.exists(candidate):
+            with open(candidate, encoding="utf-8") as f:
+                return json.load(f)
+    return {}
+
+
+def replace_document(path: str, document: dict) -> None:
     os.makedirs(os.path.dirname(path), exist_ok=True)
-    handle, temporary = tempfile.mkstemp(dir=os.path.dirname(path))
-    with os.fdopen(handle, "w", encoding="utf-8") as f:
-        json.dump(state, f)
-        f.flush()
-        os.fsync(f.fileno())
-    os.replace(temporary, path)
+    _replace(path, document)
+
+
+class Conflict(Exception):
+    """The reference was changed by another writer in the meantime."""
+
+
+_ANY = object()
+
+
+def update_ref(folder: str, name: str, root: str | None = None, head: str | None = None, metadata: dict | None = None, expected_head: object = _ANY) -> dict:
+    """Only what is given changes; returns the new state (driver side, a few hundred bytes).
+
+    With ``expected_head`` it is a compare-and-swap: if the head is another one, nothing changes and :class:`Conflict` is raised.
+    Writers of one reference take turns by a lock on a file beside it. The state before is kept as ``<name>.json.bak`` until the
+    new one is in place, and comes back if that fails; a backup without a reference is what a crash between the two steps left.
+    """
+    path = _ref_path(folder, name)
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(f"{path}.lock", "w") as lock:
+        fcntl.flock(lock, fcntl.LOCK_EX)
+        state = load_ref(folder, name)
+        if expected_head is not _ANY and state["replay_journal_head_block_id"] != expected_head:
+            raise Conflict(f"the head of {name} is {state['replay_journal_head_block_id']}, not {expected_head}")
+        state["current_root_block_id"] = root or state["current_root_block_id"]
+        state["replay_journal_head_block_id"] = head or state["replay_journal_head_block_id"]
+        state["metadata"] = metadata if metadata is not None else state["metadata"]
+        _replace(path, state)
     return state
+
+
+def _replace(path: str, state: dict) -> None:
+    backup = f"{path}.bak"
+    handle, temporary = tempfile.mkstemp(dir=os.path.dirname(path))
+    try:
+        with os.fdopen(handle, "w", encoding="utf-8") as f:
+            json.dump(state, f)
+            f.flush()
+            os.fsync(f.fileno())
+        if os.path.exists(path):
+            os.replace(path, backup)
+        os.replace(temporary, path)
+    except BaseException:
+        if os.path.exists(backup) and not os.path.exists(path):
+            os.replace(backup, path)
+        if os.path.exists(temporary):
+            os.remove(temporary)
+        raise
+    if os.path.exists(backup):
+        os.remove(backup)

@@ -62,8 +62,10 @@ def concrete_blocked_on(statuses: DataFrame) -> DataFrame:
 def pass_summaries(passes: DataFrame, statuses: DataFrame) -> DataFrame:
     """``run_id, pass_no, verdict, evidence, blocked_on, message`` of completed passes.
 
-    ``passes`` is ``run_id, pass_no, items, planned, terminal, depth, complete`` (whether planning ended with it).
+    ``passes`` is ``run_id, pass_no, items, planned, terminal, depth, complete`` (whether planning ended with it). Where it also has
+    ``requested_clusters, realized_clusters, quality, balance, completion_reason``, the message tells them and there is a ``record`` (JSON).
     """
+    full = "quality" in passes.columns
     order = Window.partitionBy("run_id").orderBy("pass_no")
     rows = passes.withColumn("gap", F.greatest(F.col("planned") - F.col("terminal"), F.lit(0)))
     rows = rows.withColumns({f"{c}0": F.lag(c).over(order) for c in ("terminal", "gap", "pass_no")})
@@ -80,11 +82,20 @@ def pass_summaries(passes: DataFrame, statuses: DataFrame) -> DataFrame:
         .otherwise(F.concat_ws("; ", F.nullif(better, F.lit("")), F.nullif(worse, F.lit(""))))
     )
     told = rows.withColumn("verdict", verdict).withColumn("evidence", evidence).join(concrete_blocked_on(statuses), ["run_id", "pass_no"], "left")
+    clusters = F.coalesce(_text("; realized/requested clusters ", F.col("realized_clusters"), "/", F.col("requested_clusters")), F.lit("")) if full else F.lit("")
+    metrics = F.format_string("; quality %.6f; balance %.6f", "quality", "balance") if full else F.lit("")
     message = F.concat(
-        _text("Completed planning pass ", F.col("pass_no"), " over ", F.col("items"), " item(s); terminal partitions ", F.col("terminal"), "/", F.col("planned"), "; hierarchy depth ", F.col("depth")),
+        _text("Completed planning pass ", F.col("pass_no"), " over ", F.col("items"), " item(s); terminal partitions ", F.col("terminal"), "/", F.col("planned"), "; hierarchy depth ", F.col("depth")), clusters, metrics,
         _text("; diagnosis ", F.col("verdict"), " (", F.col("evidence"), ")"), F.coalesce(_text("; last blocked on ", F.col("blocked_on")), F.lit("")),
     )
-    return told.select("run_id", "pass_no", "verdict", "evidence", "blocked_on", message.alias("message"))
+    record = F.struct(
+        F.lit("pass-summary").alias("telemetry_kind"), F.col("pass_no").alias("completed_pass_count"), F.col("items").alias("observed_item_count"),
+        F.col("requested_clusters").alias("requested_planning_cluster_count"), F.col("realized_clusters").alias("realized_planning_cluster_count"),
+        F.col("quality").alias("planning_quality_metric"), F.col("balance").alias("planning_balance_metric"), F.col("planned").alias("planned_partition_count"),
+        F.col("terminal").alias("terminal_partition_count"), F.col("depth").alias("hierarchy_depth"), F.col("verdict").alias("convergence_verdict"), F.col("evidence").alias("convergence_evidence_summary"),
+        F.col("blocked_on").alias("last_known_blocked_on_summary"), F.when(F.col("complete"), "complete").otherwise("replay-required").alias("planning_completion_state"), F.col("completion_reason").alias("planning_completion_reason"),
+    ) if full else None
+    return told.select("run_id", "pass_no", "verdict", "evidence", "blocked_on", message.alias("message"), *([F.to_json(record).alias("record")] if full else []))
 
 
 def status_records(statuses: DataFrame) -> DataFrame:

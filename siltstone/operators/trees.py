@@ -7,6 +7,7 @@ entry's embedding is the centroid of the child's entries.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -19,6 +20,7 @@ from siltstone.functions import vectors as V
 
 from .shared import kept, numbered, ranked_within
 from .spread import centroids, principal_axes
+from .store import MAX_PROBES, only
 
 #: Bytes of a block, and of what an entry takes besides its floats (fixed values of the format).
 BLOCK_BYTES = 65_536
@@ -33,6 +35,14 @@ class Tree:
     edges: DataFrame
     entries: DataFrame
 
+    def near(self, ids: DataFrame) -> Tree:
+        """What the tables, if they are in buckets, have to be read for when only blocks of ``ids (block_id)`` are wanted."""
+        if "bucket" not in self.blocks.columns:
+            return self
+        few = ids.distinct().limit(MAX_PROBES + 1).collect()
+        named = [r["block_id"] for r in few] if len(few) <= MAX_PROBES else ids
+        return Tree(only(self.blocks, "block_id", named), only(self.edges, "parent_id", named), only(self.entries, "block_id", named))
+
 
 def fan_out(dims: int, block_bytes: int = BLOCK_BYTES) -> int:
     """Entries of ``dims`` floats that a block holds."""
@@ -104,7 +114,12 @@ def build_tree(vectors: DataFrame, dims: int, method: str = "kmeans", clusters:
     size = fan_out(dims, block_bytes)
     total = vectors.count()
     wanted = clusters or max(1, -(-total // size))
-    ranked = ranked_within(_clustered(vectors, wanted, method, seed), "cluster", "entry_ix", "tree-leaves").withColumn("leaf", F.floor(F.col("rank") / size))
+    return assemble(_clustered(vectors, wanted, method, seed), size)
+
+
+def assemble(clustered: DataFrame, size: int, tell: Callable[[int, int], None] = lambda level, groups: None) -> Tree:
+    """The tree over ``entry_ix, embedding, cluster``, bottom up; ``tell`` hears of each level and its number of blocks."""
+    ranked = ranked_within(clustered, "cluster", "entry_ix", "tree-leaves").withColumn("leaf", F.floor(F.col("rank") / size))
     named = ranked.select(F.format_string("%012d-%012d", "cluster", "leaf").alias("name"), "entry_ix", F.col("embedding").cast("array<double>").alias("embedding"))
     named = kept(named, "tree-named")
     ids = kept(_content_ids(named), "tree-ids")
@@ -114,7 +129,9 @@ def build_tree(vectors: DataFrame, dims: int, method: str = "kmeans", clusters:
     none = below.select(F.col("block_id").alias("parent_id"), F.lit(0).alias("child_ix"), F.col("block_id").alias("child_id")).limit(0)
     while True:
         blocks.append(ids.select("block_id").withColumn("level", F.lit(level)))
-        if ids.count() <= 1:
+        made = ids.count()
+        tell(level, made)
+        if made <= 1:
             break
         level += 1
         # Blocks of a level in name order fill the parents.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import hashing as H
 from siltstone.functions import text as X
+from siltstone.operators import reports
 from siltstone.sources import mail
 
 from .registry import Registry
@@ -159,6 +160,24 @@ def search_projection(spark: SparkSession, t) -> DataFrame:
     )
 
 
+@R.query("""
+SELECT doc_id AS position, sha256('leaf' || doc_id % 7) AS leaf_block_id, 'text/plain' AS media_type, coalesce(text, '') AS text, source_kind, source_path, source_name, CAST(n AS BIGINT) AS n_metadata
+FROM (SELECT *, CASE WHEN doc_id % 2 = 0 THEN 'email' ELSE 'document' END AS source_kind, source || '/' || doc_id AS source_path,
+  CASE WHEN doc_id % 2 = 0 AND doc_id % 3 = 0 THEN 'mail ' || doc_id WHEN doc_id % 5 = 0 THEN lang END AS source_name,
+  2 + (CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END) + (CASE WHEN doc_id % 2 = 0 AND doc_id % 3 = 0 THEN 1 ELSE 0 END) + (CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END) AS n FROM documents)""")
+def search_hits(spark: SparkSession, t) -> DataFrame:
+    """Leaf entries with binary bodies and metadata maps as hits: text, and the source's kind, path and name, which a subject is not."""
+    mail, key = F.col("doc_id") % 2 == 0, F.col("doc_id").cast("string")
+    pairs = {
+        "source_kind": F.when(mail, "email").otherwise("document"), "source_path": F.concat_ws("/", "source", key), "email_subject": F.when(mail, F.concat(F.lit("about "), key)),
+        "email_name": F.when(mail & (F.col("doc_id") % 3 == 0), F.concat(F.lit("mail "), key)), "name": F.when(F.col("doc_id") % 5 == 0, F.col("lang")),
+    }
+    metadata = F.map_filter(F.create_map(*(x for k, v in pairs.items() for x in (F.lit(k), v))), lambda k, v: v.isNotNull())
+    leaf = F.sha2(F.concat(F.lit("leaf"), (F.col("doc_id") % 7).cast("string")), 256)
+    entries = t("documents").select(F.col("doc_id").alias("position"), leaf.alias("block_id"), F.lit("text/plain").alias("media_type"), F.coalesce("text", F.lit("")).cast("binary").alias("body"), metadata.alias("metadata"))
+    return reports.search_hits(entries).select("*", F.size("metadata").cast("long").alias("n_metadata")).drop("metadata")
+
+
 @R.query("""
 SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 's' || doc_id WHEN doc_id % 5 = 1 THEN 'd' || doc_id WHEN doc_id % 5 = 2 THEN 'e' || doc_id WHEN doc_id % 5 = 3 THEN source END AS source_name FROM documents""")
 def source_name(spark: SparkSession, t) -> DataFrame:

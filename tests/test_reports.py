@@ -60,8 +60,8 @@ def test_neighbor_ids_follow_content_not_order(spark):
 
 
 def test_hits_are_projected(spark):
-    rows = spark.createDataFrame([(0, "l", "text/plain", bytearray(b"hi"), {"source_kind": "email", "email_subject": "s", "source_path": "x/y"}), (1, "l", "text/plain", bytearray(b"ho"), {"source_path": "x/y"})], "position int, block_id string, media_type string, body binary, metadata map<string,string>")
-    assert [(r.text, r.source_kind, r.source_name) for r in reports.search_hits(rows).orderBy("position").collect()] == [("hi", "email", "s"), ("ho", None, "y")]
+    rows = spark.createDataFrame([(0, "l", "text/plain", bytearray(b"hi"), {"source_kind": "email", "email_name": "s", "name": "n", "source_path": "x/y"}), (1, "l", "text/plain", bytearray(b"ho"), {"source_path": "x/y", "email_subject": "t"})], "position int, block_id string, media_type string, body binary, metadata map<string,string>")
+    assert [(r.text, r.source_kind, r.source_name) for r in reports.search_hits(rows).orderBy("position").collect()] == [("hi", "email", "s"), ("ho", None, None)]
 
 
 def test_recall_gate_without_queries(spark):
