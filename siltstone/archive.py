@@ -52,6 +52,11 @@ TABLES = ("items", "keys", "embeddings", "blocks", "edges", "entries", "journal_
 BUCKETED = {"items": "block_id", "keys": "key_hash", "blocks": "block_id", "edges": "parent_id", "entries": "block_id"}
 
 
+#: Of tables that may be empty: a tree of one leaf has no edges.
+SCHEMAS = {
+    "keys": "key_hash string, block_id string, path string, bucket string", "blocks": "block_id string, level int, bucket string",
+    "edges": "parent_id string, child_ix int, child_id string, bucket string", "entries": "block_id string, entry_ix long, embedding array<double>, bucket string",
+}
 #: Tags of what this session is at work on, by archive; true once cancelled.
 _RUNNING: dict[str, dict[str, bool]] = {}
 
@@ -79,16 +84,18 @@ class Archive:
         return cls(spark, config["archive"], config["refs"])
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self._path(name))
+        reader = self.spark.read
+        return (reader.schema(SCHEMAS[name]) if name in SCHEMAS else reader).parquet(self._path(name))
 
-    def ingest(self, request: Request, provider: Provider) -> int:
-        """New items, their records in the journal and their missing embeddings are appended; returns the number of new items."""
+    def ingest(self, request: Request, provider: Provider, inline: DataFrame | None = None) -> int:
+        """New items, those of ``inline (body, metadata)`` too, their records in the journal and their missing embeddings are appended; returns the number of new items."""
         request.check()
         with self._work("ingest"):
-            return self._ingest(request, provider)
+            return self._ingest(request, provider, inline)
 
-    def _ingest(self, request: Request, provider: Provider) -> int:
-        return self._admit(mail.all_items(self.spark, request.documents, request.mailboxes), request, provider, request.metadata or None)
+    def _ingest(self, request: Request, provider: Provider, inline: DataFrame | None) -> int:
+        items = mail.all_items(self.spark, request.documents, request.mailboxes)
+        return self._admit(items if inline is None else items.unionByName(mail.inline_items(inline)), request, provider, request.metadata or None)
 
     def _admit(self, items: DataFrame, request: Request, provider: Provider, metadata: dict | None) -> int:
         """Items, their keys and embeddings are appended, then the journal; its head moves last, with the reference's ``metadata``.
@@ -148,7 +155,7 @@ class Archive:
         An item that is missing, differs from its record or has no embedding fails the job.
         """
         entries = journal.replay_order(replay.items_from_records(self._journal(ref_name)))
-        leaves = self.table("items").select("block_id", replay.item_key().alias("content_key"), "metadata", "input_hash")
+        leaves = self.table("items").select("block_id", replay.item_key(F.col("text")).alias("content_key"), "metadata", "input_hash")
         checked = replay.checked_entries(entries, leaves).select("block_id", "input_hash")
         joined = checked.join(self.table("embeddings"), "input_hash", "left")
         missing = F.raise_error(F.concat(F.lit("no stored embedding: "), F.col("input_hash"))).cast("array<float>")

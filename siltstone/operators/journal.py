@@ -18,9 +18,13 @@ from .shared import kept, numbered
 BLOCK_BYTES = 64 * 1024 * 1024
 
 
-def content_key(kind: Column, path: Column, artifact_ref: Column, chunk_index: Column) -> Column:
-    """Sort key of an item: its content reference, chunk numbers zero-padded to 20 digits."""
-    return F.when(kind == "email-chunk", F.concat_ws(":", kind, artifact_ref, F.lpad(chunk_index.cast("string"), 20, "0"))).otherwise(F.concat_ws(":", kind, path))
+def content_key(kind: Column, path: Column, artifact_ref: Column, chunk_index: Column, media_type: Column | None = None, body: Column | None = None) -> Column:
+    """Sort key of an item: where its content comes from. Chunk numbers are zero-padded to 20 digits, an inline body is listed byte by byte."""
+    key = F.when(kind == "email-chunk", F.concat_ws(":", F.lit("email"), artifact_ref, F.lpad(chunk_index.cast("string"), 20, "0")))
+    if body is not None:
+        listed = F.array_join(F.transform(F.regexp_extract_all(F.hex(body.cast("binary")), F.lit(".."), F.lit(0)), lambda x: F.conv(x, 16, 10)), ", ")
+        key = key.when(kind == "inline", F.concat(F.lit("inline:"), media_type, F.lit(":["), listed, F.lit("]")))
+    return key.otherwise(F.concat_ws(":", kind, path))
 
 
 def replay_order(entries: DataFrame) -> DataFrame:

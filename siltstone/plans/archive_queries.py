@@ -68,8 +68,8 @@ def workflow_first_violation(spark: SparkSession, t) -> DataFrame:
 
 # --- replay ----------------------------------------------------------------------------------------------
 
-_SIZED = "length({0}) || ':' || {0}"
-_DIGEST = "sha256(" + " || ".join(_SIZED.format(x) for x in ("('document:' || source || '/' || doc_id)", "'lang'", "lang", "'source'", "source")) + ")"
+_END = "'\\x00\\x00'::BLOB"
+_DIGEST = "sha256(" + " || ".join(f"encode({x}) || {_END}" for x in ("'document:' || source || '/' || doc_id", "'lang'", "lang", "'source'", "source")) + ")"
 
 
 def _leaves(t) -> DataFrame:

@@ -80,11 +80,13 @@ def missing_embeddings(spark: SparkSession, t) -> DataFrame:
     return missing.select("doc_id", H.content_hash(F.lit("text/plain"), F.col("text")).alias("input_hash"))
 
 
-@R.query("SELECT lpad(doc_id::VARCHAR, 20, '0') AS key, CASE WHEN doc_id % 2 = 0 THEN 'document:' || source || '/' || doc_id ELSE 'email-chunk:' || source || ':' || lpad(doc_id::VARCHAR, 20, '0') END AS content_key FROM documents")
+@R.query("""SELECT lpad(doc_id::VARCHAR, 20, '0') AS key, CASE WHEN doc_id % 5 = 0 THEN 'inline:text/plain:[' || array_to_string(list_transform(string_split(source, ''), lambda c: ascii(c)), ', ') || ']'
+  WHEN doc_id % 2 = 0 THEN 'document:' || source || '/' || doc_id ELSE 'email:' || source || ':' || lpad(doc_id::VARCHAR, 20, '0') END AS content_key FROM documents""")
 def replay_sort_keys(spark: SparkSession, t) -> DataFrame:
-    kind = F.when(F.col("doc_id") % 2 == 0, "document").otherwise("email-chunk")
+    kind = F.when(F.col("doc_id") % 5 == 0, "inline").when(F.col("doc_id") % 2 == 0, "document").otherwise("email-chunk")
     path = F.concat_ws("/", "source", F.col("doc_id").cast("string"))
-    return t("documents").select(F.lpad(F.col("doc_id").cast("string"), 20, "0").alias("key"), journal.content_key(kind, path, F.col("source"), F.col("doc_id")).alias("content_key"))
+    key = journal.content_key(kind, path, F.col("source"), F.col("doc_id"), F.lit("text/plain"), F.col("source"))
+    return t("documents").select(F.lpad(F.col("doc_id").cast("string"), 20, "0").alias("key"), key.alias("content_key"))
 
 
 @R.query("SELECT l_orderkey, l_linenumber, floor((row_number() OVER w - 1) / 3)::BIGINT AS batch_ix, floor((row_number() OVER w - 1) / 3)::BIGINT * 3 AS done_before FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)")

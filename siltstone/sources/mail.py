@@ -157,6 +157,13 @@ def document_items(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.lit("document").alias("kind"), "path", F.lit(None).cast("string").alias("email_ref"), F.lit(None).cast("int").alias("chunk_index"), "text", metadata.alias("metadata"), content_hash(F.lit("text/plain"), F.col("text")).alias("input_hash"))
 
 
+def inline_items(rows: DataFrame) -> DataFrame:
+    """One item per row of ``body`` (text) and ``metadata``: content that is given with a request, not in a file. A null body is empty."""
+    text = F.coalesce(rows["body"].cast("string"), F.lit(""))
+    none = F.lit(None).cast("string")
+    return rows.select(F.lit("inline").alias("kind"), none.alias("path"), none.alias("email_ref"), F.lit(None).cast("int").alias("chunk_index"), text.alias("text"), rows["metadata"], content_hash(F.lit("text/plain"), text).alias("input_hash"))
+
+
 def all_items(spark: SparkSession, documents: str | None, mailboxes: str | None) -> DataFrame:
     """Documents, then mailbox chunks."""
     parts = [f(spark, p) for f, p in ((document_items, documents), (mailbox_items, mailboxes)) if p]

@@ -77,7 +77,7 @@ def test_of_two_writers_one_gets_an_error(spark, tmp_path):
     real, gate, out = store.update_ref, threading.Barrier(2), []
 
     def together(*args, **options):
-        gate.wait(60)
+        gate.wait(300)
         return real(*args, **options)
 
     def write(lo):
