@@ -36,11 +36,11 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once into the shared folder and read it back: later uses survive lost executors."""
+def staged(df: DataFrame, name: str, **options) -> DataFrame:
+    """Write ``df`` once into the shared folder (with ``options`` of the writer) and read it back: later uses survive lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

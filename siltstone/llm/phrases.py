@@ -27,12 +27,13 @@ columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -41,7 +42,10 @@ from .common import blocks, staged
 MIN_COUNT, MAX_WORDS, TOP = 100, 5, 2_000
 #: Frequent groups that every worker may hold (16 bytes each and the words of single ones).
 MAX_SHARED = 2_000_000
-_BLOCK = 8_000_000
+_BLOCK = 250_000
+#: Row groups of the relations are small, as a reader decodes a whole one at a time; pairs that a task counts before it sends them.
+_WRITTEN = {"parquet.block.size": 8 << 20, "parquet.page.size.row.check.min": 4}
+_HELD = 400_000
 _ENDS = np.zeros(256, bool)
 _ENDS[list(b".,;:!?\n\x0b\x0c\r")] = True
 _GAPS = _ENDS.copy()
@@ -85,6 +89,18 @@ def _tokenized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 number += 1
 
 
+@contextmanager
+def _few_rows_at_once(spark: SparkSession, rows: int = 16) -> Iterator[None]:
+    """Rows of a relation are large: as many as this go to a worker at once, in what is run inside."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _numbered(groups: DataFrame, name: str) -> DataFrame:
     """``groups``, written, with ``id``: distinct numbers from 0, without gaps between the rows of one file's task."""
     kept = staged(groups.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), name)
@@ -105,10 +121,10 @@ def _lookup(known: np.ndarray, ids: np.ndarray, wanted: np.ndarray) -> np.ndarra
 def _pairs(slots: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Merge-join of a relation with itself at the next position: slots, and both ids in one number."""
     beside = slots[1:] == slots[:-1] + 1
-    return slots[:-1][beside], (ids[:-1][beside] << 32) | ids[1:][beside]
+    return slots[:-1][beside], (ids[:-1][beside].astype(np.int64) << 32) | ids[1:][beside]
 
 
-_RELATION = pa.schema([("block", pa.string()), ("slots", pa.list_(pa.int32())), ("ids", pa.list_(pa.int64()))])
+_RELATION = pa.schema([("block", pa.string()), ("slots", pa.list_(pa.int32())), ("ids", pa.list_(pa.int32()))])
 
 
 def _array(batch: pa.RecordBatch, name: str, i: int) -> np.ndarray:
@@ -121,52 +137,94 @@ def _kept(name: str, slots: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
 
 
 def _semi_join(relation: DataFrame, groups: DataFrame, occurring: DataFrame, key: list[str], match: Callable, max_shared: int, name: str) -> DataFrame:
-    """The next relation: ``match(batch, i, known)`` gives the slots and ids of row ``i`` by the frequent groups ``known``, which come sorted by the last of ``key``.
+    """The next relation: ``match(known)`` gives a function of a batch and a row's place in it, to the row's slots and ids. The groups ``known`` come sorted by the last of ``key``.
 
     ``groups``: ``id`` and ``key``; ``occurring``: ``block`` and ``key``, each group of each row once.
     """
     fields = ["id", *key]
     n = groups.count()
-    if n > 1 << 32:
-        raise ValueError("two phrase numbers share 64 bits: more than 2**32 frequent phrases of one length")
+    if n > 1 << 31:
+        raise ValueError("phrase numbers have 31 bits: more than 2**31 frequent phrases of one length")
     if n <= max_shared:
         shared = relation.sparkSession.sparkContext.broadcast(groups.select(*fields).orderBy(key[-1]).toArrow())
 
         def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = match(shared.value)
             for batch in batches:
                 for i in range(batch.num_rows):
-                    yield _kept(batch.column("block")[i].as_py(), *match(batch, i, shared.value))
+                    yield _kept(batch.column("block")[i].as_py(), *found(batch, i))
 
-        return staged(relation.mapInArrow(small, "block string, slots array<int>, ids array<long>"), name)
+        return staged(relation.mapInArrow(small, "block string, slots array<int>, ids array<int>"), name, **_WRITTEN)
     here = occurring.join(groups.select(*fields), key).groupBy("block").agg(F.array_sort(F.collect_list(F.struct(key[-1], *(f for f in fields if f != key[-1])))).alias("known"))
 
     def large(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                yield _kept(batch.column("block")[i].as_py(), *match(batch, i, pa.Table.from_struct_array(batch.column("known")[i].values)))
+                found = match(pa.Table.from_struct_array(batch.column("known")[i].values))
+                yield _kept(batch.column("block")[i].as_py(), *found(batch, i))
+
+    return staged(relation.join(here, "block").mapInArrow(large, "block string, slots array<int>, ids array<int>"), name, **_WRITTEN)
+
+
+_Found = Callable[[pa.RecordBatch, int], tuple[np.ndarray, np.ndarray]]
+
+
+def _match_words(known: pa.Table) -> _Found:
+    numbers: dict[str, dict[str, int]] = {}  # of each language that came up
 
-    return staged(relation.join(here, "block").mapInArrow(large, "block string, slots array<int>, ids array<long>"), name)
+    def found(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
+        lang = batch.column("lang")[i].as_py()
+        if lang not in numbers:
+            own = known.filter(pc.equal(known["lang"], lang))
+            numbers[lang] = dict(zip(own["phrase"].to_pylist(), own["id"].to_pylist()))
+        number = numbers[lang]
+        words = batch.column("words")[i].values.to_pylist()
+        by_code = np.fromiter((number.get(w, -1) for w in words), np.int64, len(words))
+        return _array(batch, "slots", i), by_code[_array(batch, "codes", i)]
 
+    return found
 
-def _match_words(batch: pa.RecordBatch, i: int, known: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    own = known.filter(pc.equal(known["lang"], batch.column("lang")[i]))
-    ids = own["id"].combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64)
-    found = pc.fill_null(pc.index_in(batch.column("words")[i].values, value_set=own["phrase"].combine_chunks()), -1).to_numpy(zero_copy_only=False)
-    by_code = np.where(found >= 0, ids[found], -1) if len(ids) else np.full(len(found), -1, np.int64)
-    return _array(batch, "slots", i), by_code[_array(batch, "codes", i)]
 
+def _match_pairs(known: pa.Table) -> _Found:
+    pairs, ids = known["pair"].to_numpy(), known["id"].to_numpy()
 
-def _match_pairs(batch: pa.RecordBatch, i: int, known: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    slots, pairs = _pairs(_array(batch, "slots", i), _array(batch, "ids", i))
-    return slots, _lookup(known["pair"].to_numpy(), known["id"].to_numpy(), pairs)
+    def found(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
+        slots, own = _pairs(_array(batch, "slots", i), _array(batch, "ids", i))
+        return slots, _lookup(pairs, ids, own)
+
+    return found
 
 
 def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs with their counts, summed over rows while they fit in memory."""
+    keys, counts = [], []
+
+    def summed() -> tuple[np.ndarray, np.ndarray]:
+        pairs, place = np.unique(np.concatenate(keys), return_inverse=True)
+        return pairs, np.bincount(place, weights=np.concatenate(counts)).astype(np.int64)
+
     for batch in batches:
         for i in range(batch.num_rows):
             pairs, n = np.unique(_pairs(_array(batch, "slots", i), _array(batch, "ids", i))[1], return_counts=True)
-            name = pa.array([batch.column("block")[i].as_py()] * len(pairs), pa.string())
-            yield pa.RecordBatch.from_arrays([name, pa.array(pairs, pa.int64()), pa.array(n, pa.int64())], names=["block", "pair", "n"])
+            keys.append(pairs)
+            counts.append(n)
+            if sum(map(len, keys)) > _HELD:
+                pairs, n = summed()
+                keys, counts = [pairs], [n]
+                if len(pairs) > _HELD // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n)], names=["pair", "n"])
+                    keys, counts = [], []
+    if keys:
+        pairs, n = summed()
+        yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n)], names=["pair", "n"])
+
+
+def _pairs_of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each pair of each row once."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            pairs = np.unique(_pairs(_array(batch, "slots", i), _array(batch, "ids", i))[1])
+            yield pa.RecordBatch.from_arrays([pa.array([batch.column("block")[i].as_py()] * len(pairs), pa.string()), pa.array(pairs, pa.int64())], names=["block", "pair"])
 
 
 def _levels(docs: DataFrame, min_count: int, max_words: int, max_shared: int) -> tuple[list[DataFrame], DataFrame]:
@@ -175,16 +233,22 @@ def _levels(docs: DataFrame, min_count: int, max_words: int, max_shared: int) ->
     ``firsts`` and ``rests`` have the counts of the first and last 1, 2 ... words; ``g1, g2`` are the phrases without the last and the first word.
     """
     texts = docs.select(F.coalesce(docs["lang"].cast("string"), F.lit("und")).alias("lang"), docs["text"].cast("string").alias("text")).where("text IS NOT NULL")
-    first = staged(texts.mapInArrow(_tokenized, "block string, lang string, slots array<int>, codes array<int>, words array<string>, counts array<long>"), "phrase-words")
+    first = staged(texts.mapInArrow(_tokenized, "block string, lang string, slots array<int>, codes array<int>, words array<string>, counts array<long>"), "phrase-words", **_WRITTEN)
     occurring = first.select("block", "lang", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("block", "lang", F.col("x.words").alias("phrase"), F.col("x.counts").alias("n"))
     totals = first.select("lang", F.size("codes").cast("long").alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
     none = F.array().cast("array<long>")
     frequent = occurring.groupBy("lang", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= min_count)
     level = _numbered(frequent, "phrases-1").select("id", "lang", "phrase", F.col("phrase").alias("last"), "a", none.alias("firsts"), none.alias("rests"), F.lit(None).cast("long").alias("g1"), F.lit(None).cast("long").alias("g2"))
+    with _few_rows_at_once(docs.sparkSession):
+        return _extended(first, level, occurring, max_words, min_count, max_shared), totals
+
+
+def _extended(first: DataFrame, level: DataFrame, occurring: DataFrame, max_words: int, min_count: int, max_shared: int) -> list[DataFrame]:
+    """All levels, from the frequent words on."""
     levels = [level]
     relation = _semi_join(first, level, occurring, ["lang", "phrase"], _match_words, max_shared, "relation-1")
     for k in range(2, max_words + 1):
-        counted = relation.mapInArrow(_count_pairs, "block string, pair long, n long")
+        counted = relation.mapInArrow(_count_pairs, "pair long, n long")
         groups = _numbered(counted.groupBy("pair").agg(F.sum("n").alias("a")).where(F.col("a") >= min_count), f"pairs-{k}")
         below = levels[-1]
         left = below.select(F.col("id").alias("g1"), "lang", F.col("phrase").alias("head"), F.array_append("firsts", F.col("a")).alias("firsts"))
@@ -193,8 +257,8 @@ def _levels(docs: DataFrame, min_count: int, max_words: int, max_shared: int) ->
         named = pair.join(left, "g1").join(right, "g2")
         levels.append(staged(named.select("id", "lang", F.concat_ws(" ", "head", "last").alias("phrase"), "last", "a", "firsts", "rests", "g1", "g2"), f"phrases-{k}"))
         if k < max_words:
-            relation = _semi_join(relation, groups, counted.select("block", "pair"), ["pair"], _match_pairs, max_shared, f"relation-{k}")
-    return levels, totals
+            relation = _semi_join(relation, groups, relation.mapInArrow(_pairs_of_rows, "block string, pair long"), ["pair"], _match_pairs, max_shared, f"relation-{k}")
+    return levels
 
 
 def _cuts() -> Column:
