@@ -3,14 +3,15 @@
 Texts are split into pieces and words. The relation R of length k holds, in
 order of (piece, position), each place where a frequent phrase of k words
 begins, with the phrase's number. It is written as rows of some thousand
-documents of one language: ``slots`` (positions with a gap after each piece, so
-equal slots mean equal piece and position) and ``ids``. A row is never cut, so:
+documents of one language: slots (positions with a gap after each piece, so
+equal slots mean equal piece and position), kept as ``gaps`` from one to the
+next, and ``ids``. A row is never cut, so:
 
 1. Merge-join: R meets itself at the next position. Both sides are sorted by
    slot, so the join is one pass, and phrases of k + 1 words appear as pairs of
    overlapping phrases of k words. No occurrence is shuffled.
-2. Group-count: pairs are counted per row, then over all rows. Only counts
-   are shuffled.
+2. Group-count: each task counts its pairs and sends them packed, by parts of
+   all pairs; a part's counts are added up in one stream. Only counts travel.
 3. Semi-join: the pairs that reach the minimum get numbers, and only their
    occurrences go on into the next relation. If the frequent groups fit in
    ``MAX_SHARED``, each worker gets them all; beyond that every row is joined
@@ -37,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import blocks, staged
+from .common import blocks, mix, staged
 
 MIN_COUNT, MAX_WORDS, TOP = 100, 5, 2_000
 #: Frequent groups that every worker may hold (16 bytes each and the words of single ones).
@@ -45,7 +46,9 @@ MAX_SHARED = 2_000_000
 _BLOCK = 250_000
 #: Row groups of the relations are small, as a reader decodes a whole one at a time; pairs that a task counts before it sends them.
 _WRITTEN = {"parquet.block.size": 8 << 20, "parquet.page.size.row.check.min": 4}
-_HELD = 400_000
+_HELD = 1_500_000
+#: Occurrences of a relation whose pairs are counted together after the shuffle.
+_SLICE = 1_000_000
 _ENDS = np.zeros(256, bool)
 _ENDS[list(b".,;:!?\n\x0b\x0c\r")] = True
 _GAPS = _ENDS.copy()
@@ -69,11 +72,11 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]
     return words, (np.arange(len(starts)) + np.cumsum(split)).astype(np.int32)
 
 
-_FIRST = pa.schema([("block", pa.string()), ("lang", pa.string()), ("slots", pa.list_(pa.int32())), ("codes", pa.list_(pa.int32())), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
+_FIRST = pa.schema([("block", pa.string()), ("lang", pa.string()), ("gaps", pa.list_(pa.int32())), ("codes", pa.list_(pa.int32())), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
 
 
 def _tokenized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per language and block: slots and word codes of all its words, the distinct words and their counts."""
+    """A row per language and block: gaps and word codes of all its words, the distinct words and their counts."""
     from pyspark import TaskContext
 
     part, number = TaskContext.get().partitionId(), 0
@@ -84,7 +87,7 @@ def _tokenized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 coded = words.dictionary_encode()
                 codes = coded.indices.to_numpy()
                 counts = np.bincount(codes, minlength=len(coded.dictionary))
-                row = [f"{part}-{number}", lang.as_py(), slots, codes, coded.dictionary, counts]
+                row = [f"{part}-{number}", lang.as_py(), np.diff(slots, prepend=0), codes, coded.dictionary, counts]
                 yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(row, _FIRST.types)], schema=_FIRST)
                 number += 1
 
@@ -124,16 +127,20 @@ def _pairs(slots: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return slots[:-1][beside], (ids[:-1][beside].astype(np.int64) << 32) | ids[1:][beside]
 
 
-_RELATION = pa.schema([("block", pa.string()), ("slots", pa.list_(pa.int32())), ("ids", pa.list_(pa.int32()))])
+_RELATION = pa.schema([("block", pa.string()), ("gaps", pa.list_(pa.int32())), ("ids", pa.list_(pa.int32()))])
 
 
 def _array(batch: pa.RecordBatch, name: str, i: int) -> np.ndarray:
     return batch.column(name)[i].values.to_numpy(zero_copy_only=False)
 
 
+def _slots(batch: pa.RecordBatch, i: int) -> np.ndarray:
+    return np.cumsum(_array(batch, "gaps", i))
+
+
 def _kept(name: str, slots: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
     there = ids >= 0
-    return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((name, slots[there], ids[there]), _RELATION.types)], schema=_RELATION)
+    return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((name, np.diff(slots[there], prepend=0), ids[there]), _RELATION.types)], schema=_RELATION)
 
 
 def _semi_join(relation: DataFrame, groups: DataFrame, occurring: DataFrame, key: list[str], match: Callable, max_shared: int, name: str) -> DataFrame:
@@ -154,7 +161,7 @@ def _semi_join(relation: DataFrame, groups: DataFrame, occurring: DataFrame, key
                 for i in range(batch.num_rows):
                     yield _kept(batch.column("block")[i].as_py(), *found(batch, i))
 
-        return staged(relation.mapInArrow(small, "block string, slots array<int>, ids array<int>"), name, **_WRITTEN)
+        return staged(relation.mapInArrow(small, "block string, gaps array<int>, ids array<int>"), name, **_WRITTEN)
     here = occurring.join(groups.select(*fields), key).groupBy("block").agg(F.array_sort(F.collect_list(F.struct(key[-1], *(f for f in fields if f != key[-1])))).alias("known"))
 
     def large(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +170,7 @@ def _semi_join(relation: DataFrame, groups: DataFrame, occurring: DataFrame, key
                 found = match(pa.Table.from_struct_array(batch.column("known")[i].values))
                 yield _kept(batch.column("block")[i].as_py(), *found(batch, i))
 
-    return staged(relation.join(here, "block").mapInArrow(large, "block string, slots array<int>, ids array<int>"), name, **_WRITTEN)
+    return staged(relation.join(here, "block").mapInArrow(large, "block string, gaps array<int>, ids array<int>"), name, **_WRITTEN)
 
 
 _Found = Callable[[pa.RecordBatch, int], tuple[np.ndarray, np.ndarray]]
@@ -180,7 +187,7 @@ def _match_words(known: pa.Table) -> _Found:
         number = numbers[lang]
         words = batch.column("words")[i].values.to_pylist()
         by_code = np.fromiter((number.get(w, -1) for w in words), np.int64, len(words))
-        return _array(batch, "slots", i), by_code[_array(batch, "codes", i)]
+        return _slots(batch, i), by_code[_array(batch, "codes", i)]
 
     return found
 
@@ -189,41 +196,104 @@ def _match_pairs(known: pa.Table) -> _Found:
     pairs, ids = known["pair"].to_numpy(), known["id"].to_numpy()
 
     def found(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
-        slots, own = _pairs(_array(batch, "slots", i), _array(batch, "ids", i))
+        slots, own = _pairs(_slots(batch, i), _array(batch, "ids", i))
         return slots, _lookup(pairs, ids, own)
 
     return found
 
 
-def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs with their counts, summed over rows while they fit in memory."""
-    keys, counts = [], []
+class _Counts:
+    """Keys with counts, summed whenever ``_HELD`` have come together."""
 
-    def summed() -> tuple[np.ndarray, np.ndarray]:
-        pairs, place = np.unique(np.concatenate(keys), return_inverse=True)
-        return pairs, np.bincount(place, weights=np.concatenate(counts)).astype(np.int64)
+    def __init__(self) -> None:
+        self.keys: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
+        self.size = 0
 
-    for batch in batches:
-        for i in range(batch.num_rows):
-            pairs, n = np.unique(_pairs(_array(batch, "slots", i), _array(batch, "ids", i))[1], return_counts=True)
-            keys.append(pairs)
-            counts.append(n)
-            if sum(map(len, keys)) > _HELD:
-                pairs, n = summed()
-                keys, counts = [pairs], [n]
-                if len(pairs) > _HELD // 2:
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n)], names=["pair", "n"])
-                    keys, counts = [], []
-    if keys:
-        pairs, n = summed()
-        yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n)], names=["pair", "n"])
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.keys.append(keys)
+        self.counts.append(counts)
+        self.size += len(keys)
+        if self.size > _HELD:
+            self.sum()
+
+    def sum(self) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.keys) != 1:
+            keys, place = np.unique(np.concatenate(self.keys or [np.zeros(0, np.int64)]), return_inverse=True)
+            counts = np.bincount(place, weights=np.concatenate(self.counts or [np.zeros(0)]), minlength=len(keys)).astype(np.int64)
+            self.keys, self.counts, self.size = [keys], [counts], len(keys)
+        return self.keys[0], self.counts[0]
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Whole numbers of 64 bits, compressed with like bytes side by side."""
+    return pa.compress(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T), "zstd", asbytes=True)
+
+
+def _unpacked(data: pa.Scalar, n: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(pa.decompress(data.as_buffer(), 8 * n, "zstd"), np.uint8).reshape(8, n).T).view("<u8").ravel().astype(np.int64)
+
+
+_PACKED = {"slice": pa.int32(), "n": pa.int32(), "pairs": pa.binary(), "counts": pa.binary()}
+
+
+def _count_pairs(slices: int) -> Callable:
+    """For ``mapInArrow`` over a relation: the task's pairs with their counts, a row for each of ``slices`` parts of all pairs: sorted, differences packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Counts()
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            pairs, counts = held.sum()
+            part = (mix(pairs.view(np.uint64)) % np.uint64(slices)).astype(np.int32)
+            order = np.argsort(part, kind="stable")  # pairs stay sorted in each part
+            pairs, counts, part = pairs[order], counts[order], part[order]
+            cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else np.zeros(1, np.int64)
+            for lo in range(0, len(cuts) - 1, 256):
+                some = list(zip(cuts[:-1], cuts[1:]))[lo : lo + 256]
+                columns = [part[cuts[:-1]][lo : lo + 256], [b - a for a, b in some], [_packed(np.diff(pairs[a:b], prepend=0)) for a, b in some], [_packed(counts[a:b]) for a, b in some]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _PACKED.values())], names=list(_PACKED))
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                held.add(*np.unique(_pairs(_slots(batch, i), _array(batch, "ids", i))[1], return_counts=True))
+                if held.size > _HELD // 2 and len(held.keys) == 1:
+                    yield from rows()
+                    held = _Counts()
+        yield from rows()
+
+    return run
+
+
+def _frequent_pairs(least: int) -> Callable:
+    """For ``mapInArrow`` over rows of :func:`_count_pairs` in order of their part: the pairs that come ``least`` times, one part in memory at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = None, _Counts()
+
+        def done() -> pa.RecordBatch:
+            pairs, counts = held.sum()
+            enough = counts >= least
+            return pa.RecordBatch.from_arrays([pa.array(pairs[enough], pa.int64()), pa.array(counts[enough], pa.int64())], names=["pair", "a"])
+
+        for batch in batches:
+            numbers, sizes = batch.column("slice").to_pylist(), batch.column("n").to_pylist()
+            for i, number in enumerate(numbers):
+                if number != part:
+                    if part is not None:
+                        yield done()
+                    part, held = number, _Counts()
+                held.add(np.cumsum(_unpacked(batch.column("pairs")[i], sizes[i])), _unpacked(batch.column("counts")[i], sizes[i]))
+        yield done()
+
+    return run
 
 
 def _pairs_of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each pair of each row once."""
     for batch in batches:
         for i in range(batch.num_rows):
-            pairs = np.unique(_pairs(_array(batch, "slots", i), _array(batch, "ids", i))[1])
+            pairs = np.unique(_pairs(_slots(batch, i), _array(batch, "ids", i))[1])
             yield pa.RecordBatch.from_arrays([pa.array([batch.column("block")[i].as_py()] * len(pairs), pa.string()), pa.array(pairs, pa.int64())], names=["block", "pair"])
 
 
@@ -233,7 +303,7 @@ def _levels(docs: DataFrame, min_count: int, max_words: int, max_shared: int) ->
     ``firsts`` and ``rests`` have the counts of the first and last 1, 2 ... words; ``g1, g2`` are the phrases without the last and the first word.
     """
     texts = docs.select(F.coalesce(docs["lang"].cast("string"), F.lit("und")).alias("lang"), docs["text"].cast("string").alias("text")).where("text IS NOT NULL")
-    first = staged(texts.mapInArrow(_tokenized, "block string, lang string, slots array<int>, codes array<int>, words array<string>, counts array<long>"), "phrase-words", **_WRITTEN)
+    first = staged(texts.mapInArrow(_tokenized, "block string, lang string, gaps array<int>, codes array<int>, words array<string>, counts array<long>"), "phrase-words", **_WRITTEN)
     occurring = first.select("block", "lang", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("block", "lang", F.col("x.words").alias("phrase"), F.col("x.counts").alias("n"))
     totals = first.select("lang", F.size("codes").cast("long").alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
     none = F.array().cast("array<long>")
@@ -248,8 +318,9 @@ def _extended(first: DataFrame, level: DataFrame, occurring: DataFrame, max_word
     levels = [level]
     relation = _semi_join(first, level, occurring, ["lang", "phrase"], _match_words, max_shared, "relation-1")
     for k in range(2, max_words + 1):
-        counted = relation.mapInArrow(_count_pairs, "pair long, n long")
-        groups = _numbered(counted.groupBy("pair").agg(F.sum("n").alias("a")).where(F.col("a") >= min_count), f"pairs-{k}")
+        slices = max(16, relation.agg(F.sum(F.size("ids"))).first()[0] // _SLICE) if relation.take(1) else 16
+        counted = relation.mapInArrow(_count_pairs(slices), "slice int, n int, pairs binary, counts binary").repartition("slice").sortWithinPartitions("slice")
+        groups = _numbered(counted.mapInArrow(_frequent_pairs(min_count), "pair long, a long"), f"pairs-{k}")
         below = levels[-1]
         left = below.select(F.col("id").alias("g1"), "lang", F.col("phrase").alias("head"), F.array_append("firsts", F.col("a")).alias("firsts"))
         right = below.select(F.col("id").alias("g2"), F.col("last"), F.array_append("rests", F.col("a")).alias("rests"))
