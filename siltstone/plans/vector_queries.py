@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.operators import health, search, spread, trees
+from siltstone.operators import health, planning, search, spread, telemetry, trees
+from siltstone.operators.shared import shared_dir
 
 from .registry import Registry
 
@@ -232,3 +235,25 @@ def random_walk_access(spark: SparkSession, t) -> DataFrame:
     """Deterministic descents; each choice is a hash modulo the block's entries (see the tests)."""
     tree = trees.label_tree(t("embeddings"))
     return search.random_walks(tree, "R", SEED, SAMPLE)
+
+
+# --- planning --------------------------------------------------------------------------------------------
+
+#: Entries that a planned partition holds at most.
+PARTITION = 12
+
+
+@R.query(f"""WITH RECURSIVE parts AS (SELECT 0 AS pass_no, count(*)::BIGINT AS n FROM embeddings
+  UNION ALL SELECT pass_no + 1, ((i + 1) * n + w - 1) // w - (i * n + w - 1) // w FROM (
+    SELECT pass_no, n, w, unnest(range(w)) AS i FROM (SELECT *, least({PARTITION}, greatest(1, (n + {PARTITION} - 1) // {PARTITION})) AS w FROM parts WHERE n > {PARTITION} OR pass_no = 0))),
+s AS (SELECT pass_no, count(*) AS made, count(*) FILTER (n <= {PARTITION}) AS ended, count(*) FILTER (n > {PARTITION}) AS pending FROM parts WHERE pass_no > 0 GROUP BY pass_no),
+c AS (SELECT *, sum(ended) OVER (ORDER BY pass_no) AS terminal FROM s)
+SELECT pass_no, (SELECT count(*) FROM embeddings) AS items, (terminal + pending)::BIGINT AS planned, terminal::BIGINT AS terminal, pass_no AS depth, made AS realized_clusters, pending = 0 AS complete,
+  CASE WHEN pending = 0 OR pass_no > 1 THEN 'converging' ELSE 'inconclusive' END AS verdict FROM c""")
+def planning_passes(spark: SparkSession, t) -> DataFrame:
+    """The passes of a real plan over all embeddings, with the verdict on each."""
+    folder = f"{shared_dir(spark)}/planning-{uuid.uuid4().hex}"
+    vectors = t("embeddings").select(F.col("vec_id").alias("entry_ix"), "embedding")
+    made = planning.plan(vectors, f"{folder}/run", PARTITION, planning.Telemetry(spark, folder, "run"), "pca")
+    told = telemetry.pass_summaries(made.passes, spark.read.parquet(f"{folder}/statuses")).select("pass_no", "verdict")
+    return made.passes.join(told, "pass_no").select("pass_no", "items", "planned", "terminal", "depth", "realized_clusters", "complete", "verdict")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import hashing as H
 from siltstone.operators import journal, workflow
 from siltstone.streaming import events as streams
+from siltstone.streaming import stages
 
 from .registry import Registry
 
@@ -218,3 +219,14 @@ def t_order_cube(spark: SparkSession, t) -> DataFrame:
 def t_idle_suppliers(spark: SparkSession, t) -> DataFrame:
     busy = t("lineitem").where("l_quantity > 49").select(F.col("l_suppkey").alias("s_suppkey"))
     return t("supplier").select("s_suppkey", "s_name").join(busy, "s_suppkey", "left_anti")
+
+
+@R.query(f"""SELECT event_id, user_id, greatest({_RANK}, best)::BIGINT AS rank, n AS checkpoints, {_RANK} > best AS advanced, {_RANK} < best AS regressed FROM (SELECT *,
+  coalesce(max({_RANK}) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS best, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)""")
+def stream_stage_moves(spark: SparkSession, t) -> DataFrame:
+    """Stages of users as streaming state; all files are one batch, as they are not in order of time."""
+    table = t("events")
+    folder, _, name = table.inputFiles()[0].rpartition("/")
+    stream = streams.file_stream(spark, folder, table.schema, files_per_batch=1_000_000, glob=None if folder.endswith(".parquet") else name)
+    moves = stages.stage_moves(stream.select("event_id", "user_id", "ts", F.col("event_type").alias("stage")), "user_id", ["ts", "event_id"], {s: i for i, s in enumerate(_EVENT_STAGES)}, ["event_id"])
+    return streams.available_now(moves).select("event_id", "user_id", "rank", "checkpoints", "advanced", "regressed")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.archive import Archive, hashed_words
-from siltstone.operators import journal, replay, store
+from siltstone.operators import replay, store
 from siltstone.sources import mail
 from siltstone.sources.requests import Request
 from siltstone.streaming import events
@@ -37,7 +37,7 @@ def _state(archive):
     )
 
 
-@pytest.mark.parametrize("point", ["append_new", "_add_keys", "embed_missing", "append", "update_ref", "after"])
+@pytest.mark.parametrize("point", ["_add_keys", "append", "update_ref", "after"])
 def test_a_stream_that_dies_anywhere_gives_the_batch_result(spark, tmp_path, monkeypatch, point):
     _notes(tmp_path)
     batch = Archive(spark, f"file://{tmp_path}/batch", str(tmp_path / "batch-refs"))
@@ -45,7 +45,7 @@ def test_a_stream_that_dies_anywhere_gives_the_batch_result(spark, tmp_path, mon
     items = mail.document_items(spark, f"file://{tmp_path}/in")
     items.repartition(3, "path").write.parquet(f"file://{tmp_path}/items")
     archive = Archive(spark, f"file://{tmp_path}/stream", str(tmp_path / "stream-refs"))
-    owner, name = {"append_new": (store, "append_new"), "_add_keys": (Archive, "_add_keys"), "embed_missing": (journal, "embed_missing"), "append": (replay, "append"), "update_ref": (store, "update_ref"), "after": (Archive, "_admit")}[point]
+    owner, name = {"_add_keys": (Archive, "_add_keys"), "append": (replay, "append"), "update_ref": (store, "update_ref"), "after": (Archive, "_admit")}[point]
     real, calls = getattr(owner, name), []
 
     def dies(*args, **options):
