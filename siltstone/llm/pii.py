@@ -18,8 +18,9 @@ Plan: the patterns run as a narrow projection; only documents with an entity
 are written out. A pair can only reach the threshold if
 ``n(t) <= n(e) (N / n(e)) ** (1 - threshold)``, so words meet the corpus counts
 before they meet entities, and frequent words pair with none. Entities of the
-same set of texts are one class and counted once. What is chosen goes back over
-the occurrences counted, so no join makes more rows than words occur.
+same set of texts are one class and counted once. A text of many words that has
+many entities is not paired with all of them: pairs are looked for in the other
+texts of each class first (:func:`_occurrences`).
 
 Edge cases: null or empty text has no spans; copies and repeated rows get equal
 results and count as one text in all four counts; null ids are kept; an empty
@@ -143,6 +144,25 @@ def _text_counts(docs: DataFrame, copies: DataFrame, least: int, most: float) ->
     return each.groupBy("term").agg(F.round(F.sum("share")).cast("long").alias("n_t")).where(F.col("n_t").between(least, most))
 
 
+def _occurrences(hit: DataFrame, classes: DataFrame, counts: DataFrame, bound: Column, min_texts: int) -> DataFrame:
+    """``k1, k2, c1, c2, term, n_e, n_t``: where a term that may disclose a class stands in a text of that class.
+
+    A text of many words and many classes would give a row for each pair of them. But a pair must be seen in ``min_texts`` of the
+    class's texts, so one of them may be left out when pairs are looked for: of each class the text with the most classes is.
+    What was found elsewhere is then looked up there.
+    """
+    texts = hit.join(classes.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+    words = staged(texts.select("k1", "k2", F.explode(_words()).alias("term")).join(counts, "term"), "pii-words")
+    if min_texts < 2:
+        return words.join(classes, ["k1", "k2"]).where(F.col("n_t") <= bound)
+    sized = classes.join(classes.groupBy("k1", "k2").agg(F.count("*").alias("n_c")), ["k1", "k2"])
+    fullest = staged(sized.groupBy("c1", "c2").agg(F.max(F.struct("n_c", "k1", "k2")).alias("m")).select("c1", "c2", F.col("m.k1").alias("f1"), F.col("m.k2").alias("f2")), "pii-fullest")
+    light = classes.join(fullest, ["c1", "c2"]).where("k1 <> f1 OR k2 <> f2").drop("f1", "f2")
+    found = staged(words.join(light, ["k1", "k2"]).where(F.col("n_t") <= bound), "pii-found")
+    again = found.groupBy("c1", "c2", "term").agg(F.first("n_e").alias("n_e")).join(fullest, ["c1", "c2"]).withColumnsRenamed({"f1": "k1", "f2": "k2"}).join(words, ["k1", "k2", "term"])
+    return found.unionByName(again.select(*found.columns))
+
+
 def _study(docs: DataFrame, hit: DataFrame, min_texts: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``members`` (entity, c1, c2, n_e), ``seen`` (k1, k2, c1, c2, term: the occurrences) and ``chosen`` (c1, c2, term, n_te, n_t)."""
     holds = staged(hit.select("k1", "k2", F.explode(_entities()).alias("entity")).distinct(), "pii-holds")
@@ -156,9 +176,7 @@ def _study(docs: DataFrame, hit: DataFrame, min_texts: int, threshold: float) ->
     bound = F.col("n_e") * F.pow(F.lit(total) / F.col("n_e"), F.lit(1 - threshold)) * 1.000001
     most = members.agg(F.max(bound)).first()[0] or 0.0
     counts = staged(_text_counts(docs, copies, min_texts, most), "pii-counts")
-    texts = hit.join(classes.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
-    words = texts.select("k1", "k2", F.explode(_words()).alias("term")).join(counts, "term")
-    seen = staged(words.join(classes, ["k1", "k2"]).where(F.col("n_t") <= bound), "pii-seen")
+    seen = staged(_occurrences(hit, classes, counts, bound, min_texts), "pii-seen")
     pairs = seen.groupBy("c1", "c2", "term").agg(F.count("*").alias("n_te"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t"))
     pmi = F.log2(F.col("n_te") * F.lit(total) / (F.col("n_t") * F.col("n_e")))
     information = F.log2(F.lit(total) / F.col("n_e"))
