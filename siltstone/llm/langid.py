@@ -37,6 +37,8 @@ SYMBOLS = 512
 UNKNOWN = "und"
 #: Code points whose trigrams are held at once, and distinct trigrams whose vectors are.
 PART, SLICE = 500_000, 4096
+#: Texts that are predicted at once, and counts (rows times trigrams of a slice) that are held at once.
+ROWS, COUNTS = 500, 2_000_000
 FOLDS = 3
 HELD_OUT = 1
 
@@ -109,14 +111,15 @@ def _parts(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
 def _sums(texts: list[str], row_of: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
     """The sum of the trigram vectors of each row (text ``i`` adds to row ``row_of[i]``), and which texts hold a letter."""
     total, has = np.zeros((n_rows, DIMENSIONS)), np.zeros(len(texts), dtype=bool)
+    width = max(1, min(SLICE, COUNTS // max(1, n_rows)))
     for grams, owner, letters in _parts(texts):
         has |= letters
         seen, at = np.unique(grams, return_inverse=True)
         order = np.argsort(at, kind="stable")
         at, row = at[order], row_of[owner[order]]
-        edges = np.searchsorted(at, np.arange(0, len(seen) + SLICE, SLICE))
-        for k, lo in enumerate(range(0, len(seen), SLICE)):  # a slice of the trigrams at a time
-            part = _bound(seen[lo : lo + SLICE]).astype(np.float32)
+        edges = np.searchsorted(at, np.arange(0, len(seen) + width, width))
+        for k, lo in enumerate(range(0, len(seen), width)):  # a slice of the trigrams at a time
+            part = _bound(seen[lo : lo + width]).astype(np.float32)
             mine = slice(edges[k], edges[k + 1])
             counts = np.bincount(row[mine] * len(part) + at[mine] - lo, minlength=n_rows * len(part))
             total += counts.reshape(n_rows, len(part)).astype(np.float32) @ part  # exact: whole numbers of a part stay below 2**24
@@ -156,15 +159,17 @@ def prototypes(docs: DataFrame, lang_col: str = "lang") -> tuple[list[str], np.n
 def _predict(names: list[str], table: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch.column(2), 500_000):
-                vectors, has = _sums([block.text(i).decode() for i in range(block.n)], np.arange(block.n), block.n)
+            for block, lo in ((b, lo) for b in blocks(batch.column(2), 500_000) for lo in range(0, b.n, ROWS)):
+                texts = [block.text(i).decode() for i in range(lo, min(lo + ROWS, block.n))]
+                n = len(texts)
+                vectors, has = _sums(texts, np.arange(n), n)
                 norms = np.linalg.norm(vectors, axis=1)
-                cosine = np.round(vectors @ table.T / np.where(norms == 0, 1, norms)[:, None], 9) if names else np.zeros((block.n, 1))
+                cosine = np.round(vectors @ table.T / np.where(norms == 0, 1, norms)[:, None], 9) if names else np.zeros((n, 1))
                 best = cosine.argmax(axis=1)
                 sure = has & bool(names)
                 lang = [names[b] if ok else UNKNOWN for b, ok in zip(best, sure)]
-                score = np.where(sure, np.clip(cosine[np.arange(block.n), best], 0, 1), 0.0)
-                head = [batch.column(k).slice(block.rows.start, block.n) for k in (0, 1)]
+                score = np.where(sure, np.clip(cosine[np.arange(n), best], 0, 1), 0.0)
+                head = [batch.column(k).slice(block.rows.start + lo, n) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*head, pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
     return run
