@@ -16,6 +16,8 @@ from .shared import kept, numbered
 
 #: Size limit of one journal block's body (a fixed value of the format).
 BLOCK_BYTES = 64 * 1024 * 1024
+#: Texts that a provider is given at once.
+PROVIDER_TEXTS = 256
 
 
 def content_key(kind: Column, path: Column, artifact_ref: Column, chunk_index: Column, media_type: Column | None = None, body: Column | None = None) -> Column:
@@ -111,13 +113,14 @@ def outcome_fragments(ids: DataFrame, per_fragment: int, input_blocks: int) -> D
 
 
 def embed_missing(items: DataFrame, known: DataFrame, provider, dims: int) -> DataFrame:
-    """``input_hash, embedding`` for all items: known ones joined, the rest from ``provider(list of texts)`` once each."""
+    """``input_hash, embedding`` for all items: known ones joined, the rest from ``provider(list of texts)`` once each, some at a time."""
     have = known.join(items.select("input_hash").distinct(), "input_hash")
     need = items.select("input_hash", "text").dropDuplicates(["input_hash"]).join(known.select("input_hash"), "input_hash", "left_anti")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            made = provider(pdf["text"].tolist()) if len(pdf) else []
+            texts = pdf["text"].tolist()
+            made = [v for lo in range(0, len(texts), PROVIDER_TEXTS) for v in provider(texts[lo : lo + PROVIDER_TEXTS])]
             if any(len(v) != dims for v in made) or len(made) != len(pdf):
                 raise ValueError("provider returned another number of vectors or dimensions")
             yield pd.DataFrame({"input_hash": pdf["input_hash"], "embedding": list(made)})
