@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import vectors as V
 
-from .shared import ranked_within
+from .shared import kept, ranked_within
 
 BINS = 4
 POWER_STEPS = 8
@@ -76,8 +76,11 @@ def principal_axes(entries: DataFrame) -> DataFrame:
 
 
 def quantile_bins(projected: DataFrame, bins: int = BINS) -> DataFrame:
-    """Occupancy of ``bins`` quantile bins per block, from ``block_id, projection``; ties share a bin."""
-    projected = projected.select("block_id", "projection")
+    """Occupancy of ``bins`` quantile bins per block, from ``block_id, projection``; ties share a bin.
+
+    Projections are written first: sums computed twice may differ in the last bit, and a value must be compared with itself.
+    """
+    projected = kept(projected.select("block_id", "projection"), "projected")
     sizes = projected.groupBy("block_id").agg(F.count("*").alias("n"))
     ranked = ranked_within(projected, "block_id", "projection", "projections").join(sizes, "block_id")
     cut = [F.max(F.when(F.col("rank") + 1 == F.ceil(F.lit(i) * F.col("n") / bins), F.col("projection"))).alias(f"t{i}") for i in range(1, bins)]

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -39,6 +41,26 @@ def test_degenerate_axis_fills_one_bin(spark):
     assert (row.bin0, row.empty_bins, row.overfull_bins) == (4, 3, 1)
 
 
+def _unsteady(spark, block):
+    """Four projections of each of 20 blocks, in order, that differ a little each time they are computed."""
+    shaky = F.udf(lambda at: float(at) + random.random() / 2, "double").asNondeterministic()
+    return spark.range(80).select(block.alias("block_id"), shaky(F.col("id") % 4).alias("projection"))
+
+
+def test_bins_compare_values_that_were_computed_once(spark):
+    rows = spread.quantile_bins(_unsteady(spark, F.floor(F.col("id") / 4))).collect()
+    assert len(rows) == 20 and {(r.bin0, r.bin1, r.bin2, r.bin3, r.occupancy_variance, r.empty_bins) for r in rows} == {(1, 1, 1, 1, 0.0, 0)}
+
+
+def test_layers_of_values_that_were_computed_once(spark):
+    block = F.concat(F.lit("b"), F.floor(F.col("id") / 4).cast("string"))
+    blocks = spark.range(20).select(F.concat(F.lit("b"), F.col("id").cast("string")).alias("block_id"), F.lit(0).alias("level"))
+    stats = blocks.select("block_id", F.lit(4).alias("n"), F.array(F.lit(0.0)).alias("centroid"), F.lit(1.0).alias("mean_distance"), F.lit(1.0).alias("max_distance"))
+    edges = blocks.select(F.lit("r").alias("parent_id"), F.lit(0).alias("child_ix"), F.col("block_id").alias("child_id"))
+    row = spread.layer_metrics(blocks, edges, stats, spread.quantile_bins(_unsteady(spark, block))).first()
+    assert (row.block_count, row.mean_occupancy_variance, row.blocks_with_empty_bins, row.blocks_with_overfull_bins) == (20, 0.0, 0, 0)
+
+
 def test_codecs(spark):
     df = spark.createDataFrame([([1.0, -2.5],)], "v array<float>")
     for kind in ("f32le", "f16le"):
