@@ -247,9 +247,11 @@ PARTITION = 12
   UNION ALL SELECT pass_no + 1, ((i + 1) * n + w - 1) // w - (i * n + w - 1) // w FROM (
     SELECT pass_no, n, w, unnest(range(w)) AS i FROM (SELECT *, least({PARTITION}, greatest(1, (n + {PARTITION} - 1) // {PARTITION})) AS w FROM parts WHERE n > {PARTITION} OR pass_no = 0))),
 s AS (SELECT pass_no, count(*) AS made, count(*) FILTER (n <= {PARTITION}) AS ended, count(*) FILTER (n > {PARTITION}) AS pending FROM parts WHERE pass_no > 0 GROUP BY pass_no),
-c AS (SELECT *, sum(ended) OVER (ORDER BY pass_no) AS terminal FROM s)
+c AS (SELECT *, sum(ended) OVER (ORDER BY pass_no) AS terminal FROM s),
+l AS (SELECT *, lag(terminal) OVER (ORDER BY pass_no) AS t0, lag(pending) OVER (ORDER BY pass_no) AS g0 FROM c)
 SELECT pass_no, (SELECT count(*) FROM embeddings) AS items, (terminal + pending)::BIGINT AS planned, terminal::BIGINT AS terminal, pass_no AS depth, made AS realized_clusters, pending = 0 AS complete,
-  CASE WHEN pending = 0 OR pass_no > 1 THEN 'converging' ELSE 'inconclusive' END AS verdict FROM c""")
+  CASE WHEN pending = 0 THEN 'converging' WHEN t0 IS NULL OR ((terminal > t0 OR pending < g0) AND (terminal < t0 OR pending > g0)) THEN 'inconclusive'
+    WHEN terminal > t0 OR pending < g0 THEN 'converging' ELSE 'not-converging' END AS verdict FROM l""")
 def planning_passes(spark: SparkSession, t) -> DataFrame:
     """The passes of a real plan over all embeddings, with the verdict on each."""
     folder = f"{shared_dir(spark)}/planning-{uuid.uuid4().hex}"

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from siltstone.archive import Archive, Cancelled, hashed_words
 from siltstone.operators import planning, reports, store, telemetry, trees
+from siltstone.plans import catalog
 from siltstone.sources.requests import Request
+from tests.oracle import compare
 
 
 def _vectors(spark, n, same=0):
@@ -21,6 +23,11 @@ def _plan(spark, folder, vectors, size, family="v3", **options):
     return planning.plan(vectors, f"{folder}/run", size, planning.Telemetry(spark, folder, "run", family), **options)
 
 
+def test_a_pass_that_ends_no_partition_is_judged_by_the_same_rule_in_sql(spark):
+    """2,000 vectors: the second pass makes 144 partitions of 13 or 14."""
+    compare(spark, catalog.QUERIES["planning_passes"], catalog.ORACLE["planning_passes"], "/root/testdata/sf0.1")
+
+
 @pytest.mark.parametrize("method", ["kmeans", "pca"])
 def test_partitions_fit_and_hold_every_row_once(spark, tmp_path, method):
     folder = f"file://{tmp_path}"
