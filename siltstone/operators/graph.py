@@ -102,7 +102,8 @@ def child_edges(branches: DataFrame, leaves: DataFrame, records: DataFrame, bloc
 
     ``branches``: ``parent_id, child_id``; ``leaves``: ``block_id, metadata`` (artifact references); ``records`` and
     ``blocks``: a journal's (its predecessor, its items and their artifacts, an outcome's root); ``emails``: ``block_id,
-    mailbox_artifact_ref``. A reference that is no hash, or an email without a mailbox, is a failure of its block.
+    mailbox_artifact_ref``. A reference that is no hash, or an email without a mailbox, is a failure of its block. The edges of
+    one parent meet in one task: a block's size bounds them.
     """
     m = lambda k: F.try_element_at("metadata", F.lit(k))
     named = lambda parent, child, kind: (F.col(parent).alias("parent_id"), child.alias("child_id"), F.lit(kind).alias("kind"))
@@ -116,7 +117,13 @@ def child_edges(branches: DataFrame, leaves: DataFrame, records: DataFrame, bloc
         emails.select(*named("block_id", F.coalesce("mailbox_artifact_ref", F.lit("")), "mailbox")),
     ]
     every = reduce(DataFrame.unionByName, told).withColumn("valid", valid_hash(F.col("child_id")))
-    edges = every.where("valid IS NOT NULL").select("parent_id", F.col("valid").alias("child_id"), "kind").distinct()
+    # Hashes travel as their 32 bytes, by parent, so a parent's edges lie together; a parent whose id is no hash travels as it is.
+    plain = F.col("parent_id").rlike("^[0-9a-f]{64}$")
+    kinds = ["branch", "artifact", "journal-previous", "journal-item", "journal-artifact", "mailbox"]
+    packed = every.where("valid IS NOT NULL").select(
+        F.when(plain, F.unhex("parent_id")).alias("parent"), F.when(~plain, F.col("parent_id")).alias("other"), F.unhex("valid").alias("child"), F.array_position(F.lit(kinds), F.col("kind")).cast("int").alias("kind"))
+    once = packed.repartition("parent", "other").distinct()
+    edges = once.select(F.coalesce(F.lower(F.hex("parent")), "other").alias("parent_id"), F.lower(F.hex("child")).alias("child_id"), F.element_at(F.lit(kinds), F.col("kind")).alias("kind"))
     why = F.when((F.col("kind") == "mailbox") & (F.col("child_id") == ""), "email without mailbox_artifact_ref").otherwise(F.concat(F.lit("no block hash: "), F.col("child_id")))
     return edges, every.where("valid IS NULL").select(F.col("parent_id").alias("block_id"), why.alias("message")).distinct()
 
