@@ -14,7 +14,7 @@ from siltstone.functions import vectors as V
 from siltstone.functions.hashing import choice, sample_key, seed_bytes
 
 from .shared import kept
-from .store import only
+from .store import MAX_PROBES, only
 from .trees import Tree
 
 SAMPLE = 100
@@ -23,6 +23,8 @@ TOP = 10
 MAX_QUERIES = 10_000
 #: Queries that are scored against a batch of the corpus at once.
 QUERY_TILE = 1_000
+#: What a matrix product may be off in a cosine; closer pairs are scored one by one.
+SLACK = 1e-9
 ROUND_TRIP_BYTES = 65_536
 
 
@@ -88,6 +90,72 @@ def _exact_block(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return best.withColumn("position", F.row_number().over(order) - 1).where(F.col("position") < k)
 
 
+def _pair_scores(targets: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Cosines row by row, added up from the first dimension on: equal vectors get equal scores wherever they lie. NaN without a length."""
+    dot, left, right = (np.zeros(len(targets)) for _ in range(3))
+    for t, v in zip(targets.T, vectors.T):
+        dot += t * v
+        left += t * t
+        right += v * v
+    length = np.sqrt(left) * np.sqrt(right)
+    return np.divide(dot, length, out=np.full(len(dot), np.nan), where=length > 0)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return np.nan_to_num(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300), nan=0.0, posinf=0.0, neginf=0.0)
+
+
+def _leaf_hits(frontier: DataFrame, entries: DataFrame, k: int) -> DataFrame:
+    """``query_id, neighbor_id, block_id, score, position``: the best ``k`` entries of each query's blocks in ``frontier``.
+
+    Frontier rows go in parts of about ``MAX_QUERIES``, one pass over the entries each, as in :func:`exact_top`. In a task, a
+    block's queries meet a batch of its entries in one matrix product; pairs within ``SLACK`` of a query's k-th are scored exactly.
+    The product is all that grows with queries times entries; a pass shuffles at most ``k`` rows per query, block and batch.
+    """
+    kind = entries.schema["entry_ix"].dataType.simpleString()
+    frontier = frontier.withColumn("own", F.expr(f"try_cast(query_id AS {kind})"))
+    number = max(1, -(-frontier.count() // MAX_QUERIES))
+    if number == 1:
+        return _leaf_pass(frontier, entries, k)
+    dealt = kept(frontier.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(number))), "beam-parts")
+    entries = kept(entries.join(frontier.select("block_id").distinct(), "block_id", "left_semi"), "beam-entries")
+    return reduce(DataFrame.unionByName, (kept(_leaf_pass(dealt.where(F.col("part") == n).drop("part"), entries, k), "beam-hits") for n in range(number)))
+
+
+def _leaf_pass(frontier: DataFrame, entries: DataFrame, k: int) -> DataFrame:
+    rows = frontier.select("query_id", "block_id", "own", "target").collect()
+    queries: dict = {}
+    for r in rows:
+        queries.setdefault(r["block_id"], []).append(r)
+    held = {b: ([r["query_id"] for r in own], np.array([r["own"] for r in own], dtype=object), np.array([r["target"] for r in own], dtype=np.float64)) for b, own in queries.items()}
+
+    def tile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for block, part in pdf.groupby("block_id"):
+                names, own, targets = held[block]
+                vectors, ids = np.stack(part["embedding"].to_numpy()).astype(np.float64), part["entry_ix"].to_numpy()
+                unit, there = _unit(vectors).T, set(ids)
+                for lo in range(0, len(names), QUERY_TILE):
+                    rough = _unit(targets[lo : lo + QUERY_TILE]) @ unit
+                    for i, x in enumerate(own[lo : lo + QUERY_TILE]):
+                        if x in there:
+                            rough[i, ids == x] = -np.inf
+                    least = -np.partition(-rough, k - 1, axis=1)[:, k - 1 : k] if rough.shape[1] > k else np.full((len(rough), 1), -np.inf)
+                    row, column = np.nonzero((rough >= least - SLACK) & (rough > -np.inf))
+                    score = _pair_scores(targets[lo + row], vectors[column])
+                    order = np.lexsort((ids[column], -np.round(np.where(np.isnan(score), -2.0, score), 12), row))
+                    row, column, score = row[order], column[order], score[order]
+                    best = np.arange(len(row)) - np.searchsorted(row, row) < k
+                    row, column, score = row[best], column[best], score[best]
+                    yield pd.DataFrame({"query_id": [names[lo + i] for i in row], "neighbor_id": ids[column], "block_id": block, "score": score})
+
+    kinds = {f.name: f.dataType.simpleString() for f in [*frontier.schema, *entries.schema]}
+    near = entries.where(F.col("block_id").isin(list(held))) if len(held) <= MAX_PROBES else entries.join(frontier.select("block_id").distinct(), "block_id", "left_semi")
+    best = near.select("block_id", "entry_ix", "embedding").mapInPandas(tile, f"query_id {kinds['query_id']}, neighbor_id {kinds['entry_ix']}, block_id {kinds['block_id']}, score double")
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "block_id", "neighbor_id")
+    return best.withColumn("position", F.row_number().over(order) - 1).where(F.col("position") < k)
+
+
 def beam_search(tree: Tree, queries: DataFrame, root: str, width: int, k: int) -> tuple[DataFrame, DataFrame]:
     """``hits (query_id, neighbor_id, block_id, score, position)`` and ``touched (query_id, block_id, level)``.
 
@@ -113,10 +181,7 @@ def beam_search(tree: Tree, queries: DataFrame, root: str, width: int, k: int) -
         frontier = rest.unionByName(best.select("query_id", "target", F.col("child_id").alias("block_id")))
     frontier = kept(frontier, "beam")
     touched.append(frontier.select("query_id", "block_id", F.lit(0).alias("level")))
-    leaf = frontier.join(only(tree.entries, "block_id", frontier.select("block_id")), "block_id").where(F.col("entry_ix") != F.col("query_id"))
-    leaf = leaf.select("query_id", F.col("entry_ix").alias("neighbor_id"), "block_id", V.cosine(F.col("target"), F.col("embedding")).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "block_id", "neighbor_id")
-    hits = leaf.withColumn("position", F.row_number().over(order) - 1).where(F.col("position") < k)
+    hits = _leaf_hits(frontier, only(tree.entries, "block_id", frontier.select("block_id")), k)
     seen = touched[0]
     for t in touched[1:]:
         seen = seen.unionByName(t)

@@ -41,6 +41,31 @@ def test_degenerate_axis_fills_one_bin(spark):
     assert (row.bin0, row.empty_bins, row.overfull_bins) == (4, 3, 1)
 
 
+def test_leaf_hits_equal_brute_force_in_parts(spark, monkeypatch):
+    """Copies, a vector without length, an entry that is there twice; queries in several parts; no row for a pair of query and entry."""
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(60, 4)).round(2).tolist()
+    rows = [(i, base[i % 60] if i % 50 else [0.0] * 4, i % 3) for i in range(240)] + [(7, base[9], 1)]
+    entries = spark.createDataFrame([(f"L{b}", i, v) for i, v, b in rows], "block_id string, entry_ix long, embedding array<double>")
+    asked = [(i, v, f"L{b}") for i, v, _ in rows[:40] for b in (0, 1)]
+    frontier = spark.createDataFrame(asked, "query_id long, target array<double>, block_id string")
+    length = lambda v: sum(x * x for x in v) ** 0.5
+    want = []
+    for q, t, _ in asked[::2]:
+        found = []
+        for i, v, b in rows:
+            if b in (0, 1) and i != q:
+                size = length(t) * length(v)
+                found.append((-round(sum(x * y for x, y in zip(t, v)) / size, 12) if size else 9.0, f"L{b}", i))
+        want += [(q, at, block, i, None if s == 9.0 else -s) for at, (s, block, i) in enumerate(sorted(found)[:5])]
+    for most in (10_000, 30):
+        monkeypatch.setattr(search, "MAX_QUERIES", most)
+        out = search._leaf_hits(frontier, entries, 5)
+        assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+        got = sorted((r.query_id, r.position, r.block_id, r.neighbor_id, r.score if r.score is None else round(r.score, 12)) for r in out.collect())
+        assert got == sorted(want)
+
+
 def _unsteady(spark, block):
     """Four projections of each of 20 blocks, in order, that differ a little each time they are computed."""
     shaky = F.udf(lambda at: float(at) + random.random() / 2, "double").asNondeterministic()
