@@ -1,11 +1,14 @@
 """Near copies of texts: sets of lower-cased five-word shingles with a Jaccard similarity of 0.8 or more.
 
-At 0.8 two 64-bit SimHash fingerprints differ in some ten bits, give or take
-three, so a Hamming budget that finds all such pairs tells little apart.
-Candidates share a band of minima instead: ``BANDS`` bands of ``ROWS`` minima
-of the shingle hashes. A pair at 0.8 shares none of the bands with probability
-(1 - 0.8 ** 4) ** 32 = 4e-8, a pair above it less often. Every candidate pair
-is then decided by the exact similarity of the two shingle sets.
+SimHash comes first: 64-bit fingerprints of the same shingles go through the
+trie self-join of :mod:`.simhash` with its Hamming budget, and each link of its
+forest is decided by the exact similarity of the two shingle sets. At 0.8 two
+fingerprints differ in some ten bits, give or take three, so a budget that the
+join can afford misses pairs. The exact way for the rest are bands of minima:
+``BANDS`` bands of ``ROWS`` minima of the shingle hashes. A pair at 0.8 shares
+none of the bands with probability (1 - 0.8 ** 4) ** 32 = 4e-8, a pair above it
+less often. Pairs of a band that SimHash has already put into one component are
+not compared again; every other candidate pair is decided exactly.
 
 Each band links its members to the smallest one first. Only members of a band
 that are then still in different components are compared with each other, so a
@@ -33,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, blocks, id_key, mix, staged, texts_of
-from .simhash import _shingles, components
+from .simhash import _shingles, _vote, components, near_links
 
 SHINGLE = 5
 #: In hundredths, so that the comparison is one of whole numbers.
@@ -72,13 +75,16 @@ def bands(shingles: np.ndarray) -> np.ndarray:
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys = np.zeros((batch.num_rows, BANDS), dtype=np.uint64)
+        keys, prints = np.zeros((batch.num_rows, BANDS), dtype=np.uint64), np.zeros(batch.num_rows, dtype=np.uint64)
         for block in blocks(batch.column(3)):
             for i in range(block.n):
-                keys[block.rows.start + i] = bands(shingle_set(block.text(i)))
+                hashes = _shingles(block.text(i), SHINGLE)
+                keys[block.rows.start + i] = bands(np.unique(np.array(hashes, dtype=np.uint64)))
+                if hashes:
+                    prints[block.rows.start + i] = _vote(hashes)[0]
         offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BANDS)
         listed = pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64).ravel()))
-        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), listed], ["doc_id", "key", "unit", "bands"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), listed, pa.array(prints.view(np.int64))], ["doc_id", "key", "unit", "bands", "fp"])
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,12 +130,24 @@ def _alike(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return staged(both.mapInArrow(_compared, "a long, b long").distinct(), "near-links")
 
 
+def _simhash_links(docs: DataFrame, own: DataFrame) -> DataFrame:
+    """``a, b`` (nodes): texts of one fingerprint, and links of the trie self-join over distinct fingerprints, that are alike."""
+    least = staged(own.groupBy("fp").agg(F.min(F.struct("node", "unit")).alias("least")).select("fp", "least.*"), "near-prints")
+    ends = [least.select(F.col("node").alias(side), F.col("unit").alias(f"unit_{side}")) for side in "ab"]
+    # A node may stand for several texts (rows of one id): the links of its fingerprints name candidates, nothing more.
+    found = near_links(least.select("fp", "node")).join(ends[0], "a").join(ends[1], "b").select("unit_a", F.col("a").alias("node_a"), "unit_b", F.col("b").alias("node_b"))
+    same = own.join(least.select("fp", F.col("unit").alias("unit_a"), F.col("node").alias("node_a")), "fp").select("unit_a", "node_a", F.col("unit").alias("unit_b"), F.col("node").alias("node_b"))
+    return _alike(docs, staged(found.unionByName(same).where("node_a <> node_b").distinct(), "near-simhash"))
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, component_id`` (the smallest ``doc_id`` reachable over near copies)."""
     rows = texts_of(docs).select("doc_id", id_key().alias("key"), _unit().alias("unit"), "text")
-    signed = staged(rows.mapInArrow(_banded, "doc_id long, key long, unit binary, bands array<long>"), "near-rows")
+    signed = staged(rows.mapInArrow(_banded, "doc_id long, key long, unit binary, bands array<long>, fp long"), "near-rows")
     first = staged(signed.groupBy("unit").agg(F.min("key").alias("node")), "near-units")
-    own = staged(signed.join(first, (signed["unit"] == first["unit"]) & (signed["key"] == first["node"]), "left_semi").dropDuplicates(["unit"]).select("unit", F.col("key").alias("node"), "bands"), "near-own")
+    own = staged(signed.join(first, (signed["unit"] == first["unit"]) & (signed["key"] == first["node"]), "left_semi").dropDuplicates(["unit"]).select("unit", F.col("key").alias("node"), "bands", "fp"), "near-own")
+    alike_by_print = _simhash_links(docs, own)
+    met = staged(components(alike_by_print), "near-met")
     keyed = own.select("unit", "node", F.explode("bands").alias("band"))
     # Most bands hold one text: they are counted by themselves, and only members of the others travel.
     several = staged(keyed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "near-bands")
@@ -137,7 +155,9 @@ def near_copies(docs: DataFrame) -> DataFrame:
     least = staged(member.groupBy("band").agg(F.min(F.struct("node", "unit")).alias("least")), "near-least")
     stars = member.join(least, "band").select(F.col("least.unit").alias("unit_a"), F.col("least.node").alias("node_a"), F.col("unit").alias("unit_b"), F.col("node").alias("node_b"))
     stars = staged(stars.where("node_a <> node_b").distinct(), "near-pairs")
-    links = _alike(docs, stars)
+    by_print = [met.select(F.col("node").alias(f"node_{side}"), F.col("component").alias(f"met_{side}")) for side in "ab"]
+    rest = stars.join(by_print[0], "node_a", "left").join(by_print[1], "node_b", "left").where("met_a IS NULL OR met_b IS NULL OR met_a <> met_b")
+    links = staged(alike_by_print.unionByName(_alike(docs, staged(rest.select(stars.columns), "near-rest"))), "near-linked")
 
     found = components(links)
     placed = member.join(found, "node", "left").select("band", "unit", "node", F.coalesce("component", "node").alias("component"))

@@ -59,3 +59,16 @@ def test_members_of_a_band_that_miss_its_smallest_are_compared(spark):
     rows += [(30 + i, change({20, 60, 100, 140, 180, 10 + i, 30}, x), "en") for i, x in enumerate(far)]
     got = {r.doc_id: r.component_id for r in jaccard.near_copies(cases.table(spark, rows)).collect()}
     assert got == {1: 1} | {k + i: 10 + i for i in range(6) for k in (10, 30)}
+
+
+def test_links_come_from_the_simhash_join_first(spark, monkeypatch):
+    """Copies within the Hamming budget are linked by the trie join; their pairs are not compared again by bands."""
+    words = [f"w{i}" for i in range(3000)]
+    rows = [(10 + i, " ".join(words[:1500] + [f"x{i}"] + words[1501:]), "en") for i in range(6)] + [(99, "quite another text of seven words", "en")]
+    tried, joined = [], []
+    real, links = jaccard._alike, jaccard.near_links
+    monkeypatch.setattr(jaccard, "_alike", lambda docs, pairs: (tried.append(pairs.count()), real(docs, pairs))[1])
+    monkeypatch.setattr(jaccard, "near_links", lambda prints: (joined.append(prints.count()), links(prints))[1])
+    got = {r.doc_id: r.component_id for r in jaccard.near_copies(cases.table(spark, rows)).collect()}
+    assert got == {10 + i: 10 for i in range(6)} | {99: 99}
+    assert joined and joined[0] >= 2 and tried[0] >= 5 and tried[1:] == [0, 0]
