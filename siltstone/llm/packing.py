@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, id_key, staged, texts_of
-from .tokens import WordBpe
+from .tokens import BLOCK_BYTES, WordBpe
 
 WINDOW = 2048
 CUT = 512
@@ -38,7 +38,6 @@ GROUP_TOKENS = 200 * WINDOW
 #: Equal pieces (same id, place and tokens) that one group takes.
 MAX_EQUAL = 100
 CLOSING = 1
-BLOCK_BYTES = 6_000_000
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 _PLACED = _PIECES + ", sequence_id long, offset long"
 
@@ -68,7 +67,7 @@ def _cut_documents(path: str, window: int, cut: int):
             doc_ids = batch.column(0).to_pylist()
             texts = pc.fill_null(batch.column(1), "")
             for block in blocks(texts, BLOCK_BYTES):
-                ids, counts = bpe.encode(texts.slice(block.rows.start, block.n).to_pylist())
+                ids, counts = bpe.encode_block(block.data, block.offsets)
                 out: list[tuple] = []
                 for i, end in enumerate(np.cumsum(counts)):
                     own = np.append(ids[end - counts[i] : end], CLOSING).astype("<u4")

@@ -1,26 +1,58 @@
-"""Word-level BPE ids for whole batches of texts.
+"""Word-level BPE ids for whole blocks of texts.
 
 The vocabulary file (``tokenizers`` JSON, BPE with word ends) splits every text
-at white space first, so a text's ids are its words' ids end to end. Each
-batch therefore encodes its distinct words once: all words' symbol rows are
-merged together in numpy, best-ranked pair first. Whatever this fast path does
-not cover (long words, letters outside the Latin blocks, odd blanks, special
-tokens) goes to the library's own encoder, so ids always equal its ids.
+at white space and at changes of class (letters, each digit, the rest), so a
+text's ids are its parts' ids end to end. Blocks are lower-cased and split by
+byte masks in numpy, parts are numbered by Arrow, and each distinct part is
+encoded once: all parts' symbol rows are merged together in numpy, best-ranked
+pair first. Parts met before are looked up in a table of at most ``MAX_KNOWN``.
+Whatever this fast path does not cover (long parts, letters outside the Latin
+blocks, odd blanks, special tokens) goes to the library's own encoder, so ids
+always equal its ids.
 """
 
 from __future__ import annotations
 
 import json
-from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
-#: Longer words, and words with code points above this bound, go to the library's encoder.
+from .common import blocks
+
+#: Parts of more bytes, and words with code points above the next bound, go to the library's encoder.
 MAX_WORD = 48
 _LAST_PLAIN = 0x24F
-_ODD = regex.compile("[\x1c-\x1f\u0085​-‏ - ﻿]|<\\|")
-_NOT_PLAIN = regex.compile("[^\\x21-ɏ]|[Σİ]")
+#: Parts (and bytes of ids for each) that are kept for later blocks.
+MAX_KNOWN = 200_000
+BLOCK_BYTES = 2_000_000
+#: Parts that are merged at once.
+GRID_ROWS = 16_384
+_BLANK, _LETTER, _DIGIT, _MARK, _ODD = range(5)
+_NEVER = 2**30
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Class and lower-case form of the code points of up to two bytes below U+0280."""
+    kind, low = np.full(0x280, _ODD, dtype=np.uint8), np.arange(0x280)
+    for code in range(_LAST_PLAIN + 1):
+        c = chr(code)
+        if len(c.lower()) > 1 or ord(c.lower()) > 0x7FF or code < 0x80 and not c.isprintable() and not c.isspace():
+            continue
+        low[code] = ord(c.lower())
+        kind[code] = _BLANK if c.isspace() else _LETTER if regex.match(r"\p{L}", c) else _DIGIT if regex.match(r"\p{N}", c) else _MARK
+    return kind, low
+
+
+_KIND_OF, _LOW_OF = _tables()
+#: By byte; those of longer characters are odd until looked at.
+_KIND = np.concatenate((_KIND_OF[:128], np.full(128, _ODD, np.uint8)))
+_LOW = np.concatenate((_LOW_OF[:128], np.arange(128, 256))).astype(np.uint8)
+#: Three-byte blanks at which words end, and three-byte characters whose texts only the library may split.
+_WIDE_BLANKS = np.array([0x1680, *range(0x2000, 0x200B), 0x205F, 0x3000])
+_WIDE_ODD = np.array([*range(0x200B, 0x2010), *range(0x2028, 0x2030), 0xFEFF])
 
 
 class WordBpe:
@@ -30,12 +62,16 @@ class WordBpe:
         self.library = Tokenizer.from_file(path)
         spec = json.loads(open(path, encoding="utf-8").read())
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
-        self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         suffix = spec["model"]["end_of_word_suffix"]
         letters = _byte_letters()
         self.inner = np.array([vocab[c] for c in letters], dtype=np.int64)
         self.final = np.array([vocab[c + suffix] for c in letters], dtype=np.int64)
         self._index(vocab, [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges])
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.ids = pa.array([], pa.binary()), np.zeros(0, np.uint32)
+        self.starts, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _index(self, vocab: dict[str, int], merges: list[tuple[str, str]]) -> None:
         """An open-addressing table in numpy: (left id, right id) to rank and merged id."""
@@ -76,123 +112,168 @@ class WordBpe:
             slot[open_] = (slot[open_] + 1) & ((1 << self.bits) - 1)
         return found
 
-    def _merge(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all parts end to end, and how many each part has."""
-        size = np.array([len(p) for p in parts], dtype=np.int64)
-        flat = np.frombuffer(b"".join(parts), dtype=np.uint8)
-        width = int(size.max())
-        grid = np.full((len(parts), width + 1), -1, dtype=np.int64)
-        inside = np.arange(width + 1) < size[:, None]
-        grid[inside] = self.inner[flat]
-        last = np.cumsum(size) - 1
-        grid[np.arange(len(parts)), size - 1] = self.final[flat[last]]
-        rank = np.full((len(parts), width), 2**30, dtype=np.int64)
+    def _merge(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all parts (``data[begin : begin + size]``) end to end, and how many each has."""
+        width, count = int(size.max()), len(size)
+        flat = ragged(data, begin, size)
+        grid = np.full((count, width + 1), -1, dtype=np.int32)
+        grid[np.arange(width + 1) < size[:, None]] = self.inner[flat]
+        grid[np.arange(count), size - 1] = self.final[flat[np.cumsum(size) - 1]]
+        rank = np.full((count, width), _NEVER, dtype=np.int32)
         rows, cols = np.nonzero(grid[:, 1:] >= 0)
         slots = self._look(grid[rows, cols], grid[rows, cols + 1])
-        rank[rows, cols] = np.where(slots >= 0, self.rank[slots], 2**30)
-        live = np.arange(len(parts))
-        # Each round merges the best pair, leftmost first, in every word that still has one.
-        g, r, n = grid, rank, size.copy()
-        results: list[tuple[np.ndarray, np.ndarray]] = []
-        span = np.arange(width + 1)
+        rank[rows, cols] = np.where(slots >= 0, self.rank[slots], _NEVER)
+        out = np.full((count, width), -1, dtype=np.int32)
+        live, span = np.arange(count), np.arange(width + 1)
+        # Each round merges the best pair, leftmost first, in every part that still has one.
         while len(live):
-            at = r.argmin(axis=1)
+            at = rank.argmin(axis=1)
             row = np.arange(len(live))
-            going = r[row, at] < 2**30
+            going = rank[row, at] < _NEVER
             if not going.all():
                 stop = ~going
-                results.append((live[stop], g[stop]))
-                live, g, r, n, at = live[going], g[going], r[going], n[going], at[going]
+                out[live[stop], : grid.shape[1] - 1] = grid[stop, :-1]
+                live, grid, rank, at = live[going], grid[going], rank[going], at[going]
                 row = np.arange(len(live))
                 if not len(live):
                     break
-            made = self.made[self._look(g[row, at], g[row, at + 1])]
-            keep = span[:-1] + (span[:-1] > at[:, None])  # drop column at + 1
-            g = np.concatenate((np.take_along_axis(g, keep, axis=1), np.full((len(live), 1), -1)), axis=1)
-            g[row, at] = made
-            keep = np.minimum(keep[:, :-1] if r.shape[1] > 1 else keep[:, :0], r.shape[1] - 1)
-            r = np.concatenate((np.take_along_axis(r, keep, axis=1), np.full((len(live), 1), 2**30)), axis=1)
-            n -= 1
-            for shift in (-1, 0):
-                col = at + shift
-                ok = (col >= 0) & (col + 1 < n)
-                slots = np.full(len(live), -1, dtype=np.int64)
-                slots[ok] = self._look(g[row[ok], col[ok]], g[row[ok], col[ok] + 1])
-                value = np.where(slots >= 0, self.rank[slots], 2**30)
-                has = col >= 0
-                r[row[has], col[has]] = value[has]
-        out = np.full((len(parts), width), -1, dtype=np.int64)
-        for who, symbols in results:
-            out[who, : symbols.shape[1] - 1] = symbols[:, :width]
+            made = self.made[self._look(grid[row, at], grid[row, at + 1])]
+            later = span[: grid.shape[1] - 1] > at[:, None]  # drop column at + 1
+            grid = np.where(later, grid[:, 1:], grid[:, :-1])
+            grid[row, at] = made
+            rank = np.where(later[:, : rank.shape[1] - 1], rank[:, 1:], rank[:, :-1])
+            # The pair with the left neighbour, then the one with the right.
+            for side, has in ((at - 1, at > 0), (at, grid[row, np.minimum(at + 1, grid.shape[1] - 1)] >= 0)):
+                where, col = row[has], side[has]
+                slots = self._look(grid[where, col], grid[where, col + 1])
+                rank[where, col] = np.where(slots >= 0, self.rank[slots], _NEVER)
+            gone = ~has
+            inside = gone & (at < rank.shape[1])
+            rank[row[inside], at[inside]] = _NEVER
         good = out >= 0
         return out[good].astype(np.uint32), good.sum(axis=1)
 
-    def _encode_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all parts (lower-case, inside one pre-token) end to end, and how many each has."""
-        coded = [p.encode() for p in parts]
-        size = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded))
-        order = np.argsort(size, kind="stable")
-        counts, made = np.zeros(len(parts), dtype=np.int64), []
-        for lo in range(0, len(order), 16384):  # of like length: the grids stay narrow
-            chunk = order[lo : lo + 16384]
-            ids, counts[chunk] = self._merge([coded[i] for i in chunk])
+    def _encode_parts(self, parts: pa.BinaryArray, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all parts end to end, and how many each has; the library encodes those that are ``odd`` or long."""
+        _, offsets, data = parts.buffers()
+        ends = np.frombuffer(offsets, np.int32)[parts.offset : parts.offset + len(parts) + 1].astype(np.int64)
+        size = np.diff(ends)
+        data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        odd = odd | (size > MAX_WORD)
+        plain = np.flatnonzero(~odd)
+        order, made = plain[np.argsort(size[plain], kind="stable")], []
+        counts = np.zeros(len(parts), dtype=np.int64)
+        for lo in range(0, len(order), GRID_ROWS):  # of like length: the grids stay narrow
+            chunk = order[lo : lo + GRID_ROWS]
+            ids, counts[chunk] = self._merge(data, ends[chunk], size[chunk])
             made.append(ids)
-        flat = np.concatenate(made) if made else np.zeros(0, np.uint32)
+        slow = np.flatnonzero(odd)
+        for e, i in zip(self.library.encode_batch([parts[int(i)].as_py().decode() for i in slow], add_special_tokens=False), slow):
+            counts[i] = len(e.ids)
+            made.append(np.array(e.ids, dtype=np.uint32))
+        order = np.concatenate((order, slow))
         starts = np.zeros(len(parts), dtype=np.int64)
         starts[order] = np.cumsum(counts[order]) - counts[order]
-        return ragged(flat, starts, counts), counts
-
-    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words (distinct, free of blanks) end to end, and how many each has."""
-        parts: list[str] = []
-        sizes, odd = [], []
-        for i, word in enumerate(words):
-            if word.isalpha() and word.isascii() and len(word) <= MAX_WORD:
-                parts.append(word.lower())
-                sizes.append(1)
-            elif len(word) > MAX_WORD or not word.isascii() and _NOT_PLAIN.search(word) or word.isascii() and not word.isprintable():
-                odd.append(i)
-                sizes.append(0)
-            else:
-                low = word.lower()
-                found = [low] if low.isalpha() else self.split.findall(low)
-                parts += found
-                sizes.append(len(found))
-        of_word = np.array(sizes, dtype=np.int64)
-        number = {p: i for i, p in enumerate(dict.fromkeys(parts))}
-        ids, size = self._encode_parts(list(number))
-        part = np.fromiter(map(number.__getitem__, parts), dtype=np.int64, count=len(parts))
-        starts = np.cumsum(size) - size
-        flat, per_part = ragged(ids, starts[part], size[part]), np.concatenate(([0], np.cumsum(size[part])))
-        last = np.cumsum(of_word)
-        counts, starts = per_part[last] - per_part[last - of_word], per_part[last - of_word]
-        if odd:
-            slow = [e.ids for e in self.library.encode_batch([words[i] for i in odd], add_special_tokens=False)]
-            counts[odd] = list(map(len, slow))
-            starts[odd] = len(flat) + np.cumsum(counts[odd]) - counts[odd]
-            flat = np.concatenate((flat, np.array([x for e in slow for x in e], dtype=np.uint32)))
-        return ragged(flat, starts, counts), counts
+        return ragged(np.concatenate(made) if made else np.zeros(0, np.uint32), starts, counts), counts
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts end to end, and how many each has: the library's, with ``add_special_tokens=False``."""
-        split = [[] if _ODD.search(t) else t.split() for t in texts]
-        ends = np.cumsum([len(words) for words in split])
-        number = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(split)))}
-        ids, size = self._encode_words(list(number))
-        word = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=int(ends[-1]) if len(ends) else 0)
-        flat = ragged(ids, (np.cumsum(size) - size)[word], size[word])
-        run = np.concatenate(([0], np.cumsum(size[word])))
-        counts = np.diff(run[np.concatenate(([0], ends))])
-        starts = run[:-1][:0]
-        odd = [i for i, t in enumerate(texts) if not split[i] and t and not t.isspace()]
-        if odd:  # texts that only the library may split
+    def _numbers(self, parts: pa.BinaryArray, odd: np.ndarray) -> np.ndarray:
+        """The place in the table of known parts of each of ``parts`` (distinct); new ones are encoded and added."""
+        place = pc.index_in(parts, value_set=self.known)
+        new = np.asarray(place.is_null())
+        place = np.array(place.fill_null(0), dtype=np.int64)
+        if new.any():
+            fresh = parts.filter(pa.array(new))
+            ids, counts = self._encode_parts(fresh, odd[new])
+            place[new] = len(self.known) + np.arange(len(counts))
+            self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(counts) - counts))
+            self.known, self.ids = pa.concat_arrays([self.known, fresh]), np.concatenate((self.ids, ids))
+            self.counts = np.concatenate((self.counts, counts))
+        return place
+
+    def _split(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of a block: where parts start, the lower-case bytes of all parts end to end, their ends there, parts that are odd words, texts that are odd."""
+        n = len(data)
+        kind, low = _KIND[data], _LOW[data]
+        lead = np.flatnonzero((data >= 0xC2) & (data <= 0xC9))
+        code = (data[lead] & 0x1F).astype(np.int64) << 6 | data[lead + 1] & 0x3F
+        kind[lead] = kind[lead + 1] = _KIND_OF[code]
+        low[lead], low[lead + 1] = 0xC0 | _LOW_OF[code] >> 6, 0x80 | _LOW_OF[code] & 0x3F
+        wide = np.flatnonzero((data >= 0xE1) & (data <= 0xEF))
+        wide_code = (data[wide] & 0x0F).astype(np.int64) << 12 | (data[wide + 1] & 0x3F).astype(np.int64) << 6 | data[wide + 2] & 0x3F
+        for k in range(3):
+            kind[wide[np.isin(wide_code, _WIDE_BLANKS)] + k] = _BLANK
+        special = np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|")))
+        strange = (np.flatnonzero((data >= 0x1C) & (data <= 0x1F)), lead[code == 0x85], wide[np.isin(wide_code, _WIDE_ODD)], special)
+        odd_texts = np.unique(np.searchsorted(offsets, np.concatenate(strange), side="right") - 1)
+        for i in odd_texts:
+            kind[offsets[i] : offsets[i + 1]] = _BLANK
+
+        first = np.zeros(n + 1, dtype=bool)  # of a text
+        first[offsets] = True
+        solid = kind != _BLANK
+        new = np.ones(n, dtype=bool)
+        new[1:] = kind[1:] != kind[:-1]
+        new |= (kind == _DIGIT) | first[:-1]
+        new &= solid & ((data & 0xC0) != 0x80)
+        # Words with an odd character stay whole, as they are written.
+        whole = np.zeros(n, dtype=bool)
+        odd_words = np.flatnonzero(kind == _ODD)
+        if len(odd_words):
+            before, after = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
+            before[1:], after[:-1] = solid[:-1], solid[1:]
+            starts, ends = np.flatnonzero(solid & (~before | first[:-1])), np.flatnonzero(solid & (~after | first[1:])) + 1
+            word = np.unique(np.searchsorted(starts, odd_words, side="right") - 1)
+            odd_words = starts[word]
+            turn = np.zeros(n + 1, dtype=np.int32)
+            turn[odd_words] += 1
+            turn[ends[word]] -= 1
+            whole = np.cumsum(turn[:-1]) > 0
+            low[whole] = data[whole]
+            new[whole] = False
+            new[odd_words] = True
+        # 's 't 'm 'd 're 've 'll: the mark takes letters that follow.
+        mark = np.flatnonzero(new[:-1] & (low[:-1] == ord("'")) & ~whole[:-1] & (kind[1:] == _LETTER) & ~first[1:-1])
+        one = np.isin(low[mark + 1], list(b"stmd"))
+        second = np.where((mark + 2 < n) & ~first[np.minimum(mark + 2, n)], low[np.minimum(mark + 2, n - 1)], 0)
+        two = np.isin(low[mark + 1].astype(np.int64) << 8 | second, [int.from_bytes(x) for x in (b"re", b"ve", b"ll")])
+        mark, end = mark[one | two], (mark + 2 + two)[one | two]
+        new[mark + 1] = False
+        end = end[end < n]
+        new[end[(kind[end] == _LETTER) & ~first[end]]] = True
+
+        starts = np.flatnonzero(new)
+        ends = np.append(np.cumsum(solid, dtype=np.int32)[starts] - 1, np.count_nonzero(solid)).astype(np.int32)
+        return starts, low[solid], ends, np.searchsorted(starts, odd_words), odd_texts
+
+    def encode_block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (``data[offsets[i] : offsets[i + 1]]``, UTF-8) end to end, and how many each has."""
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
+        begin, low, ends, odd_parts, odd_texts = self._split(data, offsets)
+        parts = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(ends), pa.py_buffer(low)]).dictionary_encode()
+        part = np.asarray(parts.indices)
+        odd = np.zeros(len(parts.dictionary), dtype=bool)
+        odd[part[odd_parts]] = True
+        number = self._numbers(parts.dictionary, odd)
+        part = number[part]
+        flat = ragged(self.ids, self.starts[part], self.counts[part])
+        run = np.concatenate(([0], np.cumsum(self.counts[part])))
+        counts = np.diff(run[np.searchsorted(begin, offsets)])
+        if len(self.known) > MAX_KNOWN or self.known.nbytes + self.ids.nbytes > 32 * MAX_KNOWN:
+            self._forget()
+        if len(odd_texts):  # texts that only the library may split
             starts = np.cumsum(counts) - counts
-            slow = [self.library.encode(texts[i], add_special_tokens=False).ids for i in odd]
-            counts[odd] = list(map(len, slow))
-            starts[odd] = len(flat) + np.cumsum(counts[odd]) - counts[odd]
-            flat = ragged(np.concatenate((flat, np.array([x for e in slow for x in e], dtype=np.uint32))), starts, counts)
+            slow = [self.library.encode(data[offsets[i] : offsets[i + 1]].tobytes().decode(), add_special_tokens=False).ids for i in odd_texts]
+            counts[odd_texts] = list(map(len, slow))
+            starts[odd_texts] = len(flat) + np.cumsum(counts[odd_texts]) - counts[odd_texts]
+            flat = ragged(np.concatenate((flat, np.array([x for ids in slow for x in ids], dtype=np.uint32))), starts, counts)
         return flat, counts
 
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, and how many each has: the library's, with ``add_special_tokens=False``."""
+        made = [self.encode_block(b.data, b.offsets) for b in blocks(pa.array(texts, pa.large_string()), BLOCK_BYTES)]
+        return tuple(np.concatenate(x) for x in zip(*made)) if made else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+
 
 def ragged(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """``flat[s : s + c]`` of each start and count, end to end."""

@@ -5,7 +5,7 @@ import resource
 import numpy as np
 import pyarrow as pa
 
-from siltstone.llm import langid, pii
+from siltstone.llm import langid, packing, pii
 from tests.llm import cases
 
 
@@ -50,3 +50,16 @@ def test_many_short_texts_take_bounded_memory():
     batch = pa.RecordBatch.from_arrays([pa.array(range(600)), pa.array([True] * 600), pa.array(short[:600])], ["doc_id", "held_out", "text"])
     many = pa.Table.from_batches(list(langid._predict(names, table)(iter([batch])))).slice(7, 1)
     assert one["lang_pred"].to_pylist() == many["lang_pred"].to_pylist() and abs(one["score"][0].as_py() - many["score"][0].as_py()) < 1e-9
+
+
+def test_parts_met_in_an_earlier_block_are_not_encoded_again(monkeypatch):
+    bpe = packing.WordBpe(packing.default_vocabulary())
+    merged, real = [], bpe._merge
+    monkeypatch.setattr(bpe, "_merge", lambda *given: merged.append(given) or real(*given))
+    texts = [f"It's word{i} Word{i + 1}, {i}!" for i in range(3000)]
+    first = bpe.encode(texts)
+    assert merged
+    merged.clear()
+    again = bpe.encode(texts[::-1])
+    assert not merged and first[1].tolist() == again[1][::-1].tolist() and sorted(first[0]) == sorted(again[0])
+
