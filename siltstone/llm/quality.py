@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 from .common import RollingHash, blocks, mix, texts_of, word_bounds
 
@@ -36,6 +36,8 @@ WINDOW = 8
 #: Bound on the trusted rows that are read (a documented, bounded labelled sample).
 MAX_TRUSTED = 20_000
 NGRAM = 4
+#: Bytes of texts that are measured at once.
+BLOCK_BYTES = 500_000
 #: Buckets of the byte n-grams, and as many of the word n-grams.
 BUCKETS = 1 << 15
 #: Weight of the raw multinomial in the trusted one, as a share of the trusted n-grams.
@@ -89,7 +91,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     raw, trusted = np.zeros(2 * BUCKETS, dtype=np.int64), np.zeros(2 * BUCKETS, dtype=np.int64)
     for batch in batches:
         flags = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), dtype=bool)
-        for block in blocks(batch.column(0)):
+        for block in blocks(batch.column(0), BLOCK_BYTES):
             bucket, inside = _ngram_buckets(block.data, block.offsets)
             raw += np.bincount(bucket[inside], minlength=2 * BUCKETS)
             good = inside & np.repeat(flags[block.rows], np.diff(block.offsets))
@@ -162,10 +164,12 @@ def _repeated_lines(block, rolling: RollingHash, starts: np.ndarray) -> np.ndarr
     return np.bincount(doc, minlength=block.n) - np.bincount(key, minlength=block.n)
 
 
-def _measure(ratios: np.ndarray):
+def _measure(ratios: np.ndarray, text: bool = False):
+    """The features of each row, its other columns, and with ``text`` the text too."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch.column(1)):
+            for block in blocks(batch.column(1), BLOCK_BYTES):
                 rolling, starts, ends, hashes, doc, blank = _words(block)
                 n_words = np.bincount(doc, minlength=block.n)
                 bucket, inside = _ngram_buckets(block.data, block.offsets)
@@ -181,8 +185,8 @@ def _measure(ratios: np.ndarray):
                     _repeated_lines(block, rolling, starts),
                     _repeated_words(hashes, doc, block.n),
                 ]
-                ids, *carried = (batch.column(k).slice(block.rows.start, block.n) for k in range(batch.num_columns) if k != 1)
-                names = [*(c.split()[0] for c in FEATURES.split(", ")), *batch.schema.names[2:]]
+                ids, *carried = (batch.column(k).slice(block.rows.start, block.n) for k in range(batch.num_columns) if k != 1 or text)
+                names = [*(c.split()[0] for c in FEATURES.split(", ")), *batch.schema.names[1 if text else 2 :]]
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array(v.astype(np.int64)) for v in values), pa.array(score), *carried], names=names)
 
     return run
@@ -191,10 +195,14 @@ def _measure(ratios: np.ndarray):
 def quality(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, max_trusted: int = MAX_TRUSTED, carry: Sequence[str] = ()) -> DataFrame:
     """One row per document: the base features, ``base_failed``, ``score`` and ``kept`` (and ``carried``)."""
     ratios = log_ratios(docs, trusted, max_trusted)
-    rows = texts_of(docs, carry)
+    # A text that is carried comes back from the measuring task: sent beside itself, it would take a batch's memory twice.
+    text = "text" in carry and docs.schema["text"].dataType == StringType()
+    rows = texts_of(docs, [c for c in carry if not (text and c == "text")])
     schema = StructType.fromDDL(FEATURES)
-    for field in rows.schema.fields[2:]:
+    for field in rows.schema.fields[1 if text else 2 :]:
         schema = schema.add(field)
-    out = rows.mapInArrow(_measure(ratios), schema)
+    out = rows.mapInArrow(_measure(ratios, text), schema)
+    if text:
+        out = out.withColumn("carried", F.struct(*(F.col(c) if c == "text" else F.col(f"carried.{c}") for c in carry))).drop("text")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= threshold))

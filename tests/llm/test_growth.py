@@ -1,11 +1,12 @@
-"""What grows with the input, and by how much: pairs of terms and entities, vectors of short texts."""
+"""What grows with the input, and by how much: pairs of terms and entities, vectors of short texts, what tasks hold."""
 
 import resource
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 
-from siltstone.llm import langid, packing, pii
+from siltstone.llm import langid, packing, pii, quality
 from tests.llm import cases
 
 
@@ -63,3 +64,34 @@ def test_parts_met_in_an_earlier_block_are_not_encoded_again(monkeypatch):
     again = bpe.encode(texts[::-1])
     assert not merged and first[1].tolist() == again[1][::-1].tolist() and sorted(first[0]) == sorted(again[0])
 
+
+
+def test_measuring_long_batches_takes_bounded_memory():
+    texts = pa.array([f"some words of text number {i} and more of them, " * 40 for i in range(4000)])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4000)), texts], ["doc_id", "text"])
+    held = pa.RecordBatch.from_arrays([texts, pa.array([True] * 4000)], ["text", "good"])
+    for task, given in ((quality._count, held), (quality._measure(np.zeros(2 * quality.BUCKETS, np.int64)), batch)):
+        tracemalloc.start()
+        for _ in task(iter([given])):
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 80_000_000, (task, peak)
+
+
+def test_a_carried_text_is_sent_once(spark, monkeypatch):
+    real = quality._measure
+
+    def watched(*given):
+        def run(batches):
+            for batch in batches:
+                assert batch.nbytes < 1.5 * batch.column(1).nbytes
+                yield from real(*given)(iter([batch]))
+
+        return run
+
+    monkeypatch.setattr(quality, "_measure", watched)
+    docs = cases.table(spark, [(i, f"a text of many words, number {i} " * 200, "en") for i in range(20)] + [(99, None, None)])
+    out = quality.quality(docs, docs.select("doc_id"), carry=["text", "doc_id", "lang"])
+    assert out.schema["carried"].dataType.names == ["text", "doc_id", "lang"]
+    assert sorted(out.select("carried.*").collect(), key=lambda r: r.doc_id) == sorted(docs.select("text", "doc_id", "lang").collect(), key=lambda r: r.doc_id)
