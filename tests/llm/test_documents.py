@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from siltstone.llm import gsaca, langid, lines, media, packing, pieces, pii, quality, simhash, suffix
+from siltstone.llm import gsaca, langid, lines, media, packing, pieces, pii, quality, queries, simhash, suffix
 from siltstone.llm.common import RollingHash, mix
 from tests.llm import cases
 
@@ -378,6 +378,26 @@ def test_repeated_substrings(spark, monkeypatch, hot):
     assert got == brute_repeats(rows)
 
 
+def test_rows_of_op8_show_which_bytes_went(spark, tmp_path):
+    long_passage = " ".join(f"lengthy{i:03d}" for i in range(60))
+    short_passage = " ".join(f"w{i:04d}" for i in range(60))  # over 50 words in 359 bytes: no 400-byte string repeats
+    kept_whole = [(5, "clean " + " ".join(f"own{i * i}" for i in range(99)), None), (6, None, None), (7, "", None)]
+    rows = [(1, f"one {long_passage} first", None), (2, f"another {long_passage} second", None), (3, f"three {short_passage} x", None), (4, f"four {short_passage} y", None), *kept_whole]
+    rows += [(8, "p" + "z" * 399 + "é", None), (9, "q" + "z" * 399 + "è", None), (10, "aé" + "y" * 399, None), (11, "bĩ" + "y" * 399, None)]  # é and è begin with one byte, é and ĩ end with one
+    cases.table(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op8_substrings(spark, str(tmp_path)).collect()}
+    raw = {i: (t or "").encode() for i, t, _ in rows}
+    kept = {i: k for i, _, _, _, k in brute_repeats(rows)}
+    for i, r in got.items():
+        spans = [tuple(map(int, s.split(":"))) for s in r.spans.split(",") if s]
+        left = bytes(b for k, b in enumerate(raw[i]) if not any(a <= k < z for a, z in spans))
+        assert (len(spans), sum(z - a for a, z in spans), left, sha(left)) == (r.n_spans, r.n_removed, kept[i], r.kept_sha256)
+        assert r.text == left.decode(errors="replace")
+    assert len(got) == len(rows) and [got[i].text for i in (1, 2, 6, 7)] == ["onefirst", "anothersecond", "", ""]
+    assert all(got[i].text == raw[i].decode() and not got[i].spans for i in (3, 4, 5))
+    assert [got[i].text for i in (8, 9, 10, 11)] == ["p\ufffd", "q\ufffd", "a\ufffd", "b\ufffd"]
+
+
 def test_many_rows_without_an_id_keep_their_texts_apart(spark):
     passage = " ".join(f"w{i}" for i in range(120))
     rows = [(None, f"{i} {passage if i % 2 else ''} own words {i * i}", None) for i in range(300)]
